@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import common, token_files
+from lintora.llm import bucket_digest, common, token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -23,9 +23,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(token_files.file_starts(index)))
 
 
+def op2_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document, of its edited text, and their likeness."""
+    return bucket_digest.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
+        "op2_bucket_digest": op2_bucket_digest,
     }
 
 
