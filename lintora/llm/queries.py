@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, token_files
+from lintora.llm import bucket_digest, common, token_counts, token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,16 @@ def op2_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_digest.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_bucket_digest": op2_bucket_digest,
+        "op5_token_counts": op5_token_counts,
     }
 
 
