@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, token_counts, token_files
+from lintora.llm import bucket_digest, common, simhash, token_counts, token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -34,11 +34,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
 
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_bucket_digest": op2_bucket_digest,
         "op5_token_counts": op5_token_counts,
+        "op8_simhash_golay": op8_simhash_golay,
     }
 
 
