@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, simhash, token_counts, token_files
+from lintora.llm import bucket_digest, common, containment, simhash, token_counts, token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -29,6 +29,11 @@ def op2_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_digest.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op4_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in documents."""
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
@@ -43,10 +48,11 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_bucket_digest": op2_bucket_digest,
+        "op4_containment": op4_containment,
         "op5_token_counts": op5_token_counts,
         "op8_simhash_golay": op8_simhash_golay,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_containment": containment.SQL}
