@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, containment, simhash, token_counts, token_files
+from lintora.llm import bucket_digest, common, containment, language, simhash, token_counts, token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -39,6 +39,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language.learn(docs.filter(~language.held_out("doc_id")))
+    found = language.identify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -50,6 +58,7 @@ def queries() -> dict:
         "op2_bucket_digest": op2_bucket_digest,
         "op4_containment": op4_containment,
         "op5_token_counts": op5_token_counts,
+        "op6_language": op6_language,
         "op8_simhash_golay": op8_simhash_golay,
     }
 
