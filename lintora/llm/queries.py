@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, containment, language, simhash, token_counts, token_files
+from lintora.llm import bucket_digest, common, containment, language, personal_data, simhash, token_counts, token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -52,6 +52,13 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: base spans and all spans."""
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *[f"n_{k}" for k in personal_data.KINDS], "base_sha256", spans.alias("spans"))
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -60,6 +67,7 @@ def queries() -> dict:
         "op5_token_counts": op5_token_counts,
         "op6_language": op6_language,
         "op8_simhash_golay": op8_simhash_golay,
+        "op10_personal_data": op10_personal_data,
     }
 
 
