@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, containment, language, personal_data, simhash, token_counts, token_files
+from lintora.llm import bucket_digest, common, containment, language, packing, personal_data, simhash, token_counts, token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -29,6 +29,12 @@ def op2_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_digest.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences mixed as the corpus is."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents."""
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,6 +69,7 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_bucket_digest": op2_bucket_digest,
+        "op3_packing": op3_packing,
         "op4_containment": op4_containment,
         "op5_token_counts": op5_token_counts,
         "op6_language": op6_language,
