@@ -1,6 +1,80 @@
-"""Corpus pipeline."""
+"""A training corpus from raw documents: five stages, each a written table.
+
+Every stage works on all that the stage before kept and returns the columns of
+documents; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lintora.llm import common, containment, language, packing, personal_data, simhash
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+#: Compression, Golay decoding, redaction and packing have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go; lang becomes the predicted one.
+    Dictionaries are learned from the labelled documents that are not held out.
+    Null texts and texts without a letter are rejected."""
+    known = language.learn(docs.filter(~language.held_out("doc_id")))
+    found = language.identify(docs.select(*COLUMNS), known).filter(~F.col("rejected"))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays, that with the
+    smallest id. Of rows with the same id the first by text stays; a row
+    without an id stays if its component has no id."""
+    found = simhash.near_duplicates(docs).select("doc_id", "component_id")
+    kept = found.filter("doc_id <=> component_id").distinct().select(F.col("doc_id").alias("kept_id"))
+    chosen = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return _one_of_each(chosen)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """One row for each id; ids that repeat, which is rare, are sorted apart."""
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    first = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(first).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go; rows without an id go if any
+    of them contains one."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = containment.contained_items(docs, items).select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind; n_chars follows."""
+    return personal_data.redacted(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in mixed sequences of 4,096 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -115,8 +115,8 @@ def _contexts(text: str, start: int, end: int) -> tuple[str, str]:
 
 _MARK = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 _SEEN = pa.struct([("kind", pa.string()), ("instance", pa.string()), ("pattern", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
-_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("base", pa.list_(_MARK)), ("seen", pa.list_(_SEEN))])
-_FOUND_DDL = "row long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start: long, end: long, kind: string>>, seen array<struct<kind: string, instance: string, pattern: string, seed: boolean, start: long, end: long>>"
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("base", pa.list_(_MARK)), ("seen", pa.list_(_SEEN))])
+_FOUND_DDL = "row long, doc_id long, text_hash long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start: long, end: long, kind: string>>, seen array<struct<kind: string, instance: string, pattern: string, seed: boolean, start: long, end: long>>"
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +124,13 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         nonlocal row
-        for doc_id, text in rows_of(batches):
+        for doc_id, text, text_hash in rows_of(batches):
             text = text or ""
             base = base_spans(text)
             counts = [sum(k == kind for _, _, k in base) for kind in KINDS]
             digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
             seen = [(k, text[s:e].lower(), p, seed, s, e) for spans, seed in ((base, True), (candidates(text, base), False)) for s, e, k in spans for p in _contexts(text, s, e)]
-            yield row, doc_id, *counts, digest, base, seen
+            yield row, doc_id, text_hash, *counts, digest, base, seen
             row += 1
 
     yield from to_batches(rows(), _FOUND)
@@ -163,14 +163,14 @@ def _order(kind: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """row (a key), doc_id, n_<kind> and base_sha256 of the base spans, and
+    """row (a key), doc_id, text_hash, n_<kind> and base_sha256 of the base spans, and
     spans: an array of (start, end, kind) of all spans, base and discovered,
     ordered by start and kind. Every row of docs gives one row.
 
     Null and empty texts have no spans; rows with null or equal ids are kept,
     each with its own spans; other columns are ignored; no rows give no rows.
     Copies of a text count once in the graph, whose edges are distinct."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     found = written(texts.mapInArrow(_scan, _FOUND_DDL), "base-spans")
     seen = found.filter(F.size("seen") > 0).select("row", F.inline("seen"))
     trusted = trusted_instances(seen.select("kind", "pattern", "instance", "seed"), min_seeds, min_confidence)
@@ -178,7 +178,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_se
     added = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added"))
     ordered = F.array_sort(F.transform(F.concat("base", F.coalesce("added", F.array())), lambda x: F.struct(x["start"].alias("start"), _order(x["kind"]).alias("at"), x["end"].alias("end"), x["kind"].alias("kind"))))
     spans = F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return found.drop("seen").join(added, "row", "left").select("row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
+    return found.drop("seen").join(added, "row", "left").select("row", "doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
 
 
 def redact(text: str, spans: list) -> str:
@@ -189,3 +189,24 @@ def redact(text: str, spans: list) -> str:
             out += [text[at:start], f"[{kind.upper()}]"]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the spans of find() replaced in the text by their kinds; all
+    rows and columns stay. Rows are matched by id and text, so rows that repeat
+    both share their spans. Null texts stay null."""
+    spans = find(docs, id_col, text_col).filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.min("spans").alias("_lintora_spans"))
+    spans = spans.select(F.col("doc_id").alias("_lintora_id"), F.col("text_hash").alias("_lintora_hash"), "_lintora_spans")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_lintora_id")) & (F.xxhash64(f"`{text_col}`") == F.col("_lintora_hash"))
+    marked = docs.join(spans, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_lintora_spans")
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, marks = batch.columns
+            if marks.null_count < len(marks):
+                texts = [redact(t, [(x["start"], x["end"], x["kind"]) for x in m]) if m else t for t, m in zip(columns[place].to_pylist(), marks.to_pylist())]
+                columns[place] = pa.array(texts, columns[place].type)
+            yield pa.record_batch(columns, names=batch.schema.names[:-1])
+
+    return marked.mapInArrow(run, docs.schema)
