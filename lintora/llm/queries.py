@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, containment, language, packing, personal_data, simhash, token_counts, token_files
+from lintora.llm import bucket_digest, common, containment, language, packing, personal_data, simhash, token_counts, token_files, url_filter
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -73,10 +79,11 @@ def queries() -> dict:
         "op4_containment": op4_containment,
         "op5_token_counts": op5_token_counts,
         "op6_language": op6_language,
+        "op7_url_filter": op7_url_filter,
         "op8_simhash_golay": op8_simhash_golay,
         "op10_personal_data": op10_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_containment": containment.SQL}
+    return {"op4_containment": containment.SQL, "op7_url_filter": url_filter.SQL}
