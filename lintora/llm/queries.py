@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, containment, language, packing, personal_data, simhash, token_counts, token_files, url_filter
+from lintora.llm import bucket_digest, common, containment, language, packing, personal_data, simhash, substrings, token_counts, token_files, url_filter
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -64,6 +64,12 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without word sequences that occur earlier."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents: base spans and all spans."""
     found = personal_data.find(table(spark, sf_dir, "documents"))
@@ -81,6 +87,7 @@ def queries() -> dict:
         "op6_language": op6_language,
         "op7_url_filter": op7_url_filter,
         "op8_simhash_golay": op8_simhash_golay,
+        "op9_substrings": op9_substrings,
         "op10_personal_data": op10_personal_data,
     }
 

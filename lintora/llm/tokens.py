@@ -29,7 +29,7 @@ def byte_letters() -> list[str]:
 _LETTERS = byte_letters()
 
 
-class _Learned(dict):
+class Learned(dict):
     """A dictionary that learns what it lacks and starts anew when full."""
 
     def __init__(self, learn, bound: int):
@@ -57,8 +57,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size() + 1)]
-        self.pieces = _Learned(self._piece, bound)
-        self.words = _Learned(self._word, bound // 4)
+        self.pieces = Learned(self._piece, bound)
+        self.words = Learned(self._word, bound // 4)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
