@@ -2,10 +2,465 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lintora.functions import scalars as S
+from lintora.operators import commands, dashboards, explain, learning, rules, scan, sessions
+from lintora.plans import duck as D
+from lintora.sources import tables as T
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _now():
+    return F.lit("2025-01-01 00:00:00").cast("timestamp")
+
+
+# ---- dashboards ----
+
+
+@_query(D.with_(D.FINDINGS, D.STATS) + "SELECT * FROM stats")
+def dev_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboards.developer_stats(T.findings(spark, sf))
+
+
+@_query(D.with_(D.FINDINGS, D.STATS) + "SELECT CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(coalesce(sum(n_critical), 0) AS BIGINT) AS n_critical, coalesce(CAST(floor(avg(score) + 0.5) AS BIGINT), 100) AS avg_score, count(*) AS n_developers FROM stats")
+def team_totals(spark, sf):
+    return dashboards.team_totals(dashboards.developer_stats(T.findings(spark, sf)))
+
+
+@_query(D.with_(D.FINDINGS) + f"SELECT count(*) AS total, {D.COUNTS} FROM findings")
+def findings_summary(spark, sf):
+    return dashboards.summary(T.findings(spark, sf))
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT vuln_type, count(*) AS n FROM findings GROUP BY vuln_type")
+def summary_by_type(spark, sf):
+    return dashboards.by_type(T.findings(spark, sf))
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT vuln_type, n, CAST(floor(n / sum(n) OVER () * 100 + 0.5) AS BIGINT) AS pct, row_number() OVER (ORDER BY n DESC, first_seq) AS position FROM (SELECT vuln_type, count(*) AS n, min(seq) AS first_seq FROM findings GROUP BY vuln_type)")
+def type_breakdown_pct(spark, sf):
+    return dashboards.type_breakdown(T.findings(spark, sf))
+
+
+@_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + "SELECT trend, count(*) AS n FROM summaries WHERE total > 0 GROUP BY trend")
+def score_bands(spark, sf):
+    found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now())
+    return found.filter("total > 0").groupBy("trend").agg(F.count("*").alias("n"))
+
+
+_RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 99 END"
+
+
+@_query(D.with_(D.FINDINGS) + f"SELECT seq, severity, line_number, vuln_type FROM findings ORDER BY {_RANK}, line_number, seq LIMIT 20")
+def severity_sort_top20(spark, sf):
+    return T.findings(spark, sf).orderBy(S.severity_rank(F.col("severity")), "line_number", "seq").select("seq", "severity", "line_number", "vuln_type").limit(20)
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT seq, developer_id, severity, vuln_type FROM findings WHERE severity IN ('CRITICAL', 'HIGH')")
+def alerts_high_critical(spark, sf):
+    return T.findings(spark, sf).filter(F.col("severity").isin("CRITICAL", "HIGH")).select("seq", "developer_id", "severity", "vuln_type")
+
+
+_ROSTER = "SELECT user_id, username, role, upper(left(username, 1)) AS initial, coalesce(total, 0) AS total, coalesce(score, 100) AS score, CASE WHEN coalesce(score, 100) >= 80 THEN 'improving' WHEN coalesce(score, 100) >= 50 THEN 'stable' ELSE 'declining' END AS band, coalesce(total, 0) > 50 AS highlight FROM users LEFT JOIN stats ON user_id = developer_id"
+
+
+@_query(D.with_(D.FINDINGS, D.STATS, D.USERS) + _ROSTER + " WHERE role = 'developer'")
+def roster_with_stats(spark, sf):
+    return dashboards.roster(T.users(spark, sf), dashboards.developer_stats(T.findings(spark, sf)))
+
+
+@_query(D.with_(D.FINDINGS, D.STATS, D.USERS) + _ROSTER)
+def admin_users_with_stats(spark, sf):
+    return dashboards.roster(T.users(spark, sf), dashboards.developer_stats(T.findings(spark, sf)), None)
+
+
+@_query(D.with_(D.PROJECTS, D.SHIFTS) + "SELECT p.project_id, p.name, count(s.shift_id) AS n_shifts, " + ", ".join(f"count(*) FILTER (s.status = '{x}') AS n_{x}" for x in ("scheduled", "active", "completed")) + " FROM projects p LEFT JOIN shifts s USING (project_id) GROUP BY ALL")
+def project_shift_counts(spark, sf):
+    return dashboards.project_shift_counts(T.projects(spark, sf), T.shifts(spark, sf))
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT h.shift_id, h.name, count(*) FILTER (s.session_id IS NOT NULL AND s.ended_at IS NULL) AS n_active, count(s.ended_at) AS n_completed FROM shifts h LEFT JOIN sessions s USING (shift_id) GROUP BY ALL")
+def shift_session_counts(spark, sf):
+    return dashboards.shift_session_counts(T.shifts(spark, sf), T.sessions(spark, sf))
+
+
+@_query(D.with_(D.USERS, D.SHIFTS, D.SESSIONS) + "SELECT 'users ' || role AS name, count(*) AS n FROM users GROUP BY role UNION ALL SELECT 'shifts ' || status, count(*) FROM shifts GROUP BY status UNION ALL SELECT 'live sessions', count(*) FROM sessions WHERE ended_at IS NULL")
+def status_counters(spark, sf):
+    return dashboards.status_counters(T.users(spark, sf), T.shifts(spark, sf), T.sessions(spark, sf))
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT file_name, seq, severity FROM findings QUALIFY rank() OVER (PARTITION BY file_name ORDER BY seq DESC) = 1")
+def latest_per_file(spark, sf):
+    return dashboards.latest_by_file(T.findings(spark, sf)).select("file_name", "seq", "severity")
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT seq, developer_id, vuln_type, severity, confidence FROM findings ORDER BY seq DESC LIMIT 10")
+def live_stream_last10(spark, sf):
+    return T.findings(spark, sf).orderBy(F.desc("seq")).limit(10).select("seq", "developer_id", "vuln_type", "severity", "confidence")
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT seq, line_number, vuln_type FROM findings WHERE line_number BETWEEN 10 AND 20")
+def findings_at_lines(spark, sf):
+    return dashboards.at_line(T.findings(spark, sf), 10, 20).select("seq", "line_number", "vuln_type")
+
+
+@_query(D.with_(D.PROJECTS) + "SELECT project_id, name FROM projects WHERE supervisor_id = 1 AND status = 'active'")
+def supervisor_projects(spark, sf):
+    return T.projects(spark, sf).filter("supervisor_id = 1 and status = 'active'").select("project_id", "name")
+
+
+@_query(D.with_(D.SHIFTS) + "SELECT shift_id, name, status FROM shifts WHERE list_contains(assigned, 72)")
+def shifts_of_developer(spark, sf):
+    return T.shifts(spark, sf).filter(F.array_contains("assigned", F.lit(72).cast("long"))).select("shift_id", "name", "status")
+
+
+@_query(D.with_(D.USERS) + "SELECT username, role, (SELECT count(*) FROM users WHERE role = 'administrator') AS n_administrators, role <> 'administrator' OR (SELECT count(*) FROM users WHERE role = 'administrator') > 1 AS may_go FROM users WHERE user_id = 1")
+def last_administrator_guard(spark, sf):
+    users = T.users(spark, sf)
+    name = users.filter("user_id = 1").select("username").first()
+    return dashboards.administrators_left(users, name.username if name else "")
+
+
+@_query(D.with_(D.USERS) + ", u AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'gh' || user_id END AS github_username FROM users), logins AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'gh' || user_id ELSE username END AS label FROM users) SELECT label, coalesce(g.user_id, n.user_id) AS user_id, CASE WHEN g.user_id IS NOT NULL THEN 'external' WHEN n.user_id IS NOT NULL THEN 'username' ELSE 'provisioned' END AS matched_by FROM logins LEFT JOIN u g ON label = g.github_username LEFT JOIN u n ON label = n.username")
+def user_match_cascade(spark, sf):
+    gh = F.concat(F.lit("gh"), F.col("user_id").cast("string"))
+    users = T.users(spark, sf).withColumn("github_username", F.when(F.col("user_id") % 3 == 0, gh))
+    logins = T.users(spark, sf).select(F.when(F.col("user_id") % 2 == 0, gh).otherwise(F.col("username")).alias("label"))
+    return dashboards.matched_users(logins, users)
+
+
+# ---- sessions ----
+
+_SUMMARY = ["session_id", "total", "n_critical", "n_high", "n_medium", "n_low", "n_info", "minutes", "score", "trend"]
+
+
+@_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + f"SELECT {', '.join(_SUMMARY)}, array_to_string(files, ',') AS files, len(files) AS n_files, array_to_string(files[1:5], ',') || CASE WHEN len(files) > 5 THEN ' +' || (len(files) - 5) || ' more' ELSE '' END AS shown_files FROM summaries")
+def session_summary(spark, sf):
+    found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now())
+    more = F.when(F.size("files") > 5, F.concat(F.lit(" +"), (F.size("files") - 5).cast("string"), F.lit(" more"))).otherwise("")
+    return found.select(*_SUMMARY, F.array_join("files", ",").alias("files"), F.size("files").cast("long").alias("n_files"), F.concat(F.array_join(F.slice("files", 1, 5), ","), more).alias("shown_files"))
+
+
+_TESTS = {"sql": "t_sql_injection >= 2", "xss": "t_xss >= 1", "secret": "t_hardcoded_secret >= 1", "command": "t_command_injection >= 1", "dense": "total > 15", "clean": "minutes > 0 AND total = 0"}
+_ADVICE = dict(sessions.ADVICE)
+
+
+@_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + "SELECT session_id, coalesce(nullif(concat_ws('|', " + ", ".join(f"CASE WHEN {t} THEN '{_ADVICE[k]}' END" for k, t in _TESTS.items()) + f"), ''), '{_ADVICE['other']}') AS recommendations FROM summaries")
+def session_recommendations(spark, sf):
+    found = sessions.recommendations(sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now()))
+    return found.select("session_id", F.array_join("recommendations", "|").alias("recommendations"))
+
+
+@_query(D.with_(D.SESSIONS) + "SELECT session_id, CAST(floor((epoch_ms(coalesce(ended_at, TIMESTAMP '2025-01-01')) - epoch_ms(started_at)) / 60000 + 0.5) AS BIGINT) AS minutes FROM sessions")
+def session_duration(spark, sf):
+    return T.sessions(spark, sf).select("session_id", S.minutes_between(F.col("started_at"), F.col("ended_at"), _now()).alias("minutes"))
+
+
+@_query(D.with_(D.SESSIONS) + "SELECT session_id, developer_id, epoch_ms(coalesce(ended_at, lead(started_at) OVER (PARTITION BY developer_id ORDER BY started_at, session_id))) AS end_ms FROM sessions")
+def implicit_session_end(spark, sf):
+    return sessions.implicit_ends(T.sessions(spark, sf)).select("session_id", "developer_id", F.unix_millis("effective_end").alias("end_ms"))
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT h.shift_id, count(s.ended_at) AS ended, len(assigned) AS n_assigned, count(s.ended_at) >= len(assigned) AND count(s.ended_at) > 0 AS completed FROM shifts h LEFT JOIN sessions s USING (shift_id) GROUP BY h.shift_id, assigned")
+def shift_completion(spark, sf):
+    return sessions.completion(T.shifts(spark, sf), T.sessions(spark, sf))
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT h.shift_id, count(DISTINCT CASE WHEN ended_at IS NOT NULL THEN developer_id END) AS ended, len(assigned) AS n_assigned, count(DISTINCT CASE WHEN ended_at IS NOT NULL THEN developer_id END) >= len(assigned) AND count(s.ended_at) > 0 AS completed FROM shifts h LEFT JOIN sessions s USING (shift_id) GROUP BY h.shift_id, assigned")
+def shift_completion_distinct(spark, sf):
+    return sessions.completion(T.shifts(spark, sf), T.sessions(spark, sf), True)
+
+
+@_query(D.with_(D.SESSIONS) + "SELECT session_id, developer_id, epoch_ms(started_at) AS started_ms FROM sessions ORDER BY started_at DESC, session_id LIMIT 10")
+def recent_sessions_top10(spark, sf):
+    return T.sessions(spark, sf).orderBy(F.desc("started_at"), "session_id").limit(10).select("session_id", "developer_id", F.unix_millis("started_at").alias("started_ms"))
+
+
+@_query(D.with_(D.SESSIONS) + "SELECT developer_id, session_id FROM sessions WHERE ended_at IS NULL QUALIFY row_number() OVER (PARTITION BY developer_id ORDER BY started_at, session_id) = 1")
+def active_sessions(spark, sf):
+    return sessions.active_session(T.sessions(spark, sf)).select("developer_id", "session_id")
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + ", open_sessions AS (SELECT developer_id, session_id, shift_id FROM sessions WHERE ended_at IS NULL QUALIFY row_number() OVER (PARTITION BY developer_id ORDER BY started_at, session_id) = 1), mine AS (SELECT * FROM open_sessions WHERE developer_id = 71) SELECT h.shift_id, h.name, CASE WHEN m.session_id IS NOT NULL THEN 'can_end' WHEN status <> 'completed' AND (SELECT count(*) FROM mine) = 0 THEN 'can_start' WHEN status = 'completed' THEN 'done' ELSE 'waiting' END AS state FROM shifts h LEFT JOIN mine m USING (shift_id) WHERE list_contains(assigned, 71)")
+def shift_action_state(spark, sf):
+    return sessions.shift_action(T.shifts(spark, sf), sessions.active_session(T.sessions(spark, sf)), F.lit(71).cast("long"))
+
+
+# ---- learning ----
+
+
+def _events(spark, sf):
+    return T.findings(spark, sf).withColumn("snippet_hash", S.snippet_hash(F.col("code_snippet")))
+
+
+@_query(D.with_(D.FINDINGS, D.BY_TYPE) + "SELECT * REPLACE (epoch_us(first_seen) // 1000 AS first_seen, epoch_us(last_seen) // 1000 AS last_seen) FROM by_type")
+def learning_counters(spark, sf):
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return learning.counters(T.findings(spark, sf)).withColumns({c: ms(c) for c in ("first_seen", "last_seen")})
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT developer_id, vuln_type, rule_id, count(*) FILTER (kind = 'FIXED') AS fixed, count(*) FILTER (kind = 'IGNORED') AS ignored, count(*) FILTER (kind = 'FALSE_POSITIVE') AS false_positives, epoch_us(max(ts)) // 1000 AS last_updated FROM findings GROUP BY ALL")
+def rule_counters(spark, sf):
+    return learning.rule_counters(T.findings(spark, sf)).withColumn("last_updated", F.unix_millis(F.col("last_updated").cast("timestamp")))
+
+
+@_query(D.with_(D.FINDINGS, D.ADJUSTED) + "SELECT * FROM adjusted")
+def adjusted_confidence(spark, sf):
+    return learning.adjusted_confidence(T.findings(spark, sf))
+
+
+@_query(D.with_(D.FINDINGS, D.SUPPRESSED) + "SELECT * FROM suppressed")
+def suppressed_types(spark, sf):
+    return learning.suppressed(T.findings(spark, sf))
+
+
+@_query(D.with_(D.FINDINGS, D.hashes(5)) + "SELECT developer_id, array_to_string(hashes, ',') AS hashes FROM hashes")
+def fp_window(spark, sf):
+    """With a window of 5, so that entries are evicted here."""
+    return learning.false_positive_hashes(_events(spark, sf), 5).select("developer_id", F.array_join("hashes", ",").alias("hashes"))
+
+
+@_query(D.with_(D.FINDINGS, D.BY_TYPE) + "SELECT developer_id, vuln_type, CASE WHEN detections > 0 THEN CAST(floor(fixes / detections * 100 + 0.5) AS BIGINT) ELSE 0 END AS fix_rate FROM by_type")
+def fix_rate(spark, sf):
+    return learning.fix_rate(learning.counters(T.findings(spark, sf))).select("developer_id", "vuln_type", "fix_rate")
+
+
+_WEAK = "weak AS (SELECT developer_id, list(vuln_type ORDER BY first_seen, vuln_type) AS weaknesses FROM by_type WHERE detections >= 3 AND fixes < detections * 0.5 GROUP BY developer_id)"
+
+
+@_query(D.with_(D.FINDINGS, D.BY_TYPE, _WEAK) + "SELECT developer_id, array_to_string(weaknesses, ',') AS weaknesses FROM weak")
+def recurring_weaknesses(spark, sf):
+    return learning.weaknesses(learning.counters(T.findings(spark, sf))).select("developer_id", F.array_join("weaknesses", ",").alias("weaknesses"))
+
+
+_PASSED = f"passed AS (SELECT f.* FROM findings f ANTI JOIN suppressed s USING (developer_id, vuln_type) WHERE confidence >= 0.7 AND NOT EXISTS (SELECT 1 FROM hashes h WHERE h.developer_id = f.developer_id AND list_contains(h.hashes, {D.HASH})))"
+
+
+@_query(D.with_(D.FINDINGS, D.SUPPRESSED, D.hashes(100), _PASSED) + "SELECT seq, developer_id, vuln_type, confidence FROM passed")
+def learning_filter(spark, sf):
+    e = _events(spark, sf)
+    return learning.learning_filter(e, learning.suppressed(e), learning.false_positive_hashes(e)).select("seq", "developer_id", "vuln_type", "confidence")
+
+
+@_query(D.with_(D.FINDINGS, D.ADJUSTED) + "SELECT seq, coalesce(adjusted_confidence, confidence) AS confidence FROM findings LEFT JOIN adjusted USING (developer_id, vuln_type, rule_id)")
+def confidence_override(spark, sf):
+    e = T.findings(spark, sf)
+    return learning.confidence_override(e, learning.adjusted_confidence(e)).select("seq", "confidence")
+
+
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+@_query(D.with_(D.FINDINGS, D.BY_TYPE, D.SUPPRESSED, _WEAK) + f", wanted AS (SELECT DISTINCT user_id AS developer_id, unnest(['SQL_INJECTION', 'XSS']) AS vuln_type FROM events) SELECT w.developer_id, w.vuln_type, CASE WHEN b.detections IS NULL THEN 'First time with ' || w.vuln_type || '.' ELSE concat_ws(chr(10), 'History of ' || w.vuln_type || ':', '  detections: ' || detections, '  fixes: ' || fixes, '  fix rate %: ' || CASE WHEN detections > 0 THEN CAST(floor(fixes / detections * 100 + 0.5) AS BIGINT) ELSE 0 END, '  ignored: ' || ignored, '  false positives: ' || b.false_positives, '  first seen: ' || {_ISO.format('first_seen')}, '  last seen: ' || {_ISO.format('last_seen')}, CASE WHEN s.false_positives IS NOT NULL THEN '  suppressed after repeated false positives' END, '  recurring: ' || array_to_string(weaknesses, ', ')) END AS context FROM wanted w LEFT JOIN by_type b USING (developer_id, vuln_type) LEFT JOIN suppressed s USING (developer_id, vuln_type) LEFT JOIN weak USING (developer_id)")
+def learning_context(spark, sf):
+    e = T.findings(spark, sf)
+    by_type = learning.counters(e)
+    wanted = e.select("developer_id").distinct().select("developer_id", F.explode(F.array(F.lit("SQL_INJECTION"), F.lit("XSS"))).alias("vuln_type"))
+    return learning.context(by_type, learning.suppressed(e), learning.weaknesses(by_type), wanted)
+
+
+@_query(D.with_(D.FINDINGS) + f"SELECT seq, {D.HASH} AS snippet_hash FROM findings")
+def snippet_hash(spark, sf):
+    return _events(spark, sf).select("seq", "snippet_hash")
+
+
+# ---- the scan ----
+
+_SCANNED = ["finding_key", "file_name", "language_id", "type", "severity", "confidence", "message", "line_number", "column_number", "code_snippet", "rule_id", "pattern_id", "range_start", "range_end"]
+
+
+def _scan(spark, sf, which=rules.RULES):
+    return scan.scan(T.code_corpus(spark, sf), which)
+
+
+def _scan_sql(which=rules.RULES) -> str:
+    return D.with_(D.DOCS, scan.sql(which).strip())
+
+
+@_query(_scan_sql((rules.SQL,)) + f"SELECT {', '.join(_SCANNED)} FROM findings")
+def scan_sql(spark, sf):
+    return _scan(spark, sf, (rules.SQL,)).select(*_SCANNED)
+
+
+@_query(_scan_sql((rules.XSS,)) + f"SELECT {', '.join(_SCANNED)} FROM findings")
+def scan_xss(spark, sf):
+    return _scan(spark, sf, (rules.XSS,)).select(*_SCANNED)
+
+
+@_query(_scan_sql((rules.SECRET,)) + f"SELECT {', '.join(_SCANNED)} FROM findings")
+def scan_secret(spark, sf):
+    return _scan(spark, sf, (rules.SECRET,)).select(*_SCANNED)
+
+
+@_query(_scan_sql() + f"SELECT {', '.join(_SCANNED)} FROM findings")
+def scan_all(spark, sf):
+    return _scan(spark, sf).select(*_SCANNED)
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.name}', '{r.type}', '{p.id}', {j}, {p.base}::DOUBLE, '{','.join(r.languages)}', {len(p.keywords)})" for r in rules.RULES for j, p in enumerate(r.patterns)) + ") t(rule_id, rule_name, type, pattern_id, pattern_index, base, languages, n_keywords)")
+def rule_catalog(spark, sf):
+    return scan.catalogue(spark)
+
+
+@_query(_scan_sql() + "SELECT file_name, pattern_id, range_start, CAST(coalesce(boost, 0) AS INTEGER) AS boost FROM live WHERE len(keywords) > 0")
+def keyword_boost(spark, sf):
+    hits = scan.raw_matches(T.code_corpus(spark, sf)).withColumn("boost", scan.boosts())
+    some = F.lit(None).cast("string")
+    comment = F.lit(False)
+    for i, r in enumerate(rules.RULES):
+        comment = F.when(F.col("rule_index") == i, scan.is_comment(F.col("line"), F.col("language_id"), r.comments)).otherwise(comment)
+        for j, p in enumerate(r.patterns):
+            if p.keywords:
+                some = F.when((F.col("rule_index") == i) & (F.col("pattern_index") == j), p.id).otherwise(some)
+    return hits.filter(~comment).withColumn("pattern_id", some).filter("pattern_id is not null").select("file_name", "pattern_id", "range_start", "boost")
+
+
+@_query(_scan_sql() + "SELECT file_name, rule_index, pattern_index, range_start, range_end, line_number, column_number FROM lined")
+def finding_positions(spark, sf):
+    return scan.raw_matches(T.code_corpus(spark, sf)).select("file_name", "rule_index", "pattern_index", "range_start", "range_end", "line_number", "column_number")
+
+
+@_query(_scan_sql((rules.SQL,)) + "SELECT count(*) AS n_raw, (SELECT count(*) FROM live) AS n_live, (SELECT count(*) FROM findings) AS n_findings FROM lined")
+def comment_filter_and_line_dedup(spark, sf):
+    """How many matches are left outside comments, and one for each line."""
+    hits = scan.raw_matches(T.code_corpus(spark, sf), (rules.SQL,))
+    live = ~scan.is_comment(F.col("line"), F.col("language_id"), "by_language")
+    return hits.agg(F.count("*").alias("n_raw"), F.count_if(live).alias("n_live"), F.count_distinct(F.when(live, F.struct("file_name", "line_number"))).alias("n_findings"))
+
+
+@_query(_scan_sql() + f", ranked AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY {_RANK}, line_number, rule_index, pattern_index, range_start) AS position FROM findings) SELECT finding_key, file_name, position, CASE WHEN position <= 3 THEN 'note on ' || pattern_id END AS explanation FROM ranked")
+def enrich_top3(spark, sf):
+    found = _scan(spark, sf)
+    responses = found.select("finding_key", F.concat(F.lit("note on "), "pattern_id").alias("explanation"))
+    return dashboards.enrich_top(found, responses, ["file_name"], scan.severity_order()).select("finding_key", "file_name", "position", "explanation")
+
+
+_META = "meta(type, title, description, recommendation) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in explain.METADATA) + ")"
+
+
+@_query(D.with_(D.DOCS, scan.sql((rules.SQL, rules.XSS)).strip(), _META) + "SELECT finding_key, coalesce(title, replace(type, '_', ' ')) AS title, coalesce(description, message) AS description, coalesce(recommendation, 'Follow secure coding practice.') AS recommendation FROM findings LEFT JOIN meta USING (type)")
+def metadata_join(spark, sf):
+    return explain.with_metadata(_scan(spark, sf, (rules.SQL, rules.XSS))).select("finding_key", "title", "description", "recommendation")
+
+
+_SLUG = "CASE type WHEN 'SQL_INJECTION' THEN 'SQL_Injection' WHEN 'XSS' THEN 'Cross_Site_Scripting_(XSS)' WHEN 'HARDCODED_SECRET' THEN 'Use_of_Hard-coded_Cryptographic_Key' ELSE type END"
+
+
+@_query(_scan_sql() + f"SELECT finding_key, '[' || type || ']' || chr(10) || message || chr(10) || 'Severity: ' || severity || ' | Confidence: ' || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '%' AS text, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'Error' ELSE 'Hint' END AS level, CASE severity WHEN 'CRITICAL' THEN '🚨' ELSE '🔴' END AS icon, 'https://owasp.org/www-community/attacks/' || {_SLUG} AS target FROM findings")
+def diagnostic_rows(spark, sf):
+    return dashboards.diagnostics(_scan(spark, sf)).select("finding_key", "text", "level", "icon", "target")
+
+
+def _first(code: str, *patterns: str, default: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({code}, '{p}', 1), '')" for p in patterns) + f", '{default}')"
+
+
+@_query(_scan_sql((rules.SQL,)) + f"""SELECT finding_key, {_first("code_snippet", r"\+\s*(\w+)\s*;?$", default="userInput")} AS variable,
+  CASE WHEN code_snippet ILIKE '%INSERT%' THEN 'INSERT' WHEN code_snippet ILIKE '%UPDATE%' THEN 'UPDATE' WHEN code_snippet ILIKE '%DELETE%' THEN 'DELETE' ELSE 'SELECT' END AS query_kind,
+  CASE WHEN regexp_matches(code_snippet, '(?:string|var)\\s+\\w+\\s*=') THEN 'csharp' WHEN regexp_matches(code_snippet, 'f["'']') OR contains(code_snippet, '%') THEN 'python' WHEN contains(code_snippet, '`') OR regexp_matches(code_snippet, 'const|let') THEN 'javascript' ELSE 'generic' END AS language,
+  {_first("code_snippet", r"(?i)WHERE\s+(\w+)\s*=", default="id")} AS "column", {_first("code_snippet", r"(?:string|var|let|const|query)\s+(\w+)\s*=", default="query")} AS query_variable FROM findings""")
+def explain_sql(spark, sf):
+    return explain.explain(_scan(spark, sf, (rules.SQL,))).select("finding_key", "variable", "query_kind", "language", "column", "query_variable")
+
+
+@_query(_scan_sql((rules.XSS,)) + f"""SELECT finding_key, headline, attack, fixed_code FROM (
+  SELECT finding_key, v || ' is written to the page unescaped' AS headline, CASE sink WHEN 'eval' THEN 'Code in ' || v || ' runs at once.' WHEN 'react' THEN 'React''s escaping is bypassed.' ELSE 'Markup in ' || v || ' may run scripts.' END AS attack,
+    CASE sink WHEN 'innerHTML' THEN 'element.textContent = ' || v WHEN 'eval' THEN 'JSON.parse(' || v || ')' ELSE 'sanitize(' || v || ')' END AS fixed_code FROM (
+    SELECT *, {_first("code_snippet", r"=\s*(\w+)\s*;?\s*$", r"\((\w+)\)", r"\{(\w+)\}", default="userInput")} AS v,
+      CASE WHEN contains(code_snippet, 'innerHTML') THEN 'innerHTML' WHEN regexp_matches(code_snippet, '\\beval\\s*\\(') THEN 'eval' WHEN contains(code_snippet, 'dangerouslySetInnerHTML') THEN 'react' ELSE 'other' END AS sink FROM findings))""")
+def explain_xss(spark, sf):
+    return explain.explain(_scan(spark, sf, (rules.XSS,))).select("finding_key", "headline", "attack", "fixed_code")
+
+
+@_query(_scan_sql((rules.SECRET,)) + f"""SELECT finding_key, CASE WHEN regexp_matches(code_snippet, 'AKIA|(?i:aws)') THEN 'AWS key' WHEN regexp_matches(code_snippet, 'eyJ|(?i:jwt|token)') THEN 'Token' WHEN regexp_matches(code_snippet, '(?i)api_?key') THEN 'API key' WHEN regexp_matches(code_snippet, '(?i)password|passwd|pwd') THEN 'Password' ELSE 'Credential' END AS secret_kind,
+  {_first("code_snippet", r"(?:const|let|var|private|string)\s+(\w+)\s*=", default="secret")} || ' = env.' || upper({_first("code_snippet", r"(?:const|let|var|private|string)\s+(\w+)\s*=", default="secret")}) AS fixed_code FROM findings""")
+def explain_secret(spark, sf):
+    return explain.explain(_scan(spark, sf, (rules.SECRET,))).select("finding_key", "secret_kind", "fixed_code")
+
+
+_OTHER = "'run(\"ls \" + ' || c_name || ')'"
+
+
+@_query(f"""WITH f AS (SELECT c_custkey AS id, ['COMMAND_INJECTION', 'PATH_TRAVERSAL', 'INSECURE_AUTH'][c_custkey % 3 + 1] AS type, 'run("ls " + name' || c_custkey || ')' AS code FROM customer), v AS (SELECT *, {_first("code", r"\+\s*(\w+)", r"\$\{(\w+)\}", default="userInput")} AS v FROM f)
+SELECT id, CASE type WHEN 'COMMAND_INJECTION' THEN 'A command is joined with ' || v WHEN 'PATH_TRAVERSAL' THEN 'A path is joined with ' || v ELSE replace(type, '_', ' ') || ' detected' END AS headline, CASE type WHEN 'COMMAND_INJECTION' THEN 'execFile(program, [' || v || '])' WHEN 'PATH_TRAVERSAL' THEN 'resolve(base, ' || v || '), then check that it starts with base' ELSE 'See the guidelines on ' || replace(type, '_', ' ') END AS fixed_code FROM v""")
+def explain_others(spark, sf):
+    kinds = F.array(*[F.lit(t) for t in ("COMMAND_INJECTION", "PATH_TRAVERSAL", "INSECURE_AUTH")])
+    c = T.table(spark, sf, "customer")
+    found = c.select(F.col("c_custkey").alias("id"), F.element_at(kinds, (F.col("c_custkey") % 3 + 1).cast("int")).alias("type"), F.concat(F.lit('run("ls " + name'), F.col("c_custkey").cast("string"), F.lit(")")).alias("code_snippet"))
+    return explain.explain(found).select("id", "headline", "fixed_code")
+
+
+# ---- events, state, functions ----
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT CAST(seq AS VARCHAR) AS event_id, developer_id, vuln_type, severity, confidence, file_name, line_number, action, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS \"timestamp\" FROM findings")
+def event_projection(spark, sf):
+    return T.findings(spark, sf).select(F.col("seq").cast("string").alias("event_id"), "developer_id", "vuln_type", "severity", "confidence", "file_name", "line_number", "action", S.iso(F.col("ts").cast("timestamp")).alias("timestamp"))
+
+
+@_query(D.with_(D.FINDINGS) + ", e AS (SELECT developer_id || ':' || vuln_type AS event_id, action, ts FROM findings), d AS (SELECT event_id, min(ts) AS seen FROM e WHERE action = 'DETECTED' GROUP BY event_id) SELECT event_id, action, epoch_us(ts) // 1000 - epoch_us(seen) // 1000 AS response_ms FROM e JOIN d USING (event_id) WHERE action <> 'DETECTED'")
+def response_time(spark, sf):
+    """Beyond the declared contract: nothing computed it before."""
+    e = T.findings(spark, sf).select(F.concat_ws(":", F.col("developer_id").cast("string"), "vuln_type").alias("event_id"), "action", "ts")
+    return dashboards.response_times(e)
+
+
+@_query("WITH e AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 3600000000 THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM e) SELECT user_id AS document, max_by(event_id, (ts, event_id)) AS last_change, count(*) AS n_changes, epoch_us(max(ts)) + 3600000000 AS fires_us FROM s GROUP BY user_id, burst")
+def debounce_sessions(spark, sf):
+    """Changes of a document (here: a user's events) within a gap count as one,
+    taken when the gap after the last has passed (here: an hour)."""
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("document"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    bursts = e.groupBy("document", F.session_window("ts", "1 hour").alias("w")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_change"), F.count("*").alias("n_changes"))
+    return bursts.select("document", "last_change", "n_changes", F.unix_micros("w.end").alias("fires_us"))
+
+
+_COMMANDS = "c AS (SELECT n_nationkey AS project_id, 1 AS seq, 'create' AS op, n_name AS name, 'active' AS status FROM nation UNION ALL SELECT n_nationkey, 2, 'update', NULL, 'archived' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 3, 'delete', NULL, NULL FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey, 4, 'create', 'again', 'active' FROM nation WHERE n_nationkey % 6 = 0)"
+
+
+@_query(D.with_(_COMMANDS) + "SELECT project_id, CASE WHEN project_id % 6 = 0 THEN 'again' ELSE name END AS name, CASE WHEN project_id % 6 = 0 THEN 'active' WHEN project_id % 2 = 0 THEN 'archived' ELSE 'active' END AS status FROM c WHERE seq = 1 AND (project_id % 3 <> 0 OR project_id % 6 = 0)")
+def command_log_fold(spark, sf):
+    n = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
+    null = F.lit(None).cast("string")
+
+    def said(df, seq, op, name, status):
+        return df.select("project_id", F.lit(seq).alias("seq"), F.lit(op).alias("op"), name.alias("name"), status.alias("status"))
+
+    log = said(n, 1, "create", F.col("name"), F.lit("active"))
+    log = log.unionByName(said(n.filter("project_id % 2 = 0"), 2, "update", null, F.lit("archived"))).unionByName(said(n.filter("project_id % 3 = 0"), 3, "delete", null, null)).unionByName(said(n.filter("project_id % 6 = 0"), 4, "create", F.lit("again"), F.lit("active")))
+    return commands.fold(log, "project_id", ["name", "status"])
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query("""SELECT p_partkey, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS shortened, replace(replace(replace(replace('<' || p_brand || '> & "x"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+  'part' || p_partkey || '.ts' AS base, 'ts' AS ext, replace('A_' || p_size, '_', ' ') AS label, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS rounded, floor(p_retailprice / 7 * 100 + 0.5) / 100 AS rounded2, sha256(p_name) AS sha, upper(left(p_name, 1)) AS initial,
+  coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type END, 'DEV_UNKNOWN') AS identity FROM part""")
+def scalar_functions(spark, sf):
+    p = T.table(spark, sf, "part")
+    path = F.concat(F.lit("src/a/part"), F.col("p_partkey").cast("string"), F.lit(".TS"))
+    return p.select(
+        "p_partkey", S.truncated(F.col("p_name"), 8, "...").alias("shortened"), S.html_escaped(F.concat(F.lit("<"), "p_brand", F.lit('> & "x"'))).alias("escaped"),
+        S.basename(F.replace(path, F.lit(".TS"), F.lit(".ts"))).alias("base"), S.extension(path).alias("ext"), S.label(F.concat(F.lit("A_"), F.col("p_size").cast("string"))).alias("label"),
+        S.js_round(F.col("p_retailprice")).alias("rounded"), S.js_round(F.col("p_retailprice") / 7, 2).alias("rounded2"), F.sha2("p_name", 256).alias("sha"), S.initial(F.col("p_name")).alias("initial"),
+        S.developer_identity(F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.col("p_type"))).alias("identity"),
+    )
