@@ -32,17 +32,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate component stays, that with the
     smallest id. Of rows with the same id the first by text stays; a row
     without an id stays if its component has no id."""
-    found = simhash.near_duplicates(docs).select("doc_id", "component_id")
-    kept = found.filter("doc_id <=> component_id").distinct().select(F.col("doc_id").alias("kept_id"))
-    chosen = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return _one_of_each(chosen)
-
-
-def _one_of_each(docs: DataFrame) -> DataFrame:
-    """One row for each id; ids that repeat, which is rare, are sorted apart."""
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    first = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return docs.join(repeated, "doc_id", "left_anti").unionByName(first).select(*COLUMNS)
+    found = simhash.near_duplicates(docs).filter("doc_id <=> component_id")
+    kept = common.written(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    single = docs.select(*COLUMNS).join(kept.filter("n_rows = 1 or kept_id is null").select("kept_id"), same, "left_semi")
+    repeated = kept.filter("n_rows > 1 and kept_id is not null").select("kept_id")
+    if repeated.isEmpty():
+        return single
+    first = docs.select(*COLUMNS).join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return single.unionByName(first.select("doc_id", "row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
