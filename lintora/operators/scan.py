@@ -31,13 +31,13 @@ def matches(text: Column, regex: str) -> Column:
     return F.element_at(F.transform(F.array(both), placed), 1)
 
 
-def _found(text: Column, language: Column, rule_at: int, rule: Rule, at: int, p: Pattern) -> Column:
+def _found(text: Column, lower: Column, language: Column, rule_at: int, rule: Rule, at: int, p: Pattern) -> Column:
     regex = ("(?i)" if rule.ignore_case else "") + p.regex
     gate = language.isin(*rule.languages) if rule.languages else F.lit(True)
     if p.needs:
         some = F.lit(False)
         for s in p.needs:
-            some = some | F.contains(F.lower(text), F.lit(s))
+            some = some | F.contains(lower, F.lit(s))
         gate = gate & some
     rows = F.transform(F.when(gate, matches(text, regex)), lambda x: F.struct(F.lit(rule_at).alias("rule_index"), F.lit(at).alias("pattern_index"), x["start"].alias("range_start"), x["matched"].alias("matched")))
     return F.coalesce(rows, F.array().cast("array<struct<rule_index:int,pattern_index:int,range_start:int,matched:string>>"))
@@ -65,8 +65,9 @@ def raw_matches(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every match of every pattern with its place: file_name, language_id,
     text, rule_index, pattern_index, range_start, range_end, line_number (from
     1), column_number (from 0), line. Offsets count characters."""
-    text, language = F.col("text"), F.col("language_id")
-    arrays = [_found(text, language, i, rule, j, p) for i, rule in enumerate(rules) for j, p in enumerate(rule.patterns)]
+    # a generator in between, so that a text which is an expression is computed once
+    docs = docs.select("file_name", "language_id", F.inline(F.array(F.struct("text", F.lower("text").alias("lower_text")))))
+    arrays = [_found(F.col("text"), F.col("lower_text"), F.col("language_id"), i, rule, j, p) for i, rule in enumerate(rules) for j, p in enumerate(rule.patterns)]
     hits = docs.select("file_name", "language_id", "text", F.inline(F.concat(*arrays)))
     before = F.substring("text", F.lit(1), F.col("range_start"))
     lines = F.split(before, "\n", -1)
