@@ -9,8 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: The words of several contracts: runs without ASCII white space.
-WORD_BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +34,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows of df from a Parquet table in the shared folder. It cuts the
     lineage, survives lost executors, and fixes values such as row numbers
-    that another computation may give differently."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    that another computation may give differently. The shuffle files of the
+    write are removed when it is over."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
