@@ -43,12 +43,10 @@ def _found(text: Column, lower: Column, language: Column, rule_at: int, rule: Ru
     return F.coalesce(rows, F.array().cast("array<struct<rule_index:int,pattern_index:int,range_start:int,matched:string>>"))
 
 
-def _by_pattern(rules: Sequence[Rule], value, rule_at: Column, at: Column) -> Column:
-    out = F.lit(None)
-    for i, rule in enumerate(rules):
-        for j, p in enumerate(rule.patterns):
-            out = F.when((rule_at == i) & (at == j), F.lit(value(rule, p))).otherwise(out)
-    return out
+def _details(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """One row for each pattern, to be broadcast: a few dozen."""
+    rows = [(i, j, r.type, r.severity, p.message, r.id, p.id, p.base, r.step, bool(p.keywords)) for i, r in enumerate(rules) for j, p in enumerate(r.patterns)]
+    return spark.createDataFrame(rows, "rule_index int, pattern_index int, type string, severity string, message string, rule_id string, pattern_id string, base double, step double, boosted boolean")
 
 
 def is_comment(line: Column, language: Column, style: str) -> Column:
@@ -104,21 +102,16 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, enabled: bool = True) -
     comment = F.lit(False)
     for i, rule in enumerate(rules):
         comment = F.when(F.col("rule_index") == i, is_comment(F.col("line"), F.col("language_id"), rule.comments)).otherwise(comment)
-    pick = lambda value: _by_pattern(rules, value, F.col("rule_index"), F.col("pattern_index"))
-    live = hits.filter(~comment).withColumn("type", pick(lambda r, p: r.type))
+    live = hits.filter(~comment).join(F.broadcast(_details(docs.sparkSession, rules)), ["rule_index", "pattern_index"])
     first = Window.partitionBy("file_name", "type", "line_number").orderBy("rule_index", "pattern_index", "range_start")
-    confidence = S.js_round(F.least(F.lit(0.99), pick(lambda r, p: p.base) + F.col("boost") * pick(lambda r, p: r.step)), 2)
-    plain = S.js_round(pick(lambda r, p: p.base), 2)
-    has_keywords = pick(lambda r, p: bool(p.keywords))
+    confidence = F.when(F.col("boosted"), F.least(F.lit(0.99), F.col("base") + boosts(rules) * F.col("step"))).otherwise(F.col("base"))
     return (
-        live.withColumn("boost", boosts(rules))
-        .withColumn("nth", F.row_number().over(first))
+        live.withColumn("nth", F.row_number().over(first))
         .filter("nth = 1")
         .select(
-            S.finding_key(F.col("file_name"), F.col("line_number"), F.col("type"), pick(lambda r, p: r.id)).alias("finding_key"),
-            "file_name", "language_id", "type", pick(lambda r, p: r.severity).alias("severity"), F.when(has_keywords, confidence).otherwise(plain).alias("confidence"),
-            pick(lambda r, p: p.message).alias("message"), "line_number", "column_number", S.trimmed(F.col("line")).alias("code_snippet"), pick(lambda r, p: r.id).alias("rule_id"),
-            pick(lambda r, p: p.id).alias("pattern_id"), "range_start", "range_end", "rule_index", "pattern_index",
+            S.finding_key(F.col("file_name"), F.col("line_number"), F.col("type"), F.col("rule_id")).alias("finding_key"),
+            "file_name", "language_id", "type", "severity", S.js_round(confidence, 2).alias("confidence"), "message", "line_number", "column_number",
+            S.trimmed(F.col("line")).alias("code_snippet"), "rule_id", "pattern_id", "range_start", "range_end", "rule_index", "pattern_index",
         )
     )
 

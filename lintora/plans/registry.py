@@ -59,7 +59,7 @@ def summary_by_type(spark, sf):
     return dashboards.by_type(T.findings(spark, sf))
 
 
-@_query(D.with_(D.FINDINGS) + "SELECT vuln_type, n, CAST(floor(n / sum(n) OVER () * 100 + 0.5) AS BIGINT) AS pct, row_number() OVER (ORDER BY n DESC, first_seq) AS position FROM (SELECT vuln_type, count(*) AS n, min(seq) AS first_seq FROM findings GROUP BY vuln_type)")
+@_query(D.with_(D.FINDINGS) + "SELECT vuln_type, n, CAST(floor(n / sum(n) OVER () * 100 + 0.5) AS BIGINT) AS pct, CAST(row_number() OVER (ORDER BY n DESC, first_seq) AS INTEGER) AS position FROM (SELECT vuln_type, count(*) AS n, min(seq) AS first_seq FROM findings GROUP BY vuln_type)")
 def type_breakdown_pct(spark, sf):
     return dashboards.type_breakdown(T.findings(spark, sf))
 
@@ -350,7 +350,7 @@ def comment_filter_and_line_dedup(spark, sf):
     return hits.agg(F.count("*").alias("n_raw"), F.count_if(live).alias("n_live"), F.count_distinct(F.when(live, F.struct("file_name", "line_number"))).alias("n_findings"))
 
 
-@_query(_scan_sql() + f", ranked AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY {_RANK}, line_number, rule_index, pattern_index, range_start) AS position FROM findings) SELECT finding_key, file_name, position, CASE WHEN position <= 3 THEN 'note on ' || pattern_id END AS explanation FROM ranked")
+@_query(_scan_sql() + f", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_name ORDER BY {_RANK}, line_number, rule_index, pattern_index, range_start) AS INTEGER) AS position FROM findings) SELECT finding_key, file_name, position, CASE WHEN position <= 3 THEN 'note on ' || pattern_id END AS explanation FROM ranked")
 def enrich_top3(spark, sf):
     found = _scan(spark, sf)
     responses = found.select("finding_key", F.concat(F.lit("note on "), "pattern_id").alias("explanation"))
