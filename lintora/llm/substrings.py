@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all are kept. Other columns are ignored; no rows give no rows."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(text_col).alias("text_hash"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = repeated_windows(texts.select("d", "text_hash", "text"), k, anchor)
-    spans = found.groupBy("d", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("count").alias("counts"))
+    spans = written(found.groupBy("d", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("count").alias("counts")), "repeated-spans")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
