@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import common, containment, language, packing, personal_data, simhash
+from lintora.llm import common, containment, language, near_copies, packing, personal_data
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -30,9 +30,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, that with the
-    smallest id. Of rows with the same id the first by text stays; a row
+    smallest id. Documents link at a Jaccard similarity of 0.8 of their 5-word
+    shingles, not by the fingerprints of op8. Of rows with the same id the first by text stays; a row
     without an id stays if its component has no id."""
-    found = simhash.near_duplicates(docs).filter("doc_id <=> component_id")
+    found = near_copies.near_copies(docs).filter("doc_id <=> component_id")
     kept = common.written(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept-ids")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
     single = docs.select(*COLUMNS).join(kept.filter("n_rows = 1 or kept_id is null").select("kept_id"), same, "left_semi")
