@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +15,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only
-    where that is unset (local tests) a folder of this machine is made and set."""
+    where that is unset and all runs in one local process (tests) a folder of
+    this machine is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set on {master}")
         base = "file://" + tempfile.mkdtemp(prefix="lintora-")
     if "://" not in base and not base.startswith("file:"):
         store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
@@ -43,7 +48,42 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of written() tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_written_path", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[np.ndarray]:
+    """Rows of long columns, sorted by the first n_keys, as arrays in which no
+    group of equal keys is cut."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns])
+        other = (part[:, :n_keys] != part[-1, :n_keys]).any(1)
+        cut = len(part) - int(np.argmax(other[::-1])) if other.any() else 0
+        if cut:
+            yield np.concatenate([*held, part[:cut]])
+            held = [part[cut:]]
+        elif held and (held[-1][-1, :n_keys] == part[-1, :n_keys]).all():
+            held.append(part)
+        else:
+            if held:
+                yield np.concatenate(held)
+            held = [part]
+    if held:
+        yield np.concatenate(held)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:

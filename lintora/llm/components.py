@@ -5,26 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import written
+from lintora.llm.common import discard, written
+
+#: Neighbours from which a node is a hub, whose edges stay where they are while
+#: its minimum is broadcast. There are at most 2 * edges / HUB hubs; more than
+#: MAX_HUBS (16 bytes each) are joined by shuffle, their edges dealt to SALTS.
+HUB, MAX_HUBS, SALTS = 256, 1_000_000, 64
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _with_least(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """edges with m, the smallest neighbour that around(u, v) gives each u."""
+    least = written(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.filter(F.col("n") >= HUB).select("u", "m")
+    n_hubs = hubs.count()
+    few = least.filter(F.col("n") < HUB).select("u", "m")
+    if not n_hubs:
+        return edges.join(few, "u")
+    if n_hubs <= MAX_HUBS:
+        near = F.broadcast(hubs)
+        return edges.join(near, "u").unionByName(edges.join(near, "u", "left_anti").join(few, "u"))
+    salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["u", "salt"]).drop("salt").unionByName(edges.join(few, "u"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its smallest one."""
     around = _both_ways(edges)
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    met = _with_least(around.filter("v > u"), around)
+    return met.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours and itself to the smallest."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    met = _with_least(down, down)
+    return met.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -39,6 +59,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             break
-        before, edges = state, written(_small_star(_large_star(edges)), "edges")
+        large = written(_large_star(edges), "large-star")
+        discard(edges)
+        before, edges = state, written(_small_star(large), "edges")
+        discard(large)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

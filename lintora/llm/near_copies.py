@@ -1,16 +1,22 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Texts link where their sets of 5-word shingles have a Jaccard similarity of 0.8
-or more. Fingerprints of such pairs differ in up to about 16 of 64 bits, too far
-for keys that lose none, so candidates come from the sets themselves: with the
-shingles of each set in one common order, two similar sets share a shingle among
-the first n - ceil(0.8 n) + 1 of each. Shingles that many prefixes hold come last
-in that order, so that a common passage is no candidate; any order loses no pair.
-
-Sets are nodes (64 bits of hash; copies are one node). In the bucket of a shingle
-all sets are first compared with the one that has it earliest; then those that
-are still in different components with each other, unless their sizes, the place
-of the shingle or 1,024 parities rule the pair out. Every edge is verified.
+"""Near copies of the pipeline: SimHash and Golay-code keys at a wide radius.
+
+Texts link where fingerprints of 256 bits, over their distinct shingles of five
+words, agree in 0.8 or more of the bits. Fingerprints of op8's kind with keys for
+three errors lose most such pairs: an edited word changes five shingles, and 64
+bits then differ in 7 to 16. So
+
+- keys come from two fingerprints of 64 bits over the distinct words, which the
+  same edit moves far less;
+- each is cut into the segments of op8, and every segment is decoded to the
+  codewords of itself and its one-bit neighbours, about five indices. Segments
+  of two texts with two errors or fewer always share one, others often;
+- by pigeonhole, two of three segments make a key: texts whose words'
+  fingerprints differ in five bits always meet, most at 16 bits do.
+
+Texts with the same key meet in a join by shuffle. Those with another text within
+MAX_WORD_BITS go on with their wide fingerprints to a second join by the same
+keys, which verifies them and writes a forest of each bucket, never all pairs.
+Texts with the same words are one node.
 """
 
 from __future__ import annotations
@@ -20,189 +26,244 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import rows_of, to_batches, written
+from lintora.llm.common import rows_of, to_batches, whole_groups, written
 from lintora.llm.components import components
-
-WIDTH = 5
-#: Prefixes that hold a shingle from which it is common. There are never more
-#: common ones than MAX_COMMON, which is what is sent to every executor.
-COMMON, MAX_COMMON = 64, 1 << 18
-#: Candidate texts up to which their hashes are broadcast.
-MAX_BROADCAST_ROWS = 1_000_000
-PARITIES = tuple(f"p{i}" for i in range(16))
+from lintora.llm.simhash import MAX_BROADCAST_KEYS, SEGMENTS, busy_keys, codeword
+
+WIDTH, SIMILARITY = 5, 0.8
+WIDE, TABLES = 256, 2
+MAX_WORD_BITS = 16
+#: Rows of one key from which its bucket is dealt out, by pairs of parts.
+BLOCK = 16_384
+PAIRS = ((0, 1), (0, 2), (1, 2))
+WORDS, WIDES = tuple(f"w{i}" for i in range(TABLES)), tuple(f"s{i}" for i in range(WIDE // 64))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class Shingles:
-    """Sorted distinct hashes of the shingles of texts; a text of fewer words is
-    one shingle. Words are those of simhash.fingerprint."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * _MIX
+    return x ^ x >> np.uint64(32)
+
+
+def fold(hashes: np.ndarray, n_longs: int) -> np.ndarray:
+    """64 * n_longs bits; each is set if over half the hashes, mixed anew for
+    each long, have it set."""
+    n = len(hashes)
+    salts = (np.arange(n_longs, dtype=np.uint64) + np.uint64(1)) * _STEP
+    counts = np.zeros(64 * n_longs, np.int64)
+    for at in range(0, n, 1 << 14):
+        bits = np.unpackbits(_mixed(hashes[at : at + (1 << 14), None] * _STEP ^ salts).view(np.uint8).reshape(-1, 8 * n_longs), axis=1, bitorder="little")
+        for first in range(0, len(bits), 255):  # sums of 255 bits fit in a byte
+            counts += np.add.reduce(bits[first : first + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n, bitorder="little").view(np.int64)
 
-    def __init__(self, width: int = WIDTH):
-        self.width, self.known = width, {}
+
+class Prints:
+    """Fingerprints of texts. Words are those of simhash.fingerprint."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
 
     def _word(self, word: bytes) -> int:
         if len(self.known) > 1 << 19:
             self.known.clear()
         return self.known.setdefault(word, xxhash.xxh64_intdigest(word, 42))
 
-    def of(self, text: str | None) -> np.ndarray:
-        words, known = (text or "").encode().lower().split(), self.known
-        hashes = np.fromiter((known[w] if w in known else self._word(w) for w in words), np.uint64, len(words))
-        n = max(1, len(words) - self.width + 1)
-        out = np.full(n, min(len(words), self.width), np.uint64)
-        for k in range(min(len(words), self.width)):
+    def shingles(self, hashes: np.ndarray) -> np.ndarray:
+        """Distinct hashes of WIDTH successive words; fewer are one shingle."""
+        width = min(WIDTH, len(hashes))
+        n = max(1, len(hashes) - WIDTH + 1)
+        out = np.full(n, width, np.uint64)
+        for k in range(width):
             out = out * _STEP + hashes[k : k + n]
-        out = (out ^ out >> np.uint64(32)) * _MIX
-        return np.unique(out ^ out >> np.uint64(32))
-
-
-def node_of(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
-
-
-def parities(shingles: np.ndarray) -> list[int]:
-    """1,024 bits: whether an odd number of shingles falls to each. Sets differ in
-    at least as many shingles as these differ in bits."""
-    odd = np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+        return np.unique(_mixed(out))
 
+    def of(self, text: str | None) -> tuple[int, list[int], list[int]]:
+        """Node, fingerprints of the words, and the wide one; zeros without words."""
+        words, known = (text or "").encode().lower().split(), self.known
+        node = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 42)).view(np.int64))
+        if not words:
+            return node, [0] * TABLES, [0] * len(WIDES)
+        hashes = np.fromiter((known[w] if w in known else self._word(w) for w in words), np.uint64, len(words))
+        return node, fold(np.unique(hashes), TABLES).tolist(), fold(self.shingles(hashes), len(WIDES)).tolist()
 
-def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The shingles of a set among which a similar set has one, in the common
-    order: those that are not common by hash, the common ones by rank."""
-    n = len(shingles)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, ranks[at], 0)
-        shingles = shingles[np.argsort(rank, kind="stable")]
-    return shingles[: n - (4 * n + 4) // 5 + 1]
 
+def _nearby(segment: np.ndarray, bits: int) -> np.ndarray:
+    """Codewords of each segment and its one-bit neighbours, a row for each; -1 for repeats."""
+    flips = np.array([0, *(1 << b for b in range(bits))], np.uint32)
+    found = np.sort(codeword(segment[:, None] ^ flips).astype(np.int64), axis=1)
+    found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
+    return found
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 9 * both >= 4 * (len(a) + len(b))
 
+def keys(prints: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, key) of 64-bit fingerprints of the words, about 85 for each."""
+    prints = prints.view(np.uint64)
+    near = [_nearby((prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.uint32), n) for at, n in SEGMENTS]
+    at, out = [], []
+    for kind, (i, j) in enumerate(PAIRS):
+        row, a, b = np.nonzero((near[i] >= 0)[:, :, None] & (near[j] >= 0)[:, None, :])
+        at.append(row)
+        out.append(near[i][row, a] << 12 | near[j][row, b] | (table * len(PAIRS) + kind) << 24)
+    return np.concatenate(at), np.concatenate(out)
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text"), F.xxhash64("text").alias("h"))
 
+def _columns(batch: pa.RecordBatch, first: int = 0, step: int = 2048) -> Iterator[list[np.ndarray]]:
+    for start in range(0, batch.num_rows, step):
+        yield [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.slice(start, step).columns[first:]]
 
-def _postings(docs: DataFrame, order=None) -> DataFrame:
-    """key, pos, n, node: the prefix of every set. Sets that a task has seen are
-    left out."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, ranks = order.value if order else (np.empty(0, np.uint64), None)
-        shingles, seen = Shingles(), set()
-        held, rows = [], 0
-        for (text,) in rows_of(batches):
-            s = shingles.of(text)
-            node = node_of(s)
-            if node in seen:
-                continue
-            if len(seen) > 1 << 17:
-                seen.clear()
-            seen.add(node)
-            keys = prefix(s, common, ranks)
-            held.append((keys.view(np.int64), np.arange(len(keys), dtype=np.int32), np.full(len(keys), len(s), np.int32), np.full(len(keys), node)))
-            rows += len(keys)
-            if rows > 1 << 14:
-                yield pa.record_batch([np.concatenate(c) for c in zip(*held)], names=["key", "pos", "n", "node"])
-                held, rows = [], 0
-        if held:
-            yield pa.record_batch([np.concatenate(c) for c in zip(*held)], names=["key", "pos", "n", "node"])
-
-    return docs.select("text").mapInArrow(run, "key long, pos int, n int, node long")
-
-
-def _common(docs: DataFrame):
-    """A broadcast of the common shingles, sorted, and their ranks by number."""
-    counts = written(_postings(docs).groupBy("key").count().filter(F.col("count") >= COMMON), "common")
-    found = counts.orderBy(F.desc("count"), "key").limit(MAX_COMMON).toArrow()
-    keys, n = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
-    by_key, by_count = np.argsort(keys), np.lexsort((keys, n))
-    ranks = np.empty(len(keys), np.int64)
-    ranks[by_count] = np.arange(1, len(keys) + 1)
-    return docs.sparkSession.sparkContext.broadcast((keys[by_key], ranks[by_key]))
-
-
-def _reachable(pos: str, n: str, pos2: str, n2: str):
-    """Whether sets of n and n2 shingles that share the one at pos and pos2 first
-    can be similar."""
-    most = F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2))
-    return 9 * most >= 4 * (F.col(n) + F.col(n2))
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = written(nodes.join(ends, "node").select("h"), "candidate-texts")
-    texts = F.broadcast(texts) if texts.count() <= MAX_BROADCAST_ROWS else texts
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """key, fp, node: every node under all its keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingles(), set()
-
-        def rows():
-            for (text,) in rows_of(batches):
-                s = shingles.of(text)
-                if (node := node_of(s)) not in seen:
-                    if len(seen) > 1 << 17:
-                        seen.clear()
-                    seen.add(node)
-                    yield node, s.tobytes()
-
-        yield from to_batches(rows(), pa.schema([("node", pa.int64()), ("held", pa.binary())]))
+        for batch in batches:
+            for node, *prints in _columns(batch):
+                for table, fp in enumerate(prints):
+                    at, key = keys(fp, table)
+                    yield pa.record_batch([pa.array(key), pa.array(fp[at]), pa.array(node[at])], names=["key", "fp", "node"])
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((u, v) for u, v, a, b in rows_of(batches) if similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)))
-        yield from to_batches(rows, pa.schema([("u", pa.int64()), ("v", pa.int64())]), size=8192)
+    return nodes.select("node", *WORDS).mapInArrow(run, "key long, fp long, node long")
 
-    chosen = _texts(docs).join(texts, "h", "left_semi").select("text")
-    sets = written(chosen.mapInArrow(run, "node long, held binary").dropDuplicates(["node"]), "sets")
-    a, b = (sets.select(F.col("node").alias(x), F.col("held").alias(f"held_{x}")) for x in "uv")
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "held_u", "held_v").mapInArrow(check, "u long, v long")
 
+def _hot(nodes: DataFrame, block: int) -> DataFrame:
+    """Keys of more than `block` rows with the number of parts they are dealt to."""
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from busy_keys(batches, lambda b: ((0, keys(fp, t)[1]) for prints in _columns(b, step=b.num_rows) for t, fp in enumerate(prints)))
+
+    counts = nodes.select(*WORDS).mapInArrow(run, "key long, role byte, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return written(counts.filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-keys")
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with a salt. Each row of a hot key goes to all pairs of parts that
+    have its own, so that any two rows of the key meet."""
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.withColumn("salt", F.lit(0))
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(own, p) * parts + F.greatest(own, p))
+    return rows.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot, "key", "left").withColumn("salt", F.explode(cells)).drop("parts")
+
+
+def _groups(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and length of each group of equal (key, salt)."""
+    starts = np.flatnonzero(np.r_[True, (part[1:, :2] != part[:-1, :2]).any(1)])
+    return starts, np.diff(np.r_[starts, len(part)])
+
+
+def _has_near(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether another row of the group is within MAX_WORD_BITS."""
+    near = np.zeros(len(fp), bool)
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(fp)) - 1  # rows after it in the group
+    rows, most = np.arange(len(fp)), 64
+    for step in range(1, most + 1):
+        rows = rows[left[rows] >= step]
+        if not len(rows):
+            break
+        close = np.bitwise_count((fp[rows] ^ fp[rows + step]).view(np.uint64)) <= MAX_WORD_BITS
+        near[rows[close]] = near[rows[close] + step] = True
+    for a, n in zip(starts[lengths > most + 1].tolist(), lengths[lengths > most + 1].tolist()):
+        group, done = fp[a : a + n], near[a : a + n]
+        for i in np.flatnonzero(~done).tolist():  # most have met one within 64 rows
+            if not done[i]:
+                close = np.bitwise_count((group ^ group[i]).view(np.uint64)) <= MAX_WORD_BITS
+                close[i] = False
+                if close.any():
+                    done[i] = True
+                    done |= close
+    return near
+
+
+def _active(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, salt, fp, node), those (key, salt, node) that are near another."""
+    for part in whole_groups(batches, 2):
+        near = _has_near(np.ascontiguousarray(part[:, 2]), *_groups(part))
+        if near.any():
+            yield pa.record_batch([pa.array(np.ascontiguousarray(part[near, i])) for i in (0, 1, 3)], names=["key", "salt", "node"])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1)
+
+
+MAX_WIDE_BITS = int(WIDE * (1 - SIMILARITY) + 1e-9)
+
+
+def forest(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (u, v) of edges that connect what pairs of rows within
+    MAX_WIDE_BITS connect; no more edges than rows."""
+    left, us, vs = np.arange(len(wide)), [], []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            linked = _apart(wide[left], wide[at]) <= MAX_WIDE_BITS
+            if linked.any():
+                us.append(left[linked])
+                vs.append(np.full(linked.sum(), at))
+                queue += left[linked].tolist()
+                left = left[~linked]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (left, left)
+
+
+def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, salt, node, wide fingerprint), verified edges of each bucket."""
+    for part in whole_groups(batches, 2):
+        starts, lengths = _groups(part)
+        wide, node = np.ascontiguousarray(part[:, 3:]), part[:, 2]
+        first = np.repeat(starts, lengths)
+        linked = _apart(wide, wide[first]) <= MAX_WIDE_BITS
+        done = np.repeat(np.logical_and.reduceat(linked, starts), lengths)  # all are linked to the first of the bucket
+        u, v = [node[done]], [node[first[done]]]
+        open_ = ~np.logical_and.reduceat(linked, starts)
+        for a, n in zip(starts[open_].tolist(), lengths[open_].tolist()):
+            i, j = forest(wide[a : a + n])
+            u.append(node[a : a + n][i])
+            v.append(node[a : a + n][j])
+        u, v = np.concatenate(u), np.concatenate(v)
+        pairs = np.unique(np.column_stack([np.maximum(u, v), np.minimum(u, v)])[u != v], axis=0)
+        if len(pairs):
+            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["u", "v"])
+
+
+def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) over the distinct nodes (node, WORDS, WIDES), not all pairs
+    but enough to connect what pairs that share a key connect."""
+    rows = _dealt(_keyed(nodes), _hot(nodes, block)).select("key", "salt", "fp", "node")
+    met = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    active = written(met.mapInArrow(_active, "key long, salt long, node long"), "near-rows")
+    known = active.join(nodes.select("node", *WIDES), "node").select("key", "salt", "node", *WIDES)
+    return known.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_edges, "u long, v long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id and component_id of every row: the smallest doc_id that links reach,
     the row's own included.
 
     Null and empty texts are one node. Rows with null ids take part and get the
     smallest other id, or null if there is none. Rows with equal ids are all
     kept. Other columns are ignored; no rows give no rows."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
-        rows = ((d, h, node_of(s := shingles.of(t)), *parities(s)) for d, t, h in rows_of(batches))
-        yield from to_batches(rows, pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "node", *PARITIES)]), size=8192)
-
-    found = written(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(name, ", ".join(f"{c} long" for c in ("doc_id", "h", "node", *PARITIES))), "named")
-    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("h").alias("h"), *[F.min(c).alias(c) for c in PARITIES]), "nodes")
-    bucket = Window.partitionBy("key").orderBy("pos", "node")
-    postings = _postings(docs, _common(docs)).withColumn("first", F.first(F.struct("node", "pos", "n")).over(bucket)).withColumn("next", F.lead("node").over(bucket))
-    met = written(postings.filter("first.node <> node or next <> node").select("key", "pos", "n", "node", "first"), "met")
-    apart = met.filter("first.node <> node").select("node", "pos", "n", F.col("first.node").alias("u"), F.col("first.pos").alias("pos_u"), F.col("first.n").alias("n_u"))
-    stars = written(apart.filter(_reachable("pos", "n", "pos_u", "n_u")).select("u", F.col("node").alias("v"), (F.col("n") + F.col("n_u")).alias("s")).distinct(), "stars")
-    ends = [nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in PARITIES]) for x in "uv"]
-    differ = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in PARITIES), F.lit(0))
-    stars = written(stars.join(ends[0], "u").join(ends[1], "v").filter(9 * differ <= F.col("s")).select("u", "v"), "close-stars")
-    edges = written(_verified(docs, nodes, stars), "star-edges")
-    roots = components(edges)
-    known = met.join(roots, "node", "left").select("key", "pos", "n", "node", F.coalesce("root", "node").alias("root"), F.col("first.node").alias("first"))
-    known = written(known, "rooted")
-    mixed = known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    left = known.join(mixed, "key", "left_semi").filter("node <> first").distinct()  # with the first all are compared
-    left = left.join(nodes.select("node", *PARITIES), "node")
-    other = left.select("key", *[F.col(c).alias(f"{c}_u") for c in ("pos", "n", "node", "root", *PARITIES)])
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_u"))) for c in PARITIES), F.lit(0))
-    across = left.join(other, "key").filter(F.expr("node_u < node and root_u <> root") & _reachable("pos", "n", "pos_u", "n_u") & (9 * differ <= F.col("n") + F.col("n_u")))
-    pairs = written(across.select(F.col("node_u").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    if not pairs.isEmpty():
-        roots = components(edges.unionByName(_verified(docs, nodes, pairs)))
+        prints = Prints()
+
+        def rows():
+            for doc_id, text in rows_of(batches):
+                node, words, wide = prints.of(text)
+                yield doc_id, node, *words, *wide
+
+        yield from to_batches(rows(), pa.schema([(c, pa.int64()) for c in ("doc_id", "node", *WORDS, *WIDES)]), size=8192)
+
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = written(docs.mapInArrow(name, ", ".join(f"{c} long" for c in ("doc_id", "node", *WORDS, *WIDES))), "named")
+    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in (*WORDS, *WIDES)]), "nodes")
+    roots = components(links(nodes, block))
     grouped = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = grouped.join(least, "root").select("node", "component_id")

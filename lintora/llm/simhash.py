@@ -36,6 +36,8 @@ GOLAY = 0b110001110101
 BLOCK = 4096
 #: Most keys with more rows than that which are broadcast; more are joined by shuffle.
 MAX_BROADCAST_KEYS = 200_000
+#: Rows of a key in one batch of a task from which the key is counted at all.
+LOCAL = 16
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -199,15 +201,39 @@ def _keyed(fps: DataFrame, roles: tuple[int, ...]) -> DataFrame:
     return fps.mapInArrow(run, "key long, role byte, fp long")
 
 
+def busy_keys(batches: Iterable[pa.RecordBatch], keys_of, least: int = LOCAL) -> Iterator[pa.RecordBatch]:
+    """key, role, n: keys that a task has `least` times or more. A bucket of many
+    rows has such keys unless each task holds under `least` of them."""
+    for batch in batches:
+        for role, key in keys_of(batch):
+            found, n = np.unique(key, return_counts=True)
+            keep = n >= least
+            if keep.any():
+                yield pa.record_batch([pa.array(found[keep]), pa.array(np.full(keep.sum(), role, np.int8)), pa.array(n[keep])], names=["key", "role", "n"])
+
+
+def _busy(fps: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from busy_keys(batches, lambda b: ((role, keys(b.column(0).to_numpy().astype(np.int64), bool(role))[1]) for role in (0, 1)))
+
+    return fps.mapInArrow(run, "key long, role byte, n long")
+
+
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) over the distinct values of fps.fp, not all pairs but
-    enough to connect what pairs at MAX_DISTANCE or less connect."""
-    counts = _keyed(fps, (0,)).groupBy("key").count().filter(F.col("count") > block)
-    hot = written(counts.select("key", F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot-keys")
+    enough to connect what pairs at MAX_DISTANCE or less connect. A bucket of
+    more than `block` index rows, or 16 times as many probes, is dealt out: each
+    part of its index rows meets each part of its probes."""
+    counts = _busy(fps).groupBy("key").agg(*[F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(f"n{r}") for r in (0, 1)])
+    parts = [F.ceil(F.greatest(F.col(f"n{r}"), F.lit(1)) / F.lit(block * (16 if r else 1))).cast("int").alias(f"parts{r}") for r in (0, 1)]
+    hot = written(counts.filter((F.col("n0") > block) | (F.col("n1") > 16 * block)).select("key", *parts), "hot-keys")
     rows, n_hot = _keyed(fps, (0, 1)), hot.count()
     if n_hot:
-        parts = F.coalesce("parts", F.lit(1))
-        dealt = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+        parts = [F.coalesce(f"parts{r}", F.lit(1)) for r in (0, 1)]
+        own = [F.pmod(F.xxhash64("fp"), p).cast("int") for p in parts]
+        index = F.transform(F.sequence(F.lit(0), parts[1] - 1), lambda p: own[0] * parts[1] + p)
+        probe = F.transform(F.sequence(F.lit(0), parts[0] - 1), lambda i: i * parts[1] + own[1])
+        dealt = F.when(F.col("role") == 0, index).otherwise(probe)
         rows = rows.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot, "key", "left").select("key", F.explode(dealt).alias("salt"), "role", "fp")
     else:
         rows = rows.select("key", F.lit(0).alias("salt"), "role", "fp")

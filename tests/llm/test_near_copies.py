@@ -1,84 +1,96 @@
 import itertools
 import random
 
-import corpus_pipeline as cp
-from lintora.llm import near_copies
-
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-
+import numpy as np
+import pytest
 
-def shingles(text):
-    words = (text or "").encode().lower().split()
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+from lintora.llm import near_copies
+from lintora.llm.near_copies import MAX_WIDE_BITS, Prints, forest, keys
 
 
 def brute(rows):
-    """component_id of every row by all pairs."""
-    held = [shingles(t) for _, t in rows]
-    sets = list(dict.fromkeys(held))
-    parent = list(range(len(sets)))
+    """component_id of every row by all pairs of wide fingerprints."""
+    prints = Prints()
+    held = [prints.of(t) for _, t in rows]
+    wide = {node: np.array(w, np.int64) for node, _, w in held}
+    nodes = list(wide)
+    table = np.array([wide[n] for n in nodes]).reshape(-1, 4)
+    parent = list(range(len(nodes)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, j in itertools.combinations(range(len(sets)), 2):
-        small, large = sorted((len(sets[i]), len(sets[j])))
-        if 5 * small >= 4 * large and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+    for i in range(len(nodes)):
+        near = np.bitwise_count((table[i + 1 :] ^ table[i]).view(np.uint64)).sum(1) <= MAX_WIDE_BITS
+        for j in np.flatnonzero(near) + i + 1:
             parent[root(i)] = root(j)
-    number, least = {s: i for i, s in enumerate(sets)}, {}
-    roots = [root(number[s]) for s in held]
-    for r, (d, _) in zip(roots, rows):
+    at, least = {n: i for i, n in enumerate(nodes)}, {}
+    for (d, _), (node, _, _) in zip(rows, held):
+        r = root(at[node])
         least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
-    return [(d, least[r]) for r, (d, _) in zip(roots, rows)]
+    return [(d, least[root(at[node])]) for (d, _), (node, _, _) in zip(rows, held)]
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def made(rng):
+def made(rng, groups=8, copies=13, words=400, longest=300):
     """Edited copies, chains of them, and a passage that many texts share."""
-    words = [f"w{i}" for i in range(400)]
+    words = [f"w{i}" for i in range(words)]
     passage, texts = rng.choices(words, k=30), []
-    for _ in range(8):
-        base = rng.choices(words, k=rng.randint(3, 200))
-        copies = [base]
-        for _ in range(12):
-            copy = list(base if rng.random() < 0.6 else copies[-1])
-            for _ in range(rng.randint(0, 3)):
+    for _ in range(groups):
+        base = rng.choices(words, k=rng.randint(60, longest))
+        chain = [base]
+        for _ in range(copies - 1):
+            copy = list(base if rng.random() < 0.6 else chain[-1])
+            for _ in range(rng.randint(0, 1 + len(base) // 60)):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
-            copies.append(copy)
-        texts += copies
-    texts += [rng.choices(words, k=rng.randint(1, 60)) + passage + rng.choices(words, k=20) for _ in range(100)]
+            chain.append(copy)
+        texts += chain
+    texts += [rng.choices(words, k=rng.randint(60, 100)) + passage + rng.choices(words, k=20) for _ in range(60)]
     rng.shuffle(texts)
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-def test_components_equal_all_pairs(spark, monkeypatch):
-    for seed, common in ((1, 64), (2, 3)):
-        monkeypatch.setattr(near_copies, "COMMON", common)
-        rows = made(random.Random(seed))
-        rows += [(None, rows[3][1]), (5, rows[5][1].upper()), (900, None), (901, " "), (None, "alone"), (902, "one two")]
-        got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        want = brute(rows)
-        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-        assert len({c for _, c in want}) < len(rows) - 30
-    assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-
-
-def test_stage_keeps_no_near_copy(spark):
-    rng = random.Random(4)
-    base = [f"word{rng.randrange(900)}" for _ in range(200)]
-    rows = []
-    for i in range(6):
-        copy = list(base)
-        for k in rng.sample(range(200), i and 3):
-            copy[k] = f"new{i}"
-        rows.append((i, " ".join(copy), "en", "s", 1))
-    rows.append((9, " ".join(reversed(base)), "en", "s", 1))
-    got = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
-    assert sorted(r.doc_id for r in got) == [0, 9]
-
-
-def test_stage_equals_all_pairs_on_the_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = cp.drop_near_duplicates(spark, docs, "").collect()
-    assert sorted(r.doc_id for r in got) == sorted({c for _, c in brute([(r.doc_id, r.text) for r in docs.collect()])})
+@pytest.mark.parametrize("block", [3, near_copies.BLOCK])
+def test_components_equal_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr("lintora.llm.simhash.busy_keys.__defaults__", (1,)) if block == 3 else None
+    rows = made(random.Random(1))
+    rows += [(None, rows[3][1]), (5, rows[5][1].upper()), (900, None), (901, " "), (None, "alone"), (902, "one two")]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute(rows), key=str)
+
+
+def test_recall_of_jaccard_pairs(spark):
+    """Of the linked pairs of different texts with a Jaccard similarity of 0.8 or
+    more, at least 0.97 end in one component; those under 0.5 do not."""
+    rows = made(random.Random(4), groups=25, copies=6, words=4000)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = {d: shingles(t) for d, t in rows}
+    like = {(a, b): len(held[a] & held[b]) / len(held[a] | held[b]) for a, b in itertools.combinations(held, 2)}
+    close = [got[a] == got[b] for (a, b), s in like.items() if s >= 0.8]
+    assert len(close) > 100 and sum(close) >= 0.97 * len(close)
+    apart = {d for d in held if all(s < 0.5 for p, s in like.items() if d in p)}
+    assert len(apart) > 40 and all(got[d] == d for d in apart)
+
+
+def test_five_bits_always_share_a_key():
+    rng = random.Random(2)
+    a = np.array([rng.getrandbits(64) for _ in range(2000)], np.uint64)
+    b = np.array([int(x) ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for x in a], np.uint64)
+    (at, key), (at2, key2) = (keys(x.view(np.int64), 1) for x in (a, b))
+    assert {i for i, _ in set(zip(at.tolist(), key.tolist())) & set(zip(at2.tolist(), key2.tolist()))} == set(range(2000))
+
+
+def test_forest_and_empty(spark):
+    rng = np.random.default_rng(3)
+    wide = rng.integers(-(1 << 62), 1 << 62, (40, 4))
+    wide[20:] = wide[:20]
+    wide[20:, 0] ^= 7
+    u, v = forest(wide)
+    assert {frozenset(x) for x in zip(u.tolist(), v.tolist())} == {frozenset((i, i + 20)) for i in range(20)}
+    assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string, node string")).collect() == []

@@ -2,9 +2,9 @@ import collections
 import struct
 
 from test_containment import brute as leaks
+from test_near_copies import brute as near
 from test_packing import check
 from test_personal_data import slow_base
-from test_simhash import brute as near
 
 import corpus_pipeline as cp
 from lintora.llm import language
@@ -26,7 +26,7 @@ def test_each_stage_equals_brute_force(spark):
     assert {d: p[0] for d, p in said.items() if p[2] >= language.MIN_MARGIN} == {d: x[1] for d, x in kept.items()}
     two = stages["near_duplicates"](spark, one, sf)
     groups = near([(d, t) for d, (t, _) in kept.items()])
-    assert sorted(r.doc_id for r in two.collect()) == sorted({c for _, _, c in groups})
+    assert sorted(r.doc_id for r in two.collect()) == sorted({c for _, c in groups})
     three = stages["decontamination"](spark, two, sf)
     rows = [(r.doc_id, r.text) for r in two.collect()]
     bad = {d for d, *_ in leaks(rows, items)}
