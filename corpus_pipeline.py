@@ -30,9 +30,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, that with the
-    smallest id. Documents link at a Jaccard similarity of 0.8 of their 5-word
-    shingles, not by the fingerprints of op8. Of rows with the same id the first by text stays; a row
-    without an id stays if its component has no id."""
+    smallest id. Documents link where wide SimHash fingerprints of their 5-word
+    shingles agree in 0.8 of the bits; Golay-code keys find the candidates. Of rows
+    with the same id the first by text stays; a row without an id stays if its
+    component has no id."""
     found = near_copies.near_copies(docs).filter("doc_id <=> component_id")
     kept = common.written(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n_rows")), "kept-ids")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
