@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -63,6 +64,18 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: A table is broadcast if it has no more rows, and no more bytes, than these.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows, and its bytes (strings and
+    binaries by their lengths, all else as 8 each), are within the bounds."""
+    sizes = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(sizes, F.lit(0)).cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if row["n"] <= (MAX_BROADCAST_ROWS if max_rows is None else max_rows) and row["bytes"] <= MAX_BROADCAST_BYTES else df
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[np.ndarray]:
     """Rows of long columns, sorted by the first n_keys, as arrays in which no
     group of equal keys is cut."""

@@ -2,6 +2,7 @@ import pickle
 import random
 import struct
 import zlib
+from fractions import Fraction
 
 import public_tokenizers
 import pytest
@@ -28,7 +29,7 @@ def test_schedule_serves_each_token_once_and_keeps_targets(seed):
         now = schedule.served(window)
         assert all(a <= b for a, b in zip(last, now))
         assert sum(now) == min(window * size, sum(totals))
-        assert all(-1 < d < 1 for d in schedule.deficits(min(window, schedule.windows - 1)))
+        assert all(abs(d) <= 1 + len(totals) / 2 for d in schedule.deficits(min(window, schedule.windows - 1)))
         last = now
     assert last == totals
     seen = {}
@@ -44,19 +45,29 @@ def test_schedule_serves_each_token_once_and_keeps_targets(seed):
     assert all((w, o - 1) in seen for w, o in seen if o)
 
 
-def test_schedule_equals_the_recurrence():
-    """Deficits carried from window to window, as the closed form says."""
-    totals, size = [70_000, 20_000, 9_999, 345], 128
-    schedule = packing.Schedule(totals, None, size)
-    _, _, weights, _ = schedule.phases[0]
-    owed, total = [0] * 4, sum(weights)
-    for window in range(schedule.phases[1][0]):
-        owed = [d + size * w for d, w in zip(owed, weights)]
-        took = [d // total for d in owed]
-        rest = sorted(range(4), key=lambda q: (-(owed[q] % total), q))[: size - sum(took)]
-        took = [t + (q in rest) for q, t in enumerate(took)]
-        owed = [d - t * total for d, t in zip(owed, took)]
-        assert [b - a for a, b in zip(schedule.served(window), schedule.served(window + 1))] == took
+@pytest.mark.parametrize("seed", range(8))
+def test_schedule_equals_the_order_of_due_times(seed):
+    """All tokens sorted by the time at which they are due, cut into windows."""
+    rng = random.Random(seed)
+    size = rng.choice([8, 64])
+    totals = [rng.choice([1, 2, 7, 30, 400, 2500]) for _ in range(rng.randint(1, 12))]
+    weights = None if seed % 2 else [rng.choice([0, 1, 2, 3, 50, 1000]) for _ in totals]
+    schedule = packing.Schedule(totals, weights, size)
+    due = [(not w, Fraction(2 * j + 1, 2 * (w or n)), q, j) for q, (n, w) in enumerate(zip(totals, weights or totals)) for j in range(n)]
+    served = [0] * len(totals)
+    for i, (_, _, q, j) in enumerate(sorted(due)):
+        if i % size == 0:
+            assert schedule.served(i // size) == served
+        assert schedule.window_of(q, j) == i // size
+        served[q] += 1
+
+
+def test_rare_sources_come_all_along():
+    """A source with far under one token a window is served to the end."""
+    schedule = packing.Schedule([10**10, 100_000], None, 4096)
+    windows = [schedule.window_of(1, j) for j in range(0, 100_000, 1000)]
+    assert all(abs(w / schedule.windows - (j + 0.5) / 100_000) < 1e-4 for w, j in zip(windows, range(0, 100_000, 1000)))
+    assert windows[-1] > 0.98 * schedule.windows
 
 
 def check(pieces, docs, size=packing.SIZE):
@@ -94,12 +105,19 @@ def test_pack_nulls_clashing_columns_and_targets(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH, 2).collect() == []
 
 
-def test_many_sources_share_queues(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
-    rows = [(i, "some words here", f"s{i}", "", 0) for i in range(50)]
-    got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH, 2, size=32).collect()
-    check(got, [r[:2] for r in rows], 32)
-    assert len({p.queue for p in got}) <= 4
+def test_rare_sources_share_the_tail_in_due_order(spark):
+    rows = [(i, "some words here", f"s{i % 300}", "", 0) for i in range(900)]
+    rows += [(i, "many words of a hot source go on and on " * 9, "hot", "", 0) for i in range(900, 1200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for targets in (None, {"hot": 1}, {f"s{i}": 1 + i % 3 for i in range(200)} | {"hot": 900}):
+        got = packing.pack(docs, PATH, 2, targets, size=64).collect()
+        check(got, [r[:2] for r in rows], 64)
+        assert {p.queue for p in got} == {r[2] for r in rows}
+    got = packing.pack(docs, PATH, 2, size=64).collect()
+    last = max(p.sequence_id for p in got)
+    for source in ("s0", "s150", "s299"):
+        at = sorted(p.sequence_id for p in got if p.queue == source)
+        assert at[0] < 0.3 * last and at[-1] > 0.6 * last
 
 
 def test_sequences_are_padded(spark):
