@@ -2,19 +2,18 @@
 
 Each language has a zstandard raw-content dictionary of sample text. A text is
 compressed with every dictionary; the one that makes it smallest names the
-language. What is compressed is the text's lower-cased distinct words, in blocks
-that are compressed on their own, so that a long or repeating text can't become
-its own dictionary. A narrow relative margin to the second smallest is a
-rejection.
+language. What is compressed is the whole text, its words of letters lower-cased,
+in blocks that are compressed on their own, so that a long text can't become its
+own dictionary. A narrow relative margin to the second smallest is a rejection.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +21,15 @@ from pyspark.sql import types as T
 
 from lintora.llm.common import rows_of, to_batches
 
-#: Bytes of a dictionary, and of one document's share in it; together with
-#: MAX_LANGUAGES they bound the sample that is drawn and what is broadcast.
-DICTIONARY_BYTES, SAMPLE_BYTES, MAX_LANGUAGES = 112 << 10, 2000, 300
-LEVEL, BLOCK_BYTES = 9, 1000
+#: Bytes of a dictionary, of one document's share in it, and of all dictionaries
+#: together; languages beyond the bound of their number are not learned. They
+#: bound the sample that is drawn and what is broadcast.
+DICTIONARY_BYTES, SAMPLE_BYTES, TOTAL_BYTES, MAX_LANGUAGES = 112 << 10, 2000, 16 << 20, 4000
+LEVEL, BLOCK_BYTES = 9, 4000
 #: Relative margin under which a prediction is rejected.
 MIN_MARGIN = 0.01
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def held_out(id_col: str) -> Column:
@@ -38,32 +38,38 @@ def held_out(id_col: str) -> Column:
 
 
 def normal(text: str) -> bytes:
-    """The text's distinct words of letters in their order, lower-cased."""
-    return " ".join(dict.fromkeys(_LETTERS.findall(text.lower()))).encode()
+    """The text's words of letters, lower-cased, with one space between them."""
+    return " ".join(_LETTERS.findall(text.lower())).encode()
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each language, from a bounded sample of the labelled
-    rows: of each language at most 4 * dictionary_bytes / SAMPLE_BYTES documents
-    in the order of a hash, SAMPLE_BYTES of each. Rows with a null label or no
-    words teach nothing."""
+    rows: documents in the order of a hash, and of each a stretch of SAMPLE_BYTES
+    that begins at a place given by a hash. Rows with a null label or no words
+    teach nothing.
+
+    A dictionary has `dictionary_bytes`, or less where all of them would have
+    over TOTAL_BYTES. Of more than MAX_LANGUAGES labels those with most documents
+    are learned."""
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return {}
-    want = 4 * dictionary_bytes // SAMPLE_BYTES
-    share = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * want / n)))]), F.col("lang"))
+    size = min(dictionary_bytes, TOTAL_BYTES // len(counts))
+    want = 2 * max(1, size // SAMPLE_BYTES) + 8
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * want / r["count"])) for r in counts], "lang string, share double")
     order = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200)), F.lit(1 << 30))
-    drawn = labelled.withColumn("order", order).filter(F.col("order") < share * (1 << 30)).select("order", "lang", F.substring("text", 1, 2 * SAMPLE_BYTES).alias("text"))
+    chars = F.char_length("text")
+    place = F.pmod(F.xxhash64("doc_id", chars), F.greatest(F.lit(1), chars - 2 * SAMPLE_BYTES + 1)).cast("int") + 1
+    drawn = labelled.join(F.broadcast(shares), "lang").withColumn("order", order).filter(F.col("order") < F.col("share") * (1 << 30))
+    drawn = drawn.select("order", "lang", F.substring("text", place, F.lit(2 * SAMPLE_BYTES)).alias("text"))
     samples: dict[str, list[bytes]] = {}
     for row in drawn.orderBy("order", "text", "lang").limit(2 * want * len(counts)).collect():
         held = samples.setdefault(row["lang"], [])
         text = normal(row["text"])[:SAMPLE_BYTES]
-        if text and sum(map(len, held)) < dictionary_bytes and text not in held:
+        if text and sum(map(len, held)) < size and text not in held:
             held.append(text)
-    return {lang: b" ".join(held)[:dictionary_bytes] for lang, held in sorted(samples.items()) if held}
+    return {lang: b" ".join(held)[:size] for lang, held in sorted(samples.items()) if held}
 
 
 class Classifier:

@@ -1,6 +1,8 @@
+import re
+import unicodedata
 import zlib
 
-import pytest
+import zstandard
 
 from lintora.llm import language
 from lintora.llm.queries import op6_language
@@ -35,10 +37,49 @@ def test_empty_tables(spark):
     assert got.lang_pred == "und" and got.rejected
 
 
-def test_too_many_languages(spark, monkeypatch):
+def test_many_languages_share_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language, "TOTAL_BYTES", 80)
+    known = language.learn(spark.createDataFrame(rows(), SCHEMA))
+    assert sorted(known) == ["aa", "bb"] and all(0 < len(x) <= 40 for x in known.values())
     monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
-    with pytest.raises(ValueError):
-        language.learn(spark.createDataFrame(rows(), SCHEMA))
+    more = [*rows(), (200, TEXTS["bb"] + "zz", "bb", "s", 1.0)]
+    assert sorted(language.learn(spark.createDataFrame(more, SCHEMA))) == ["bb"]
+
+
+def slow_prediction(dictionaries, text):
+    """The smallest by fresh compressors, on letters found one by one."""
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    words = [re.sub(r"^[^\w]+", "", w) for w in words.split()]
+    words = [w for w in words if any(unicodedata.category(c)[0] == "L" for c in w)]
+    data = " ".join(words).encode()
+    if not data:
+        return "und"
+    sizes = {}
+    for lang, content in dictionaries.items():
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=9, dict_data=held, write_checksum=False, write_content_size=False)
+        sizes[lang] = sum(len(packer.compress(data[i : i + 4000])) for i in range(0, len(data), 4000))
+    return min(sorted(sizes), key=sizes.get)
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    known = language.learn(docs.filter(~language.held_out("doc_id")))
+    taught = [language.normal(d.text) for d in docs.collect() if d.lang and d.text and zlib.crc32(str(d.doc_id).encode()) % 4 != 2]
+    for content in known.values():  # nothing else is in the dictionaries
+        assert all(any(content[i : i + 60] in t for t in taught) for i in range(0, 1500, 500))
+    got = {r.doc_id: r.lang_pred for r in op6_language(spark, sf).collect()}
+    want = {d: slow_prediction(known, t) for d, t in texts.items()}
+    assert sum(got[d] != want[d] for d in want) <= 0.01 * len(want)  # precomputed dictionaries may differ by a byte
+
+
+def test_numerals_are_no_letters():
+    known = language.Classifier({"aa": b"some words", "bb": b"andere"})
+    for text in ("\u00bd \u00b2", "\u2460\u0664 12 _-", "\u0301", ""):
+        assert known.predict(text) == ("und", 0.0, 0.0)
+    assert known.predict("\u4e2d")[0] in known.compressors
 
 
 def test_equal_sizes_are_rejected():
