@@ -3,9 +3,13 @@
 The list holds canonical URLs: a host and the beginning of a path, with a
 verdict. Hosts match with all their subdomains. The filter is a table of blocks
 of 256 bits; a listed key sets eight bits of one block, one in each of eight
-words of 32 bits. A URL's possible keys (its host and parent domains, each with
-the beginnings of its path whose lengths the list has) look up one block each;
-the keys that pass, false positives among them, meet the list in a hash join.
+words of 32 bits. It holds the listed hosts, and the listed URLs.
+
+A URL's possible hosts are its own and the parent domains that have as many
+labels as any listed host. Those that pass the filter meet a table of the path
+lengths listed for each host, which gives the possible keys; those that pass the
+filter meet the list in a hash join, and what they find is compared as text.
+Keys are hashes, so that long hosts and paths are not repeated.
 
 All of it is DataFrame functions.
 """
@@ -15,21 +19,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import written
+from lintora.llm.common import small, written
 
 WORDS = 8
-#: Bits for each listed key; a block then holds about 21 keys and under one URL key in a thousand passes wrongly.
-BITS_PER_KEY = 12
-#: Most different path lengths in a list; a rule's path has at most so many.
-MAX_LENGTHS = 64
-#: A filter or list of at most so many rows is broadcast.
+#: Bits for each key. A block then holds about 16 keys, and about one other key
+#: in a thousand passes wrongly.
+BITS_PER_KEY = 16
+#: Filters and lists of no more rows (and of bounded bytes) are broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; else empty."""
-    rest = F.substring_index(F.substring_index(F.substring_index(_rest(url), "/", 1), "?", 1), "#", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.substring_index(F.substring_index(F.substring_index(_rest(url), "/", 1), "?", 1), "#", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -64,7 +70,7 @@ def bloom_filter(keys: DataFrame) -> tuple[DataFrame, int]:
 def possible(probes: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """The rows of probes whose key the filter may hold: all listed keys, few others."""
     columns = probes.columns
-    met = probes.withColumn("block", _block(F.col("key"), n_blocks)).join(_small(blocks), "block")
+    met = probes.withColumn("block", _block(F.col("key"), n_blocks)).join(small(blocks, MAX_BROADCAST_ROWS), "block")
     held = [F.col(f"w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(F.col("key")))]
     passes = held[0]
     for h in held[1:]:
@@ -72,10 +78,6 @@ def possible(probes: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     return met.filter(passes).select(*columns)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages.
 
@@ -84,30 +86,44 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     together) wins, by name in a tie; of equal ones with different verdicts,
     block. A URL that none fits has a null rule and the verdict `default`.
 
+    The list may hold any number of hosts, labels and path lengths. Only the
+    different numbers of labels of its hosts are collected: k of them need hosts
+    of k * k bytes together.
+
     Null URLs and URLs without :// have empty host and path and fit nothing but
     an empty rule, which is ignored as are null ones. Repeated rows and null ids
     are kept; other columns are ignored; empty tables give no rows, or defaults.
     Each distinct URL is looked up once."""
-    rules = listed.filter("host is not null and path is not null and host <> ''").select(F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
+    rules = listed.filter("host is not null and path is not null and host <> ''").select(_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max(F.col("rule_verdict") == "block").alias("blocks"))
-    rules = written(rules.select(F.concat("rule_host", F.lit(" "), "rule_path").alias("key"), F.concat("rule_host", "rule_path").alias("rule"), F.char_length("rule_path").alias("length"), "blocks"), "rules")
-    lengths = [r.length for r in rules.select("length").distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rules have more than {MAX_LENGTHS} path lengths")
-    named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    urls = named.select("url").filter("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.", -1)
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.substring("path", F.lit(1), n)))
-    keys = F.flatten(F.transform(domains, lambda d: F.transform(starts, lambda s: F.concat(d, F.lit(" "), s))))
-    probes = urls.select("url", F.explode(keys).alias("key"))
-    blocks, n_blocks = bloom_filter(rules)
-    hits = possible(probes, written(blocks, "bloom-filter"), n_blocks).join(_small(rules), "key")
-    best = hits.groupBy("url").agg(F.max(F.struct(F.char_length("rule").alias("n"), "rule", "blocks")).alias("best"))
-    found = named.join(best, "url", "left")
+    host_key = F.xxhash64("rule_host")
+    rules = written(rules.select(F.xxhash64(host_key, "rule_path").alias("key"), host_key.alias("host_key"), "rule_host", "rule_path", F.size(F.split("rule_host", r"\.", -1)).alias("n_labels"), F.char_length("rule_path").alias("length"), "blocks"), "rules")
+    depths = sorted(r.n_labels for r in rules.select("n_labels").distinct().collect())
+    lengths = written(rules.groupBy("host_key").agg(F.collect_set("length").alias("lengths")), "path-lengths")
+    listed_keys = rules.select("key").unionByName(lengths.select(F.col("host_key").alias("key")))
+    blocks, n_blocks = bloom_filter(listed_keys)
+    blocks = written(blocks, "bloom-filter")
+
+    url = F.col("url")
+    named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.xxhash64(url_col).alias("u"), F.xxhash64(F.col(url_col), F.lit(1)).alias("v"))
+    urls = named.filter("url is not null").groupBy("u", "v").agg(F.first("url").alias("url")).select("u", "v", host_of(url).alias("host"), path_of(url).alias("path"))
+    urls = written(urls, "urls")
+    n_labels = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+    fitting = F.filter(F.array(*[F.lit(d) for d in depths]).cast("array<int>"), lambda d: d <= n_labels)
+    domains = F.transform(fitting, lambda d: F.xxhash64(F.call_function("substring_index", F.col("host"), F.lit("."), -d)))
+    hosts = possible(urls.select("u", "v", "path", F.explode(domains).alias("key")), blocks, n_blocks)
+    known = hosts.withColumnRenamed("key", "host_key").join(small(lengths, MAX_BROADCAST_ROWS), "host_key")
+    starts = F.transform(F.filter("lengths", lambda n: n <= F.char_length("path")), lambda n: F.xxhash64("host_key", F.substring("path", F.lit(1), n)))
+    probes = possible(known.select("u", "v", F.explode(starts).alias("key")), blocks, n_blocks)
+    hits = probes.join(small(rules.select("key", "rule_host", "rule_path", "blocks"), MAX_BROADCAST_ROWS), "key").drop("key")
+    same = (F.col("host") == F.col("rule_host")) | F.endswith("host", F.concat(F.lit("."), "rule_host"))
+    fits = hits.join(urls, ["u", "v"]).filter(same & F.startswith("path", "rule_path"))
+    rule = F.concat("rule_host", "rule_path")
+    best = fits.groupBy("u", "v").agg(F.max(F.struct(F.char_length(rule).alias("n"), rule.alias("rule"), "blocks")).alias("best"))
+    found = named.join(best, ["u", "v"], "left")
     verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.blocks"), "block").otherwise("allow")
     empty = F.lit("")
-    return found.select("page_id", F.coalesce(host_of(F.col("url")), empty).alias("host"), F.coalesce(path_of(F.col("url")), empty).alias("path"), F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    return found.select("page_id", F.coalesce(host_of(url), empty).alias("host"), F.coalesce(path_of(url), empty).alias("path"), F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 SQL = r"""
