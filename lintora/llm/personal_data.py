@@ -1,18 +1,20 @@
 """Personal data: base patterns, and bootstrapping from their contexts.
 
 Base spans (e-mail, IP and card numbers, phone numbers) are seed entities. What
-stands around them, two words to the left, or one to each side, is a lexical
-pattern. Patterns and the identifier-like strings between their words form a
-bipartite graph that Spark scores in rounds:
+stands around them, two words to the left, two to the right, or one to each
+side, is a lexical pattern. Patterns and the identifier-like strings between
+their words form a bipartite graph that Spark scores in rounds:
 
 - a pattern's confidence is the mean confidence of its distinct instances,
   seeds counting 1;
 - an instance's confidence is that of one of its trusted patterns at least
   being right, 1 - prod(1 - confidence).
 
-A pattern is trusted with MIN_SEEDS distinct seeds and a confidence of
-MIN_CONFIDENCE. Strings that look like identifiers of a kind, are no base spans,
-and reach MIN_CONFIDENCE are added wherever they occur.
+A pattern is trusted with MIN_SEEDS distinct instances that are seeds or trusted
+themselves, and a confidence of MIN_CONFIDENCE. Strings that look like
+identifiers of a kind, are no base spans, and reach MIN_CONFIDENCE are trusted:
+they are added wherever they occur, and count as seeds of further patterns. The
+rounds end when no pattern and no instance is trusted anew.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import rows_of, to_batches, written
+from lintora.llm.common import discard, rows_of, to_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 3, 0.75, 3
+MIN_SEEDS, MIN_CONFIDENCE = 3, 0.75
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -38,13 +40,17 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
-#: Looser shapes: what may be an identifier of a kind in a trusted context.
+#: Looser shapes: what may be an identifier of a kind in a trusted context. Each
+#: is bounded in length, and can't begin inside another of its kind.
 _SHAPES = (
-    ("email", re.compile(r"[\w.%+-]+ ?(?:\[at\]|\(at\)| at |@) ?[\w-]+(?: ?(?:\[dot\]|\(dot\)| dot ) ?[\w-]+)+|[\w.%+-]+ ?(?:\[at\]|\(at\)) ?[\w-]+(?:\.[\w-]+)+")),
     ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){11,18}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?(?:[ ./-][0-9]{2,4}){1,5}(?![\w-])")),
 )
+#: Addresses that are spelled out: the sign, then labels with at least one dot.
+_AT = re.compile(r" ?(?:\[at\]|\(at\)) ?| at | ?@ ?")
+_SPELLED = re.compile(r"[\w-]+(?: ?(?:\[dot\]|\(dot\)| dot ) ?[\w-]+)+")
+_DOTTED_LABELS = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -84,17 +90,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
+def _spelled_emails(text: str) -> Iterator[tuple[int, int]]:
+    """From each sign, the local part to its left and the labels to its right;
+    no character is walked over twice."""
+    free = 0
+    for at in _AT.finditer(text):
+        start = at.start()
+        while start > free and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        if start < at.start():
+            domain = _SPELLED.match(text, at.end()) or (_DOTTED_LABELS.match(text, at.end()) if "at" in at[0] and at[0].strip() != "at" else None)
+            if domain:
+                yield start, domain.end()
+        free = at.end()
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Identifier-like strings apart from base spans and from each other, leftmost first."""
     loose = []
-    digits = _NO_DIGIT.fullmatch(text) is None
-    for kind, shape in _SHAPES:
-        if kind == "email" and not ("(at)" in text or "[at]" in text or "dot" in text) or kind != "email" and not digits:
-            continue
-        for m in shape.finditer(text):
-            n = len(_NO_DIGIT.sub("", m[0]))
-            if kind == "email" or kind == "ip" or kind == "card" and 12 <= n <= 19 or kind == "phone" and 7 <= n <= 15:
-                loose.append((*m.span(), kind))
+    if "(at)" in text or "[at]" in text or "dot" in text:
+        loose += [(s, e, "email") for s, e in _spelled_emails(text)]
+    if _NO_DIGIT.fullmatch(text) is None:
+        for kind, shape in _SHAPES:
+            for m in shape.finditer(text):
+                n = len(_NO_DIGIT.sub("", m[0]))
+                if kind == "ip" or kind == "card" and 12 <= n <= 19 or kind == "phone" and 7 <= n <= 15:
+                    loose.append((*m.span(), kind))
     out, free, taken = [], 0, iter([*base, (len(text) + 1, len(text) + 1, "")])
     edge = next(taken)
     for s, e, kind in sorted(loose, key=lambda x: (x[0], -x[1])):
@@ -106,11 +127,14 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out
 
 
-def _contexts(text: str, start: int, end: int) -> tuple[str, str]:
+def _contexts(text: str, start: int, end: int) -> list[str]:
+    """Patterns around a span: a word that is longer than what is looked at
+    (80 characters to the left, 40 to the right) stands for itself cut there."""
     left = text[max(0, start - 80) : start].lower().split()[-2:]
-    right = text[end : end + 40].lower().split()[:1]
-    patterns = f"{' '.join(left)} _" if len(left) == 2 else "", f"{left[-1]} _ {right[0]}" if left and right else ""
-    return patterns
+    right = text[end : end + 40].lower().split()[:2]
+    out = [f"{left[0]} {left[1]} _"] if len(left) == 2 else []
+    out += [f"{left[-1]} _ {right[0]}"] if left and right else []
+    return out + ([f"_ {right[0]} {right[1]}"] if len(right) == 2 else [])
 
 
 _MARK = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
@@ -136,26 +160,33 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from to_batches(rows(), _FOUND)
 
 
-def trusted_instances(seen: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def trusted_instances(seen: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """kind, instance, confidence of the unseen identifiers, from rows (kind,
-    instance, pattern, seed); empty patterns are left out."""
-    edges = seen.filter("pattern <> ''").groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
+    instance, pattern, seed).
+
+    Confidences never fall from round to round, so the rounds end: at the latest
+    when as many have been trusted as there are. Each round reads written tables
+    of the graph's edges, which are distinct; a pattern of many instances is
+    aggregated before it is shuffled, and joined as a skewed key."""
+    edges = seen.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
     support = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("n_seeds"))
-    worth = support.filter((F.col("n_seeds") >= min_seeds) & (F.col("n") > F.col("n_seeds")))
-    edges = written(edges.join(worth, ["kind", "pattern"]), "pattern-graph")
-    unseen = edges.filter(~F.col("seed"))
-    confidence = None
-    for _ in range(rounds):
-        if confidence is None:
-            mass = support.sparkSession.createDataFrame([], "kind string, pattern string, mass double")
-        else:
-            mass = unseen.join(confidence, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum("confidence").alias("mass"))
-        patterns = edges.select("kind", "pattern", "n", "n_seeds").distinct().join(mass, ["kind", "pattern"], "left")
-        trusted = patterns.select("kind", "pattern", ((F.col("n_seeds") + F.coalesce("mass", F.lit(0.0))) / F.col("n")).alias("p")).filter(F.col("p") >= min_confidence)
+    worth = written(support.filter((F.col("n") >= min_seeds) & (F.col("n") > F.col("n_seeds"))), "patterns")
+    unseen = written(edges.filter(~F.col("seed")).join(worth.select("kind", "pattern"), ["kind", "pattern"]), "pattern-graph")
+    n_patterns, n_instances, confidence = 0, 0, None
+    while True:
+        held = worth.withColumns({"mass": F.lit(0.0), "more": F.lit(0)})
+        if confidence is not None:
+            gained = unseen.join(confidence, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum("confidence").alias("mass"), F.count_if(F.col("confidence") >= min_confidence).alias("more"))
+            held = worth.join(gained, ["kind", "pattern"], "left").fillna(0)
+        sure = held.select("kind", "pattern", ((F.col("n_seeds") + F.col("mass")) / F.col("n")).alias("p"), (F.col("n_seeds") + F.col("more")).alias("support"))
+        sure = written(sure.filter((F.col("p") >= min_confidence) & (F.col("support") >= min_seeds)).select("kind", "pattern", "p"), "trusted-patterns")
         wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))))
-        scored = unseen.join(trusted, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - wrong).alias("confidence"))
-        confidence = written(scored, "instances")
-    return confidence.filter(F.col("confidence") >= min_confidence)
+        old, confidence = confidence, written(unseen.join(sure, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - wrong).alias("confidence")), "instances")
+        counts = sure.count(), confidence.filter(F.col("confidence") >= min_confidence).count()
+        discard(sure, *([old] if old is not None else []))
+        if counts == (n_patterns, n_instances):
+            return confidence.filter(F.col("confidence") >= min_confidence)
+        n_patterns, n_instances = counts
 
 
 def _order(kind: Column) -> Column:
@@ -163,9 +194,10 @@ def _order(kind: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """row (a key), doc_id, text_hash, n_<kind> and base_sha256 of the base spans, and
+    """row (a key), doc_id, text_hash, n_<kind> and base_sha256 of the base spans,
     spans: an array of (start, end, kind) of all spans, base and discovered,
-    ordered by start and kind. Every row of docs gives one row.
+    ordered by start and kind, and n_found: how many of them were discovered.
+    Every row of docs gives one row.
 
     Null and empty texts have no spans; rows with null or equal ids are kept,
     each with its own spans; other columns are ignored; no rows give no rows.
@@ -178,7 +210,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_se
     added = new.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added"))
     ordered = F.array_sort(F.transform(F.concat("base", F.coalesce("added", F.array())), lambda x: F.struct(x["start"].alias("start"), _order(x["kind"]).alias("at"), x["end"].alias("end"), x["kind"].alias("kind"))))
     spans = F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return found.drop("seen").join(added, "row", "left").select("row", "doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
+    n_found = F.size(F.coalesce("added", F.array())).cast("long")
+    return found.drop("seen").join(added, "row", "left").select("row", "doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), n_found.alias("n_found"))
 
 
 def redact(text: str, spans: list) -> str:

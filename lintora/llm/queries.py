@@ -74,7 +74,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents: base spans and all spans."""
     found = personal_data.find(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    return found.select("doc_id", *[f"n_{k}" for k in personal_data.KINDS], "base_sha256", spans.alias("spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in personal_data.KINDS], "base_sha256", spans.alias("spans"), F.size("spans").cast("long").alias("n_spans"), "n_found")
 
 
 def queries() -> dict:
