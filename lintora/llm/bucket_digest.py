@@ -143,6 +143,9 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranged = rows.repartitionByRange(order).sortWithinPartitions(order, "text")
     found = written(ranged.mapInArrow(run, f"{_DDL}, part long, first_text string, last_text string"), "digests")
     ends = found.filter(F.col("part").isNotNull())
+    parts = ends.select("part")  # numbers alone: one for each partition
     by_part, everything = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    closed = ends.select("doc_id", "last_text", F.coalesce(F.lead("first_text").over(by_part), F.first("first_text").over(everything)).alias("next_text"))
+    after = parts.select("part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(everything)).alias("next_part"))
+    firsts = ends.select(F.col("part").alias("next_part"), F.col("first_text").alias("next_text"))
+    closed = ends.select("part", "doc_id", "last_text").join(after, "part").join(firsts, "next_part").select("doc_id", "last_text", "next_text")
     return found.filter(F.col("part").isNull()).select(*_RESULT.names).unionByName(closed.mapInArrow(close, _DDL))

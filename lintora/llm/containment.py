@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintora.llm.common import written
+from lintora.llm.common import small, written
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A sketch or candidate table of at most so many rows (of three longs) is broadcast.
+#: A table of sketches, candidates or shingles of no more rows (and of bounded
+#: bytes) is broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -56,11 +57,6 @@ def _strings(w: Column, width: int) -> Column:
     return _bound(w, of)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its rows, counted, are within the bound."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def item_shingles(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """item_id, item (a key of the row), width, shingle, n_shingles; distinct."""
 
@@ -100,11 +96,11 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     widths = [r.width for r in shingles.select("width").distinct().collect()] or [WIDTH]  # 1 to 5
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc"))
     looked = texts.select("doc", F.explode(F.concat(*[_hashes(words(F.col("text")), w) for w in widths])).alias("h"))
-    candidates = written(looked.join(_small(sketch), "h").select("doc", "item").distinct(), "candidates")
-    suspects = texts.join(_small(candidates.select("doc").distinct()), "doc", "left_semi")
+    candidates = written(looked.join(small(sketch, MAX_BROADCAST_ROWS), "h").select("doc", "item").distinct(), "candidates")
+    suspects = texts.join(small(candidates.select("doc").distinct(), MAX_BROADCAST_ROWS), "doc", "left_semi")
     spelled = F.create_map(*[x for w in widths for x in (F.lit(w), _strings(words(F.col("text")), w))])
     held = suspects.select("doc_id", "doc", F.explode(spelled).alias("width", "all")).select("doc_id", "doc", "width", F.explode("all").alias("shingle")).distinct()
-    met = held.join(_small(shingles), ["width", "shingle"])
+    met = held.join(small(shingles, MAX_BROADCAST_ROWS), ["width", "shingle"])
     shared = met.groupBy("doc_id", "doc", "item_id", "item", "n_shingles").agg(F.count("*").alias("n_shared"))
     enough = shared.filter(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9)).join(candidates, ["doc", "item"], "left_semi")
     pair = enough.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))

@@ -180,7 +180,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 def read_documents(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """Ids of the documents whose doc_id is in `wanted` (a column doc_id): only
-    their frames are fetched and decompressed. Unknown ids give no row."""
+    their frames are fetched and decompressed, those of a file by one task, which
+    reads its seek table once. Unknown ids give no row."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -193,7 +194,7 @@ def read_documents(index: DataFrame, wanted: DataFrame) -> DataFrame:
         yield from to_batches(rows(), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
     frames = index.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("path", "frame", "doc_id")
-    return frames.sortWithinPartitions("path", "frame").mapInArrow(read, "doc_id long, ids binary")
+    return frames.repartition("path").sortWithinPartitions("path", "frame").mapInArrow(read, "doc_id long, ids binary")
 
 
 def token_digests(documents: DataFrame) -> DataFrame:
