@@ -19,10 +19,9 @@ def js_round(x: Column, digits: int = 0) -> Column:
 def snippet_hash(text: Column) -> Column:
     """h = 5381; for each UTF-16 code unit h = 33 h xor unit, modulo 2^32; eight hex digits."""
     hexed = F.hex(F.encode(text, "UTF-16BE"))
-    empty = F.length(hexed) == 0
-    units = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(hexed) - 3), F.lit(4)), lambda i: F.conv(F.substring(hexed, i, F.lit(4)), 16, 10).cast("long"))
+    units = F.transform(F.regexp_extract_all(hexed, F.lit(".{4}"), 0), lambda u: F.conv(u, 16, 10).cast("long"))
     folded = F.aggregate(units, F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseAND(4294967295).bitwiseXOR(c))
-    return F.lpad(F.lower(F.hex(F.when(empty, F.lit(5381).cast("long")).otherwise(folded))), 8, "0")
+    return F.lpad(F.lower(F.hex(folded)), 8, "0")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -108,6 +107,22 @@ def severity_icon(severity: Column) -> Column:
     return out
 
 
+# Colours by severity and by score.
+SEVERITY_COLOURS = {"CRITICAL": "#f47067", "HIGH": "#e09b3d", "MEDIUM": "#d29922"}
+LOW_COLOUR = "#3fb950"
+
+
+def severity_colour(severity: Column) -> Column:
+    out = F.lit(LOW_COLOUR)
+    for name, colour in SEVERITY_COLOURS.items():
+        out = F.when(severity == name, colour).otherwise(out)
+    return out
+
+
+def score_colour(score: Column) -> Column:
+    return F.when(score >= 80, LOW_COLOUR).when(score >= 50, SEVERITY_COLOURS["MEDIUM"]).otherwise(SEVERITY_COLOURS["CRITICAL"])
+
+
 def owasp_slug(kind: Column) -> Column:
     slugs = {"SQL_INJECTION": "SQL_Injection", "XSS": "Cross_Site_Scripting_(XSS)", "HARDCODED_SECRET": "Use_of_Hard-coded_Cryptographic_Key", "COMMAND_INJECTION": "Command_Injection", "PATH_TRAVERSAL": "Path_Traversal"}
     out = kind

@@ -1,37 +1,53 @@
-"""The rule scan: documents to findings.
-
-Every pattern is a literal in one array that is exploded once for each document;
-a cheap look for a string that each match must contain goes before the regex.
-Nothing is shuffled but for the choice of one finding for each line and type.
+"""The rule scan: documents to findings, one document at a time.
+
+Every pattern is a literal whose matches are an array of the document's row; a
+cheap look for a string that each match must contain goes before the regex. Where
+matches stand, their lines, what is near them, and which of them is the first of
+its line and type are worked out in arrays of the same row, so nothing is
+shuffled. Places are found by sums over blocks: the work grows with the text and
+the number of matches, not with their product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintora.functions import scalars as S
 from lintora.operators.rules import RULES, Pattern, Rule
 
 _BLANKS = r"^\s+|\s+$"
+#: Elements of an array that are summed one by one; whole blocks are summed once.
+_BLOCK = 64
+#: Characters of a piece of text from which contexts are cut.
+_PIECE = 4096
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x that is computed once: the variable of a lambda is a value."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, n: acc + n)
 
-def matches(text: Column, regex: str) -> Column:
-    """All non-overlapping matches as an array of (start, matched)."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(regex), 0).alias("m"), F.split(text, regex, -1).alias("g"))
 
-    def placed(x: Column) -> Column:
-        m, g = x["m"], x["g"]
-        total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, s: acc + F.length(s))
-        each = F.transform(F.sequence(F.lit(1), F.size(m)), lambda i: F.struct((total(g, i) + total(m, i - 1)).alias("start"), F.element_at(m, i).alias("matched")))
-        return F.when(F.size(m) > 0, each)
+def _sums(numbers: Column, f: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """f(before), where before(i) is the sum of the elements before i (from 1)."""
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(_BLOCK)), lambda i: _sum(F.slice(numbers, i, F.lit(_BLOCK))))
+    sums = _once(blocks, lambda b: F.transform(F.sequence(F.lit(1), F.size(b)), lambda i: _sum(F.slice(b, F.lit(1), i - 1))))
 
-    return F.element_at(F.transform(F.array(both), placed), 1)
+    def before(sums: Column, i: Column) -> Column:
+        block = F.floor((i - 1) / _BLOCK).cast("int")
+        return F.element_at(sums, block + 1) + _sum(F.slice(numbers, block * _BLOCK + 1, i - 1 - block * _BLOCK))
 
+    return _once(sums, lambda sums: f(lambda i: before(sums, i)))
 
-def _found(text: Column, lower: Column, language: Column, rule_at: int, rule: Rule, at: int, p: Pattern) -> Column:
+
+def _cut(text: Column, lower: Column, language: Column, rule_at: int, rule: Rule, at: int, p: Pattern) -> Column:
+    """The matches m of a pattern and the text g around them; null if there are none."""
     regex = ("(?i)" if rule.ignore_case else "") + p.regex
     gate = language.isin(*rule.languages) if rule.languages else F.lit(True)
     if p.needs:
@@ -39,8 +55,36 @@ def _found(text: Column, lower: Column, language: Column, rule_at: int, rule: Ru
         for s in p.needs:
             some = some | F.contains(lower, F.lit(s))
         gate = gate & some
-    rows = F.transform(F.when(gate, matches(text, regex)), lambda x: F.struct(F.lit(rule_at).alias("rule_index"), F.lit(at).alias("pattern_index"), x["start"].alias("range_start"), x["matched"].alias("matched")))
-    return F.coalesce(rows, F.array().cast("array<struct<rule_index:int,pattern_index:int,range_start:int,matched:string>>"))
+    cut = F.struct(F.lit(rule_at).alias("rule_index"), F.lit(at).alias("pattern_index"), F.regexp_extract_all(text, F.lit(regex), 0).alias("m"), F.split(text, regex, -1).alias("g"))
+    return F.when(gate & text.rlike(regex), cut)
+
+
+def _placed(x: Column) -> Column:
+    """Each match of a pattern with its first character and its length."""
+    m, gaps = x["m"], x["g"]
+    lengths = F.zip_with(gaps, m, lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+
+    def place(i: Column, before: Column) -> Column:
+        start = before + F.length(F.element_at(gaps, i))
+        return F.struct(x["rule_index"].alias("rule_index"), x["pattern_index"].alias("pattern_index"), start.alias("range_start"), F.length(F.element_at(m, i)).alias("n"))
+
+    return _once(lengths, lambda n: _sums(n, lambda before: F.transform(F.sequence(F.lit(1), F.size(m)), lambda i: place(i, before(i)))))
+
+
+def usable(spark: SparkSession, rules: Sequence[Rule] = RULES) -> list[Rule]:
+    """The rules without the patterns that are no regular expressions, so that
+    one of them doesn't stop the others. Places of patterns in their rules stay:
+    a broken one becomes a pattern that matches nothing."""
+    from dataclasses import replace
+
+    def sound(p: Pattern) -> Pattern:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(p.regex)
+            return p
+        except Exception:  # noqa: BLE001  whatever the compiler says
+            return replace(p, regex=r"(?!)", portable="", needs=("\0",))
+
+    return [replace(r, patterns=tuple(sound(p) for p in r.patterns)) for r in rules]
 
 
 def _details(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
@@ -59,60 +103,102 @@ def is_comment(line: Column, language: Column, style: str) -> Column:
     return F.when(language.isin("python", "ruby"), bare.startswith("#")).otherwise(bare.rlike(r"^(?://|\*|/\*|<!--)"))
 
 
-def raw_matches(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every match of every pattern with its place: file_name, language_id,
-    text, rule_index, pattern_index, range_start, range_end, line_number (from
-    1), column_number (from 0), line. Offsets count characters."""
-    # a generator in between, so that a text which is an expression is computed once
-    docs = docs.select("file_name", "language_id", F.inline(F.array(F.struct("text", F.lower("text").alias("lower_text")))))
-    arrays = [_found(F.col("text"), F.col("lower_text"), F.col("language_id"), i, rule, j, p) for i, rule in enumerate(rules) for j, p in enumerate(rule.patterns)]
-    hits = docs.select("file_name", "language_id", "text", F.inline(F.concat(*arrays)))
-    before = F.substring("text", F.lit(1), F.col("range_start"))
-    lines = F.split(before, "\n", -1)
-    return hits.select(
-        "*",
-        (F.col("range_start") + F.length("matched")).alias("range_end"),
-        F.size(lines).alias("line_number"),
-        F.length(F.element_at(lines, -1)).alias("column_number"),
-        F.element_at(F.split("text", "\n", -1), F.size(lines)).alias("line"),
-    )
+def _by_rule(rule_index: Column, values: list[Column], default: Column) -> Column:
+    out = default
+    for i, value in enumerate(values):
+        out = F.when(rule_index == i, value).otherwise(out)
+    return out
 
 
-def boosts(rules: Sequence[Rule] = RULES) -> Column:
-    """How many of the pattern's keywords stand near the match, in any case."""
+def boosts(near: Column, rule_index: Column, pattern_index: Column, rules: Sequence[Rule]) -> Column:
+    """How many of the pattern's keywords stand in the lower-cased context."""
     out = F.lit(0)
     for i, rule in enumerate(rules):
-        start = F.greatest(F.col("range_start") - rule.context, F.lit(0))
-        context = F.lower(F.substring("text", start + 1, F.col("range_end") + rule.context - start))
         for j, p in enumerate(rule.patterns):
             if p.keywords:
                 n = F.lit(0)
                 for word in p.keywords:
-                    n = n + F.contains(context, F.lit(word.lower())).cast("int")
-                out = F.when((F.col("rule_index") == i) & (F.col("pattern_index") == j), n).otherwise(out)
+                    n = n + F.contains(near, F.lit(word.lower())).cast("int")
+                out = F.when((rule_index == i) & (pattern_index == j), n).otherwise(out)
     return out
 
 
+def _near(pieces: Column, start: Column, end: Column, context: Column) -> Column:
+    """The text from `context` characters before start to as many after end."""
+    first = F.greatest(start - context, F.lit(0))
+    piece = F.floor(first / _PIECE).cast("int")
+    last = F.floor((end + context) / _PIECE).cast("int")
+    return F.lower(F.substring(F.array_join(F.slice(pieces, piece + 1, last - piece + 1), ""), first - piece * _PIECE + 1, end + context - first))
+
+
+def _rank(starts: Column, coarse: Column, at: Column) -> Column:
+    """How many of the sorted starts are no larger than `at`."""
+    full = F.greatest(F.size(F.filter(coarse, lambda s: s <= at)) - 1, F.lit(0)) * _BLOCK
+    return full + F.size(F.filter(F.slice(starts, full + 1, F.lit(_BLOCK)), lambda s: s <= at))
+
+
+def raw_matches(docs: DataFrame, rules: Sequence[Rule] = RULES, first_only: bool = False) -> DataFrame:
+    """Every match of every pattern with its place: file_name, language_id,
+    rule_index, pattern_index, range_start, range_end, line_number (from 1),
+    column_number (from 0), line, comment (whether the line is one), boost.
+    Offsets count characters. first_only: of the matches outside comments, the
+    first by pattern and place of each line and type."""
+    # generators in between, so that what comes before is computed once
+    docs = docs.select("file_name", "language_id", F.inline(F.array(F.struct("text", F.lower("text").alias("lower_text")))))
+    cut = [_cut(F.col("text"), F.col("lower_text"), F.col("language_id"), i, rule, j, p) for i, rule in enumerate(rules) for j, p in enumerate(rule.patterns)]
+    held = docs.select("file_name", "language_id", "text", F.inline(F.array(F.struct(F.array_compact(F.array(*cut)).alias("cut"))))).filter(F.size("cut") > 0)
+    found = F.flatten(F.transform("cut", _placed))
+    lines = _once(F.split("text", "\n", -1), lambda x: F.struct(x.alias("lines"), _once(F.transform(x, lambda s: F.length(s) + 1), lambda n: _sums(n, lambda before: F.transform(F.sequence(F.lit(1), F.size(n)), lambda i: before(i)))).alias("starts")))
+    lines = _once(lines, lambda x: F.struct(x["lines"].alias("lines"), x["starts"].alias("starts"), F.transform(F.sequence(F.lit(1), F.size(x["starts"]), F.lit(_BLOCK)), lambda i: F.element_at(x["starts"], i)).alias("coarse")))
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % _PIECE), 0)
+    held = held.select("file_name", "language_id", F.inline(F.array(F.struct(found.alias("found"), lines.alias("l"), pieces.alias("pieces")))))
+    types = {t: i for i, t in enumerate(dict.fromkeys(r.type for r in rules))}
+
+    def whole(x: Column) -> Column:
+        rule, start = x["rule_index"], x["range_start"]
+        end = start + x["n"]
+        context = _by_rule(rule, [F.lit(r.context) for r in rules], F.lit(0))
+        boosted = F.lit(False)
+        for i, r in enumerate(rules):
+            for j, p in enumerate(r.patterns):
+                if p.keywords:
+                    boosted = boosted | ((rule == i) & (x["pattern_index"] == j))
+        boost = F.when(boosted, _once(_near(F.col("pieces"), start, end, context), lambda near: boosts(near, rule, x["pattern_index"], rules))).otherwise(0)
+
+        def at_line(n: Column) -> Column:
+            line = F.element_at("l.lines", n)
+            comment = _by_rule(rule, [is_comment(line, F.col("language_id"), r.comments) for r in rules], F.lit(False))
+            return F.struct(
+                _by_rule(rule, [F.lit(types[r.type]) for r in rules], F.lit(-1)).alias("type_index"), n.alias("line_number"), rule.alias("rule_index"), x["pattern_index"].alias("pattern_index"), start.alias("range_start"),
+                end.alias("range_end"), (start - F.element_at("l.starts", n)).alias("column_number"), line.alias("line"), comment.alias("comment"), boost.alias("boost"),
+            )
+
+        return _once(_rank(F.col("l.starts"), F.col("l.coarse"), start), at_line)
+
+    hits = F.transform("found", whole)
+    if first_only:  # sorted by type, line, pattern and place: a finding is what differs from the one before
+        live = F.array_sort(F.filter(hits, lambda x: ~x["comment"]))
+        hits = _once(live, lambda a: F.filter(a, lambda x, i: (i == 0) | ~F.struct(x["type_index"], x["line_number"]).eqNullSafe(_key(F.get(a, i - 1)))))
+    return held.select("file_name", "language_id", F.inline(hits)).drop("type_index")
+
+
+def _key(x: Column) -> Column:
+    return F.struct(x["type_index"], x["line_number"])
+
+
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, enabled: bool = True) -> DataFrame:
     """Findings of documents (file_name, language_id, text): at most one for
-    each file, line and type, the first by pattern and place outside comments."""
+    each document, line and type, the first by pattern and place outside
+    comments. A file name is one document."""
     if not enabled:
         docs = docs.filter(F.lit(False))
-    hits = raw_matches(docs, rules)
-    comment = F.lit(False)
-    for i, rule in enumerate(rules):
-        comment = F.when(F.col("rule_index") == i, is_comment(F.col("line"), F.col("language_id"), rule.comments)).otherwise(comment)
-    live = hits.filter(~comment).join(F.broadcast(_details(docs.sparkSession, rules)), ["rule_index", "pattern_index"])
-    first = Window.partitionBy("file_name", "type", "line_number").orderBy("rule_index", "pattern_index", "range_start")
-    confidence = F.when(F.col("boosted"), F.least(F.lit(0.99), F.col("base") + boosts(rules) * F.col("step"))).otherwise(F.col("base"))
-    return (
-        live.withColumn("nth", F.row_number().over(first))
-        .filter("nth = 1")
-        .select(
-            S.finding_key(F.col("file_name"), F.col("line_number"), F.col("type"), F.col("rule_id")).alias("finding_key"),
-            "file_name", "language_id", "type", "severity", S.js_round(confidence, 2).alias("confidence"), "message", "line_number", "column_number",
-            S.trimmed(F.col("line")).alias("code_snippet"), "rule_id", "pattern_id", "range_start", "range_end", "rule_index", "pattern_index",
-        )
+    rules = usable(docs.sparkSession, rules)
+    hits = raw_matches(docs, rules, first_only=True).join(F.broadcast(_details(docs.sparkSession, rules)), ["rule_index", "pattern_index"])
+    confidence = F.when(F.col("boosted"), F.least(F.lit(0.99), F.col("base") + F.col("boost") * F.col("step"))).otherwise(F.col("base"))
+    return hits.select(
+        S.finding_key(F.col("file_name"), F.col("line_number"), F.col("type"), F.col("rule_id")).alias("finding_key"),
+        "file_name", "language_id", "type", "severity", S.js_round(confidence, 2).alias("confidence"), "message", "line_number", "column_number",
+        S.trimmed(F.col("line")).alias("code_snippet"), "rule_id", "pattern_id", "range_start", "range_end", "rule_index", "pattern_index",
     )
 
 

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lintora import settings
 from lintora.functions import scalars as S
 from lintora.operators import commands, dashboards, learning, rules, scan, sessions
 
@@ -162,5 +164,43 @@ def test_commands(spark):
 
 def test_hover_takes_the_first(spark):
     hits = scan.scan(spark.createDataFrame([("f", "javascript", "eval(a); eval(b)\neval(c)")], DOC))
-    assert [r.line_number for r in dashboards.hover(hits, "f", 3).collect()] == [1]
-    assert dashboards.hover(hits, "f", 8).collect() == []
+    probes = spark.createDataFrame([("f", 3), ("f", 8), ("g", 3)], "file_name string, offset int")
+    assert [(r.offset, r.line_number) for r in dashboards.hover(hits, probes).collect()] == [(3, 1)]
+
+
+def test_matches_by_blocks_and_no_shuffle(spark):
+    """Many matches on many lines, far apart and close, in one document."""
+    rng = random.Random(9)
+    text = "".join(rng.choice(["eval(a); ", "x" * rng.randint(0, 300), "\n", "\n\n", "\U0001f600", "el.innerHTML = b userInput\n", "// eval(c)\n"]) for _ in range(1500))
+    hits = scan.raw_matches(spark.createDataFrame([("f", "javascript", text)], DOC))
+    got = hits.filter("rule_index = 1 and pattern_index = 5").collect()
+    at = [m.start() for m in re.finditer(r"\beval\s*\(\s*\w", text)]
+    assert sorted(r.range_start for r in got) == at and len(at) > 200
+    for r in got:
+        before = text[: r.range_start]
+        assert (r.line_number, r.column_number, r.line) == (before.count("\n") + 1, len(before) - before.rfind("\n") - 1, text.split("\n")[before.count("\n")])
+    near = hits.filter("rule_index = 1 and pattern_index = 0").collect()
+    for r in near:
+        context = text[max(0, r.range_start - 200) : r.range_end + 200].lower()
+        assert r.boost == sum(k.lower() in context for k in rules.XSS.patterns[0].keywords)
+    plan = scan.scan(spark.createDataFrame([("f", "javascript", text)], DOC))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
+def test_a_broken_pattern_stops_no_other(spark):
+    bad = rules.Rule("B", "broken", "XSS", (), (rules.Pattern("broken", "(", 0.5, "never"), rules.Pattern("sound", r"eval\(", 0.9, "found")), False, 0, 0.0, "none")
+    got = scan.scan(spark.createDataFrame([("f", "x", "a eval( b")], DOC), (bad,)).collect()
+    assert [r.pattern_id for r in got] == ["sound"]
+
+
+def test_settings(spark):
+    assert settings.from_session(spark) == settings.Settings()
+    spark.conf.set("spark.lintora.enabled", "false")
+    spark.conf.set("spark.lintora.min_confidence", "0.5")
+    try:
+        assert settings.from_session(spark) == settings.Settings(enabled=False, min_confidence=0.5) and settings.Settings(debounce_ms=5).debounce == "5 milliseconds"
+    finally:
+        spark.conf.unset("spark.lintora.enabled")
+        spark.conf.unset("spark.lintora.min_confidence")
+    with pytest.raises(ValueError):
+        settings.Settings(min_confidence=1.5)
