@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def append_records(records: DataFrame, path: str) -> None:
-    """Records of this session, each finding once, appended by developer."""
-    records.dropDuplicates(["session_id", "finding_id"]).write.mode("append").partitionBy("developer_id").parquet(path)
+    """Records appended by developer, each finding of a session once: repeats in
+    these records, and those that an earlier call has appended, are left out."""
+    new = records.dropDuplicates(["session_id", "finding_id"])
+    try:
+        held = records.sparkSession.read.parquet(path).select("session_id", "finding_id")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        new = new.join(held, ["session_id", "finding_id"], "left_anti")
+    new.write.mode("append").partitionBy("developer_id").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A table of JSON lines in place of what was there."""
+    rows.write.mode("overwrite").json(path)
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
@@ -16,7 +31,8 @@ def replace_table(rows: DataFrame, path: str) -> None:
 
 
 def latest(rows: DataFrame, key: str, at: str, deleted: str | None = None) -> DataFrame:
-    """The last snapshot of each key; keys whose last row is a tombstone are gone."""
+    """The last snapshot of each key, all its rows; keys whose last row is a
+    tombstone are gone."""
     last = rows.withColumn("_nth", F.rank().over(Window.partitionBy(key).orderBy(F.desc(at)))).filter("_nth = 1").drop("_nth")
     return last.filter(~F.col(deleted)).drop(deleted) if deleted else last
 

@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lintora.operators import learning
+from lintora.streaming import stateful
 
 DEBOUNCE = "400 milliseconds"
 
@@ -23,13 +24,39 @@ def only_files(changes: DataFrame) -> DataFrame:
     return changes.filter("scheme = 'file'")
 
 
+def read_changes(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
+    """A stream of the JSON files that come into a folder, some in each batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
+def _gap_ms(gap: str) -> int:
+    number, unit = gap.split()
+    return int(number) * {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
+
+
 def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str = "10 seconds") -> DataFrame:
-    """Changes (document, ts, kind, text): one row for each burst, with its last
-    text. A save ends a burst at once, so it is a window of its own kind."""
-    timed = changes.withWatermark("ts", watermark) if changes.isStreaming else changes
-    width = F.when(F.col("kind") == "save", "1 millisecond").otherwise(gap)
-    bursts = timed.filter("kind <> 'close'").groupBy("document", "kind", F.session_window("ts", width).alias("w"))
-    return bursts.agg(F.max_by("text", "ts").alias("text"), F.count("*").alias("n_changes"), F.max("ts").alias("changed_at")).select("document", "kind", "text", "n_changes", "changed_at", F.col("w.end").alias("fires_at"))
+    """Changes (document, ts, kind, text), kind change or save, to document, kind,
+    text, n_changes, changed_at, fires_at: one row for each burst, with its last
+    text. A burst ends a gap after its last change, or at once with a save, which
+    takes the place of the changes before it. Other kinds, such as close, cancel
+    nothing; closings() has them. As a stream the burst is state of its document."""
+    changes = changes.filter("kind in ('change', 'save')").select("document", "ts", "kind", "text")
+    if changes.isStreaming:
+        timed = changes.withWatermark("ts", watermark).groupBy("document")
+        return timed.transformWithStateInPandas(statefulProcessor=stateful.Bursts(_gap_ms(gap)), outputStructType=stateful.BURST, outputMode="Append", timeMode="eventTime")
+    order = Window.partitionBy("document").orderBy("ts", "kind")
+    ms, last = F.unix_millis(F.col("ts").cast("timestamp")), F.lag("kind").over(order)
+    opens = last.isNull() | (last == "save") | (ms - F.lag(ms).over(order) >= _gap_ms(gap))
+    rows = changes.withColumn("burst", F.sum(opens.cast("int")).over(order))
+    ended = rows.groupBy("document", "burst").agg(F.max_by(F.struct("kind", "text", "ts"), F.struct("ts", "kind")).alias("x"), F.count("*").alias("n_changes"))
+    fires = F.when(F.col("x.kind") == "save", F.col("x.ts")).otherwise(F.col("x.ts") + F.expr(f"interval {gap}"))
+    return ended.select("document", "x.kind", "x.text", "n_changes", F.col("x.ts").alias("changed_at"), fires.alias("fires_at"))
+
+
+def closings(changes: DataFrame) -> DataFrame:
+    """Tombstones of closed documents: their findings are shown no more. See
+    sinks.latest, which drops keys whose last row is one."""
+    return changes.filter("kind = 'close'").select("document", "ts", F.lit(True).alias("deleted"))
 
 
 def without_repeats(records: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -39,33 +66,54 @@ def without_repeats(records: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return records.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["session_id", "finding_id"])
 
 
-PROFILE = "developer_id long, vuln_type string, rule_id string, adjusted_confidence double, n_actions long"
+def profiles(events: DataFrame) -> DataFrame:
+    """Learning profiles as state by developer: see stateful.Profiles. Within a
+    batch the events are put in order; across batches they must arrive in order."""
+    rows = events.select(*learning.BY_RULE, "kind", "ts", "seq", "snippet_hash").groupBy("developer_id")
+    return rows.transformWithStateInPandas(statefulProcessor=stateful.Profiles(), outputStructType=stateful.PROFILE, outputMode="Update", timeMode="None")
+
 
+def adjusted_confidence(events: DataFrame) -> DataFrame:
+    """The learned confidence of the rules that a batch touched."""
+    return profiles(events.withColumn("snippet_hash", F.lit(""))).filter("n_actions > 0").select(*learning.BY_RULE, "adjusted_confidence", "n_actions")
 
-def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    confidence, n = state.get if state.exists else (learning.START_CONFIDENCE, 0)
-    events = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    for kind in events["kind"]:
-        if kind in learning.DELTAS:
-            moved = max(learning.LEAST_CONFIDENCE, min(learning.MOST_CONFIDENCE, confidence + learning.DELTAS[kind]))
-            confidence, n = int(moved * 100 + 0.5) / 100, n + 1
-    state.update((confidence, n))
-    if n:
-        yield pd.DataFrame({"developer_id": [key[0]], "vuln_type": [key[1]], "rule_id": [key[2]], "adjusted_confidence": [confidence], "n_actions": [n]})
 
+def session_state(log: DataFrame) -> DataFrame:
+    """Sessions as state by developer, from a log (developer_id, session_id, op,
+    finding_id, ts, seq): see stateful.Sessions."""
+    rows = log.select("developer_id", "session_id", "op", "finding_id", "ts", "seq").groupBy("developer_id")
+    return rows.transformWithStateInPandas(statefulProcessor=stateful.Sessions(), outputStructType=stateful.SESSION, outputMode="Update", timeMode="None")
 
-def adjusted_confidence(events: DataFrame) -> DataFrame:
-    """The ordered fold as state by (developer, type, rule). Within a batch the
-    events are put in order; across batches they must arrive in order."""
-    return events.select(*learning.BY_RULE, "kind", "ts", "seq").groupBy(*learning.BY_RULE).applyInPandasWithState(_fold, PROFILE, "confidence double, n long", "update", GroupStateTimeout.NoTimeout)
+
+def response_times(detections: DataFrame, actions: DataFrame, within: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """Milliseconds from a detection to the actions with its event id that follow
+    within a time: an interval join, whose state ends with the watermark.
+    detections: event_id, ts; actions: event_id, action, ts."""
+    first = detections.select(F.col("event_id").alias("detected_id"), F.col("ts").alias("detected_at")).withWatermark("detected_at", watermark)
+    then = actions.select("event_id", "action", "ts").withWatermark("ts", watermark)
+    met = (F.col("event_id") == F.col("detected_id")) & (F.col("ts") >= F.col("detected_at")) & (F.col("ts") <= F.col("detected_at") + F.expr(f"interval {within}"))
+    return then.join(first, met).select("event_id", "action", (F.unix_millis("ts") - F.unix_millis("detected_at")).alias("response_ms"))
+
+
+def within(seconds: float | None, call: Callable, *args):
+    """call(*args), or a TimeoutError after some seconds; the call itself can't
+    be stopped and is left to end by itself."""
+    if seconds is None:
+        return call(*args)
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call, *args).result(seconds)
+    finally:
+        pool.shutdown(wait=False)
 
 
-def deliver(batch: DataFrame, write: Callable[[DataFrame], None], dead_letters: Callable[[DataFrame], None], attempts: int = 4, wait: float = 5.0) -> bool:
+def deliver(batch: DataFrame, write: Callable[[DataFrame], None], dead_letters: Callable[[DataFrame], None], attempts: int = 4, wait: float = 5.0, limit: float | None = 5.0) -> bool:
     """Writes a batch of events, trying again a few times; what still fails goes
-    to the dead letters, nothing is lost. `write` must accept repeats."""
+    to the dead letters, nothing is lost. An attempt that takes longer than
+    `limit` seconds counts as failed. `write` must accept repeats."""
     for attempt in range(attempts):
         try:
-            write(batch)
+            within(limit, write, batch)
             return True
         except Exception as error:  # noqa: BLE001  any failure of the sink counts
             last = f"{type(error).__name__}: {error}"
@@ -75,22 +123,24 @@ def deliver(batch: DataFrame, write: Callable[[DataFrame], None], dead_letters:
     return False
 
 
-def event_sink(events: DataFrame, write, dead_letters, checkpoint: str, interval: str = "1 second", attempts: int = 4, wait: float = 5.0) -> DataStreamWriter:
+def event_sink(events: DataFrame, write, dead_letters, checkpoint: str, interval: str = "1 second", attempts: int = 4, wait: float = 5.0, limit: float | None = 5.0) -> DataStreamWriter:
     """A writer that collects events for an interval and delivers each batch."""
-    return events.writeStream.trigger(processingTime=interval).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, write, dead_letters, attempts, wait))
+    return events.writeStream.trigger(processingTime=interval).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, write, dead_letters, attempts, wait, limit))
 
 
-def enriched(findings: DataFrame, client: Callable[[list[dict]], list[str | None]]) -> DataFrame:
+def enriched(findings: DataFrame, client: Callable[[list[dict]], list[str | None]], wanted: str | None = None, limit: float | None = 4.0) -> DataFrame:
     """Findings with the answer of a client that is called for each batch of
-    rows in the executors; a call that fails leaves nulls."""
+    rows in the executors; a call that fails, or takes longer than `limit`
+    seconds, leaves nulls. wanted: a boolean column; the client sees no others."""
 
     def ask(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            asked = frame[frame[wanted].fillna(False).astype(bool)] if wanted else frame
             try:
-                answers = client(frame.to_dict("records"))
+                answers = within(limit, client, asked.to_dict("records")) if len(asked) else []
             except Exception:  # noqa: BLE001  one failed call must not stop the others
-                answers = [None] * len(frame)
-            yield frame.assign(explanation=pd.Series(answers, index=frame.index, dtype="object"))
+                answers = [None] * len(asked)
+            yield frame.assign(explanation=pd.Series(answers, index=asked.index, dtype="object").reindex(frame.index))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in findings.schema.fields)
     return findings.mapInPandas(ask, f"{schema}, explanation string")

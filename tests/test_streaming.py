@@ -1,12 +1,14 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lintora.functions import scalars as S
 from lintora.operators import learning
 from lintora.sources import sinks
 from lintora.sources import tables as T
-from lintora.streaming import streams
+from lintora.streaming import stateful, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,22 +20,50 @@ def drain(df, name, mode):
     return q
 
 
-def test_streamed_fold_equals_batch(spark, tmp_path):
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
     spark.conf.set("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
-    events = T.findings(spark, SF).select("developer_id", "vuln_type", "rule_id", "kind", "ts", "seq").filter("developer_id < 40")
-    cut = events.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    ordered = events.withColumn("seq", F.row_number().over(__import__("pyspark").sql.Window.orderBy("ts", "seq")).cast("long"))
-    n = ordered.count()
-    assert cut is not None
-    for i, part in enumerate((ordered.filter(F.col("seq") <= n // 2), ordered.filter(F.col("seq") > n // 2))):
+
+
+def fed(spark, tmp_path, parts, build):
+    """What a query writes when its input comes in several batches."""
+    for part in parts:
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        drain_one = spark.readStream.schema(ordered.schema).parquet(f"{tmp_path}/in")
-        q = streams.adjusted_confidence(drain_one).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
+        stream = build(spark.readStream.schema(part.schema).parquet(f"{tmp_path}/in"))
+        q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
         q.awaitTermination(180)
-        assert q.exception() is None, i
-    got = spark.read.parquet(f"{tmp_path}/out")
-    last = {tuple(r[:3]): r[3] for r in got.groupBy(*learning.BY_RULE).agg(F.max_by("adjusted_confidence", "n_actions")).collect()}
-    assert last == {tuple(r[:3]): r.adjusted_confidence for r in learning.adjusted_confidence(ordered).collect()}
+        assert q.exception() is None
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+def test_streamed_profiles_equal_batch(spark, tmp_path):
+    events = T.findings(spark, SF).select("developer_id", "vuln_type", "rule_id", "kind", "ts", "seq", "code_snippet").filter("developer_id < 40")
+    events = events.withColumn("snippet_hash", S.snippet_hash(F.col("code_snippet"))).drop("code_snippet")
+    events = events.withColumn("seq", F.row_number().over(Window.orderBy("ts", "seq")).cast("long")).cache()
+    n = events.count()
+    got = fed(spark, tmp_path, [events.filter(F.col("seq") <= n // 2), events.filter(F.col("seq") > n // 2)], streams.profiles)
+    last = {}
+    for r in got.collect():
+        key = r.developer_id, r.vuln_type, r.rule_id
+        if key not in last or r.detections + r.fixes + r.ignored + r.false_positives > sum(last[key][:4]):
+            last[key] = (r.detections, r.fixes, r.ignored, r.false_positives, r.adjusted_confidence, r.n_actions)
+    assert {k[:2]: v[:4] for k, v in last.items()} == {(r.developer_id, r.vuln_type): (r.detections, r.fixes, r.ignored, r.false_positives) for r in learning.counters(events).collect()}
+    assert {k: v[4:] for k, v in last.items() if v[5]} == {tuple(r[:3]): (r.adjusted_confidence, r.n_actions) for r in learning.adjusted_confidence(events).collect()}
+    off = {(r.developer_id, r.vuln_type) for r in got.filter("suppressed").collect()}
+    assert off == {(r.developer_id, r.vuln_type) for r in learning.suppressed(events).collect()}
+    held = {r.developer_id: max((x.hashes for x in got.filter(F.col("developer_id") == r.developer_id).collect()), key=len) for r in got.select("developer_id").distinct().collect()}
+    assert {d: h for d, h in held.items() if h} == {r.developer_id: r.hashes for r in learning.false_positive_hashes(events).collect()}
+
+
+def test_sessions_as_state(spark, tmp_path):
+    at = lambda m: dt.datetime(2025, 1, 1, 9, m)
+    log = [(1, 10, "start", None, at(0), 1), (1, 10, "finding", "f", at(1), 2), (1, 10, "finding", "f", at(2), 3), (1, 10, "end", None, at(3), 4), (1, 10, "finding", "g", at(4), 5), (1, 11, "start", None, at(5), 6), (1, 12, "start", None, at(6), 7), (1, 11, "end", None, at(7), 8), (1, 12, "finding", "f", at(8), 9)]
+    rows = spark.createDataFrame(log, "developer_id long, session_id long, op string, finding_id string, ts timestamp, seq long")
+    got = fed(spark, tmp_path, [rows.filter("seq <= 4"), rows.filter("seq > 4")], streams.session_state).collect()
+    ended = {r.session_id: (r.n_findings, r.ended_at - r.started_at) for r in got if r.ended_at}
+    assert ended == {10: (1, dt.timedelta(minutes=3)), 11: (0, dt.timedelta(minutes=1))}
+    assert [(r.session_id, r.finding_id) for r in got if r.finding_id] == [(10, "f"), (12, "f")]
 
 
 def change(document, ms, kind, text):
@@ -43,18 +73,59 @@ def change(document, ms, kind, text):
 CHANGES = "document string, ts timestamp, kind string, text string"
 
 
-def test_debounce_takes_the_last_change(spark):
-    rows = [change("a", 0, "change", "1"), change("a", 300, "change", "2"), change("a", 600, "change", "3"), change("a", 1500, "change", "4"), change("b", 100, "change", "5"), change("b", 150, "save", "6"), change("b", 200, "close", None)]
-    got = streams.debounced(spark.createDataFrame(rows, CHANGES)).collect()
-    assert sorted((r.document, r.kind, r.text, r.n_changes) for r in got) == [("a", "change", "3", 3), ("a", "change", "4", 1), ("b", "change", "5", 1), ("b", "save", "6", 1)]
+BURST_ROWS = [
+    change("a", 0, "change", "1"), change("a", 300, "change", "2"), change("a", 600, "change", "3"), change("a", 1500, "change", "4"), change("a", 1900, "change", "5"),
+    change("b", 100, "change", "6"), change("b", 150, "save", "7"), change("b", 160, "change", "8"), change("b", 200, "close", None), change("c", 0, "change", "9"), change("c", 500, "save", "10"), change("c", 510, "save", "11"),
+]
+BURSTS = [("a", "change", "3", 3, 1000), ("a", "change", "4", 1, 1900), ("a", "change", "5", 1, 2300), ("b", "change", "8", 1, 560), ("b", "save", "7", 2, 150), ("c", "change", "9", 1, 400), ("c", "save", "10", 1, 500), ("c", "save", "11", 1, 510)]
+
+
+def fired(rows):
+    return sorted((r.document, r.kind, r.text, r.n_changes, round((r.fires_at - dt.datetime(2025, 1, 1)).total_seconds() * 1000)) for r in rows)
+
+
+def test_debounce_takes_the_last_change_and_a_save_the_place_of_pending_ones(spark):
+    changes = spark.createDataFrame(BURST_ROWS, CHANGES)
+    assert fired(streams.debounced(changes).collect()) == sorted(BURSTS)
+    assert [(r.document, r.deleted) for r in streams.closings(changes).collect()] == [("b", True)]
 
 
 def test_debounce_as_a_stream(spark, tmp_path):
-    rows = [change("a", 0, "change", "1"), change("a", 300, "change", "2"), change("z", 60_000, "change", "end")]
-    spark.createDataFrame(rows, CHANGES).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(CHANGES).parquet(f"{tmp_path}/in")
-    drain(streams.debounced(stream, watermark="1 second"), "debounced", "append")
-    assert [(r.document, r.text) for r in spark.table("debounced").collect()] == [("a", "2")]
+    early = [r for r in BURST_ROWS if r[1] <= dt.datetime(2025, 1, 1, 0, 0, 0, 300_000)]
+    late = [r for r in BURST_ROWS if r not in early] + [change("z", 60_000, "change", "end")]
+    for name, rows in (("1", early), ("2", late), ("3", [change("z", 90_000, "save", "end")])):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = streams.debounced(streams.read_changes(spark, f"{tmp_path}/in", CHANGES), watermark="1 second")
+        q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
+        q.awaitTermination(120)
+        assert q.exception() is None, name
+    got = [r for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.document != "z"]
+    assert fired(got) == sorted(BURSTS)
+
+
+def test_response_times_join_two_streams(spark, tmp_path):
+    at = lambda m: dt.datetime(2025, 1, 1, 9, m)
+    spark.createDataFrame([("e1", at(0)), ("e2", at(1))], "event_id string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([("e1", "FIXED", at(2)), ("e2", "IGNORED", at(0)), ("e3", "FIXED", at(5))], "event_id string, action string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/a")
+    seen = [spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{x}").schema).parquet(f"{tmp_path}/{x}") for x in "da"]
+    drain(streams.response_times(*seen), "responses", "append")
+    assert [tuple(r) for r in spark.table("responses").collect()] == [("e1", "FIXED", 120_000)]
+
+
+def test_calls_are_limited_in_time(spark):
+    import time
+
+    found = spark.createDataFrame([("k1", True), ("k2", False)], "finding_key string, top boolean")
+
+    def slow(rows):
+        time.sleep(3)
+        return ["late"] * len(rows)
+
+    assert {r.explanation for r in streams.enriched(found, slow, limit=0.2).collect()} == {None}
+    got = streams.enriched(found, lambda rows: [r["finding_key"] for r in rows], wanted="top").collect()
+    assert {r.finding_key: r.explanation for r in got} == {"k1": "k1", "k2": None}
+    dead = []
+    assert not streams.deliver(found, lambda df: time.sleep(2), dead.append, attempts=1, wait=0, limit=0.2) and "TimeoutError" in dead[0].first().error
 
 
 def test_delivery_retries_and_keeps_dead_letters(spark):
@@ -91,8 +162,11 @@ def test_failed_enrichment_leaves_nulls(spark):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "s", "f1", 1, False), (1, "s", "f1", 1, False), (2, "s", "f2", 2, True)], "developer_id long, session_id string, finding_id string, at int, gone boolean")
     sinks.append_records(rows, f"{tmp_path}/r")
-    sinks.append_records(rows.filter("developer_id = 2"), f"{tmp_path}/r")
+    more = spark.createDataFrame([(2, "s", "f2", 2, True), (2, "s", "f3", 2, True)], rows.schema)
+    sinks.append_records(more, f"{tmp_path}/r")
     assert spark.read.parquet(f"{tmp_path}/r").groupBy("developer_id").count().orderBy("developer_id").collect() == [(1, 1), (2, 2)]
+    sinks.write_json(rows, f"{tmp_path}/j")
+    assert spark.read.schema(rows.schema).json(f"{tmp_path}/j").count() == 3
     sinks.replace_table(rows, f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 3
     assert {r.developer_id for r in sinks.latest(rows, "developer_id", "at", "gone").collect()} == {1}
