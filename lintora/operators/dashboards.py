@@ -49,7 +49,7 @@ def roster(users: DataFrame, stats: DataFrame, role: str | None = "developer") -
         users = users.filter(F.col("role") == role)
     joined = users.join(stats.withColumnRenamed("developer_id", "user_id"), "user_id", "left")
     score = F.coalesce("score", F.lit(100).cast("long"))
-    return joined.select("user_id", "username", "role", S.initial(F.col("username")).alias("initial"), F.coalesce("total", F.lit(0).cast("long")).alias("total"), score.alias("score"), S.trend(score).alias("band"), (F.coalesce("total", F.lit(0)) > 50).alias("highlight"))
+    return joined.select("user_id", "username", "role", S.initial(F.col("username")).alias("initial"), F.coalesce("total", F.lit(0).cast("long")).alias("total"), score.alias("score"), S.trend(score).alias("band"), (F.coalesce("total", F.lit(0)) > 50).alias("highlight"), F.when(F.coalesce("total", F.lit(0)) == 0, "\u2014").otherwise(F.col("total").cast("string")).alias("shown"))
 
 
 def project_shift_counts(projects: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -71,7 +71,8 @@ def status_counters(users: DataFrame, shifts: DataFrame, sessions: DataFrame) ->
 
 
 def latest_by_file(findings: DataFrame) -> DataFrame:
-    """The findings of each file's last analysis (seq), as diagnostics show them."""
+    """The findings of each file's last analysis (seq), as diagnostics show them:
+    an analysis may have several, so all that share the last seq stay."""
     last = Window.partitionBy("file_name").orderBy(F.desc("seq"))
     return findings.withColumn("nth", F.rank().over(last)).filter("nth = 1").drop("nth")
 
@@ -86,16 +87,57 @@ def at_line(findings: DataFrame, first: int, last: int) -> DataFrame:
     return findings.filter(F.col("line_number").between(first, last))
 
 
-def hover(findings: DataFrame, file_name: str, offset: int) -> DataFrame:
-    """The first finding whose stretch holds the offset."""
-    inside = (F.col("file_name") == file_name) & (F.col("range_start") <= offset) & (F.col("range_end") >= offset)
-    return findings.filter(inside).orderBy("range_start", "rule_index", "pattern_index").limit(1)
+def hover(findings: DataFrame, probes: DataFrame) -> DataFrame:
+    """The first finding whose stretch holds the offset, for each probe
+    (file_name, offset); probes on nothing have no row."""
+    inside = (F.col("range_start") <= F.col("offset")) & (F.col("range_end") >= F.col("offset"))
+    met = probes.join(findings, "file_name").filter(inside)
+    first = F.min_by(F.struct(*[c for c in findings.columns if c != "file_name"]), F.struct("range_start", "rule_index", "pattern_index"))
+    return met.groupBy("file_name", "offset").agg(first.alias("f")).select("file_name", "offset", "f.*")
 
 
-def administrators_left(users: DataFrame, removed: str) -> DataFrame:
-    """May a user go? Not the last administrator."""
+def log_rows(findings: DataFrame) -> DataFrame:
+    """Two lines for each finding: what and where, and the snippet, cut at 80."""
+    what = F.concat(S.severity_icon(F.col("severity")), F.lit(" ["), "severity", F.lit("] "), "type", F.lit(", line "), F.col("line_number").cast("string"), F.lit(" ("), S.percent(F.col("confidence")).cast("string"), F.lit(" %)"))
+    return findings.select("finding_key", "file_name", what.alias("line"), S.truncated(F.col("code_snippet"), 80, "...").alias("snippet"))
+
+
+def log_heads(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """A line for each file with its number of findings, or that there are none."""
+    counts = findings.groupBy("file_name").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    text = F.when(n == 0, F.concat(S.last_part(F.col("file_name")), F.lit(": no findings"))).otherwise(F.concat(S.last_part(F.col("file_name")), F.lit(": "), n.cast("string"), F.lit(" found")))
+    return docs.select("file_name").distinct().join(counts, "file_name", "left").select("file_name", n.alias("n"), text.alias("line"))
+
+
+def alert_rows(findings: DataFrame) -> DataFrame:
+    """What is shown at once: findings of the two highest severities."""
+    return log_rows(findings.filter(F.col("severity").isin("CRITICAL", "HIGH")))
+
+
+def records(findings: DataFrame, developer_id: Column, github_username: Column, session_id: Column) -> DataFrame:
+    """Findings as rows of the record files; the id is a hash of session and finding."""
+    return findings.select(
+        F.sha2(F.concat_ws("|", session_id, "finding_key"), 256).alias("record_id"), developer_id.alias("developer_id"), github_username.alias("github_username"), session_id.alias("session_id"), F.col("type").alias("vulnerability_type"),
+        "severity", "confidence", "file_name", "line_number", "column_number", "code_snippet", F.col("rule_id").alias("detected_by_rule"), F.col("finding_key").alias("finding_id"),
+    )
+
+
+def session_rows(findings: DataFrame) -> DataFrame:
+    """Findings as sessions hold them; a finding without a rule has an unknown one."""
+    return findings.select(F.col("finding_key").alias("id"), "type", "severity", "confidence", "file_name", "line_number", "code_snippet", F.coalesce("rule_id", F.lit("unknown")).alias("rule_id"))
+
+
+def administrators_left(users: DataFrame) -> DataFrame:
+    """May a user go? Not the last administrator. One row is joined to all."""
     n = users.agg(F.count_if(F.col("role") == "administrator").alias("n_administrators"))
-    return users.filter(F.col("username") == removed).join(F.broadcast(n)).select("username", "role", "n_administrators", ((F.col("role") != "administrator") | (F.col("n_administrators") > 1)).alias("may_go"))
+    return users.join(F.broadcast(n)).select("user_id", "username", "role", "n_administrators", ((F.col("role") != "administrator") | (F.col("n_administrators") > 1)).alias("may_go"))
+
+
+def added_users(users: DataFrame, new: DataFrame) -> DataFrame:
+    """New users whose name nobody has; of several with one name the smallest id."""
+    first = new.groupBy("username").agg(F.min_by(F.struct(*[c for c in new.columns if c != "username"]), "user_id").alias("row"))
+    return first.join(users.select("username"), "username", "left_anti").select("username", "row.*")
 
 
 def matched_users(logins: DataFrame, users: DataFrame) -> DataFrame:
@@ -114,10 +156,16 @@ def response_times(events: DataFrame) -> DataFrame:
     return acted.join(detected, "event_id").select("event_id", "action", (F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.col("detected_at").cast("timestamp"))).alias("response_ms"))
 
 
-def enrich_top(findings: DataFrame, responses: DataFrame, partition: list[str], order: list, n: int = 3) -> DataFrame:
-    """The responses (finding_key and more columns) of the first n findings of
-    each group; others, and those without a response, stay as they are."""
+def enrich_top(findings: DataFrame, answers: dict[str, Column], partition: list[str], order: list, n: int = 3) -> DataFrame:
+    """The answers, columns of a finding and its position, for the first n
+    findings of each group alone; the others have nulls."""
     ranked = findings.withColumn("position", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-    extra = [c for c in responses.columns if c != "finding_key"]
-    joined = ranked.join(responses, "finding_key", "left")
-    return joined.select(*ranked.columns, *[F.when(F.col("position") <= n, F.col(c)).alias(c) for c in extra])
+    return ranked.select("*", *[F.when(F.col("position") <= n, answer).alias(name) for name, answer in answers.items()])
+
+
+def enrichment(enriched: DataFrame, by: str = "file_name") -> DataFrame:
+    """How many findings of each group have an explanation, and the notice of
+    the first one with an escalation."""
+    notice = F.concat(S.escalation_prefix(F.col("escalation")), "explanation")
+    first = F.min_by(notice, F.when(F.col("escalation").isNotNull(), F.col("position")))
+    return enriched.groupBy(by).agg(F.count("explanation").alias("n_enriched"), first.alias("notice"))

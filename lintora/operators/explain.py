@@ -37,6 +37,7 @@ def _first(code: Column, *patterns: str, default: str) -> Column:
 
 def features(code: Column, kind: Column) -> dict[str, Column]:
     """What the templates take from a snippet."""
+    # The expressions by which features are found, and their defaults.
     variable = (
         F.when(kind == "SQL_INJECTION", _first(code, r"\+\s*(\w+)\s*;?$", default="userInput"))
         .when(kind == "XSS", _first(code, r"=\s*(\w+)\s*;?\s*$", r"\((\w+)\)", r"\{(\w+)\}", default="userInput"))

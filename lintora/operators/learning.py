@@ -6,8 +6,13 @@ of events is (ts, seq).
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lintora.functions import scalars as S
 
@@ -32,20 +37,46 @@ def rule_counters(events: DataFrame) -> DataFrame:
     return events.groupBy(*BY_RULE).agg(_n("FIXED").alias("fixed"), _n("IGNORED").alias("ignored"), _n("FALSE_POSITIVE").alias("false_positives"), F.max("ts").alias("last_updated"))
 
 
-def adjusted_step(confidence: Column, delta: Column) -> Column:
-    return S.js_round(F.greatest(F.lit(LEAST_CONFIDENCE), F.least(F.lit(MOST_CONFIDENCE), confidence + delta)), 2)
+def _cents(x: float) -> int:
+    return round(x * 100)
 
 
 def adjusted_confidence(events: DataFrame) -> DataFrame:
     """The fold of a rule's actions in order, clamped and rounded at every step;
-    rules without an action have no row (their confidence is null)."""
-    delta = F.lit(None).cast("double")
+    rules without an action have no row (their confidence is null).
+
+    In whole cents a step is x -> min(hi, max(lo, x + d)), and steps in turn are
+    such a step again. So the actions of each hour are folded to one (d, lo, hi),
+    and the hours of a rule to its confidence: a rule with many actions is in no
+    single task or row, as long as one hour of it is."""
+    least, most = F.lit(_cents(LEAST_CONFIDENCE)), F.lit(_cents(MOST_CONFIDENCE))
+    delta = F.lit(None).cast("int")
     for kind, d in DELTAS.items():
-        delta = F.when(F.col("kind") == kind, d).otherwise(delta)
-    acted = events.withColumn("delta", delta).filter("delta is not null")
-    steps = acted.groupBy(*BY_RULE).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "delta"))).alias("steps"))
-    folded = F.aggregate("steps", F.lit(START_CONFIDENCE), lambda c, x: adjusted_step(c, x["delta"]))
-    return steps.select(*BY_RULE, folded.alias("adjusted_confidence"), F.size("steps").cast("long").alias("n_actions"))
+        delta = F.when(F.col("kind") == kind, _cents(d)).otherwise(delta)
+    acted = events.select(*BY_RULE, "ts", "seq", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"), delta.alias("delta")).filter("delta is not null")
+    clamp = lambda x, lo, hi: F.least(hi, F.greatest(lo, x))
+
+    def step(f: Column, d: Column, lo: Column, hi: Column) -> Column:
+        return F.struct((f["d"] + d).alias("d"), clamp(f["lo"] + d, lo, hi).alias("lo"), clamp(f["hi"] + d, lo, hi).alias("hi"))
+
+    none = F.struct(F.lit(0).alias("d"), least.alias("lo"), most.alias("hi"))
+    hours = acted.groupBy(*BY_RULE, "hour").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "delta"))).alias("steps"))
+    hours = hours.select(*BY_RULE, "hour", F.size("steps").cast("long").alias("n"), F.aggregate("steps", none, lambda f, x: step(f, x["delta"], least, most)).alias("f"))
+    whole = hours.groupBy(*BY_RULE).agg(F.array_sort(F.collect_list(F.struct("hour", "f"))).alias("hours"), F.sum("n").alias("n_actions"))
+    cents = F.aggregate("hours", F.lit(_cents(START_CONFIDENCE)), lambda x, h: clamp(x + h["f"]["d"], h["f"]["lo"], h["f"]["hi"]))
+    return whole.select(*BY_RULE, (cents / 100).alias("adjusted_confidence"), "n_actions")
+
+
+def kind_of_action(action: Column) -> Column:
+    """FIXED, FALSE_POSITIVE, and IGNORED for whatever else; null stays null."""
+    return F.when(action.isin("FIXED", "FALSE_POSITIVE"), action).when(action.isNotNull(), "IGNORED")
+
+
+def events_of_actions(actions: DataFrame) -> DataFrame:
+    """Learning events of the actions (action, code_snippet and more columns).
+    Viewing the fix counts as FIXED."""
+    viewed = F.when(F.col("action") == "SECURE_EXAMPLE_VIEWED", "FIXED").otherwise(F.col("action"))
+    return actions.withColumns({"kind": kind_of_action(viewed), "snippet_hash": S.snippet_hash(F.col("code_snippet"))})
 
 
 def suppressed(events: DataFrame) -> DataFrame:
@@ -56,10 +87,32 @@ def suppressed(events: DataFrame) -> DataFrame:
 def false_positive_hashes(events: DataFrame, window: int = HASH_WINDOW) -> DataFrame:
     """The last `window` distinct snippet hashes a developer called false
     positives, first in first out; one that is held is not moved, one that fell
-    out may come again."""
-    called = events.filter("kind = 'FALSE_POSITIVE'").groupBy("developer_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "snippet_hash"))).alias("called"))
-    state = F.aggregate("called", F.array().cast("array<string>"), lambda held, x: F.when(F.array_contains(held, x["snippet_hash"]), held).otherwise(F.slice(F.concat(held, F.array(x["snippet_hash"])), F.greatest(F.lit(1), F.size(held) + 2 - window), F.lit(window))))
-    return called.select("developer_id", state.alias("hashes"))
+    out may come again. What is held depends on all before, so a developer's
+    rows pass through one task, sorted, of which it keeps the window alone."""
+    called = events.filter("kind = 'FALSE_POSITIVE'").select("developer_id", "ts", "seq", "snippet_hash")
+    out = T.StructType([called.schema["developer_id"], T.StructField("hashes", T.ArrayType(T.StringType()))])
+    fields = pa.schema([("developer_id", to_arrow_type(called.schema["developer_id"].dataType)), ("hashes", pa.list_(pa.string()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def developers():
+            developer, held = None, None
+            for batch in batches:
+                for d, h in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                    if held is None or d != developer:
+                        if held is not None:
+                            yield developer, list(held)
+                        developer, held = d, {}
+                    if h not in held:
+                        held[h] = None
+                        if len(held) > window:
+                            del held[next(iter(held))]
+            if held is not None:
+                yield developer, list(held)
+
+        for developer, held in developers():
+            yield pa.RecordBatch.from_pylist([{"developer_id": developer, "hashes": held}], schema=fields)
+
+    return called.repartition("developer_id").sortWithinPartitions("developer_id", "ts", "seq").mapInArrow(run, out)
 
 
 def fix_rate(by_type: DataFrame) -> DataFrame:

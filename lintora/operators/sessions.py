@@ -6,25 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintora.functions import scalars as S
+from lintora.sources.tables import VULNERABILITY_TYPES
 
 
 def severity_counts(prefix: str = "n_") -> list[Column]:
     return [F.count_if(F.col("severity") == s).alias(f"{prefix}{s.lower()}") for s in S.SEVERITIES[:4]]
 
 
+def _counter(kind: str) -> str:
+    return f"t_{kind.lower()}"
+
+
 def summaries(sessions: DataFrame, findings: DataFrame, now: Column) -> DataFrame:
-    """One row for each session, empty ones too: counts, files in the order first
-    seen, minutes, score, trend. Unknown severities count as info."""
-    files = findings.groupBy("session_id", S.basename(F.col("file_name")).alias("file")).agg(F.min(F.struct("position", "part", "supplier")).alias("at"))
-    ordered = files.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "file"))).alias("f")).select("session_id", F.transform("f", lambda x: x["file"]).alias("files"))
-    counts = findings.groupBy("session_id").agg(F.count("*").alias("total"), *severity_counts(), *[F.count_if(F.col("vuln_type") == t).alias(f"t_{t.lower()}") for t in ("SQL_INJECTION", "XSS", "HARDCODED_SECRET", "COMMAND_INJECTION")])
-    numbers = [c for c in counts.columns if c != "session_id"]
-    rows = sessions.join(counts, "session_id", "left").join(ordered, "session_id", "left").fillna(0, numbers)
+    """One row for each session, empty ones too: counts, by_type (a map), files
+    in the order first seen, minutes, score, trend. Unknown severities count as
+    info. The findings are aggregated once, by session and file, and these few
+    rows by session."""
+    types = [F.count_if(F.col("vuln_type") == t).alias(_counter(t)) for t in VULNERABILITY_TYPES]
+    files = findings.groupBy("session_id", S.basename(F.col("file_name")).alias("file")).agg(F.count("*").alias("total"), *severity_counts(), *types, F.min(F.struct("position", "part", "supplier")).alias("at"))
+    numbers = [c for c in files.columns if c not in ("session_id", "file", "at")]
+    counts = files.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in numbers], F.array_sort(F.collect_list(F.struct("at", "file"))).alias("f"))
+    rows = sessions.join(counts, "session_id", "left").fillna(0, numbers)
     score = S.shift_score(*[F.col(f"n_{s.lower()}") for s in S.SEVERITIES[:4]])
+    by_type = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("type"), F.col(_counter(t)).alias("n")) for t in VULNERABILITY_TYPES]), lambda x: x["n"] > 0))
     return rows.select(
         "session_id", "developer_id", "shift_id", "started_at", "ended_at", *numbers,
-        (F.col("total") - F.col("n_critical") - F.col("n_high") - F.col("n_medium") - F.col("n_low")).alias("n_info"),
-        F.coalesce("files", F.array().cast("array<string>")).alias("files"),
+        (F.col("total") - F.col("n_critical") - F.col("n_high") - F.col("n_medium") - F.col("n_low")).alias("n_info"), by_type.alias("by_type"),
+        F.coalesce(F.transform("f", lambda x: x["file"]), F.array().cast("array<string>")).alias("files"),
         S.minutes_between(F.col("started_at"), F.col("ended_at"), now).alias("minutes"),
         score.alias("score"), S.trend(score).alias("trend"),
     )
@@ -70,10 +78,39 @@ def active_session(sessions: DataFrame) -> DataFrame:
     return sessions.filter("ended_at is null").withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
 
 
-def shift_action(shifts: DataFrame, active: DataFrame, developer_id: Column) -> DataFrame:
-    """What a developer may do with an assigned shift: end, start, done or wait."""
-    mine = active.filter(F.col("developer_id") == developer_id).select("shift_id", "session_id")
-    any_open = mine.agg(F.count("*").alias("n_open"))
-    assigned = shifts.filter(F.array_contains("assigned", developer_id)).join(mine, "shift_id", "left").join(F.broadcast(any_open))  # one row
-    state = F.when(F.col("session_id").isNotNull(), "can_end").when((F.col("status") != "completed") & (F.col("n_open") == 0), "can_start").when(F.col("status") == "completed", "done").otherwise("waiting")
-    return assigned.select("shift_id", "name", state.alias("state"))
+def shift_action(shifts: DataFrame, active: DataFrame) -> DataFrame:
+    """What each developer may do with each assigned shift: end, start, done or wait."""
+    assigned = shifts.select("shift_id", "name", "status", F.explode("assigned").alias("developer_id"))
+    joined = assigned.join(active.select("developer_id", F.col("shift_id").alias("open_shift"), "session_id"), "developer_id", "left")
+    state = F.when(F.col("open_shift") == F.col("shift_id"), "can_end").when((F.col("status") != "completed") & F.col("session_id").isNull(), "can_start").when(F.col("status") == "completed", "done").otherwise("waiting")
+    return joined.select("developer_id", "shift_id", "name", state.alias("state"))
+
+
+def from_log(log: DataFrame) -> DataFrame:
+    """Sessions from a log (session_id, developer_id, shift_id, op, at, seq) of
+    starts and ends. The last end counts; a session without one ends when its
+    developer starts the next. An end without a start is nothing."""
+    op = lambda name, c: F.when(F.col("op") == name, F.col(c))
+    rows = log.groupBy("session_id").agg(F.min_by("developer_id", op("start", "seq")).alias("developer_id"), F.min_by("shift_id", op("start", "seq")).alias("shift_id"), F.min(op("start", "at")).alias("started_at"), F.max_by("at", op("end", "seq")).alias("ended_at"))
+    return implicit_ends(rows.filter("started_at is not null"))
+
+
+def shift_states(shifts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Shifts with their status: a started session makes a shift active, as many
+    ended ones as it has developers make it completed."""
+    started = sessions.groupBy("shift_id").agg(F.count("*").alias("started"))
+    done = completion(shifts, sessions).select("shift_id", "completed")
+    rows = shifts.join(started, "shift_id", "left").join(done, "shift_id", "left")
+    return rows.select("shift_id", "name", F.when(F.col("completed"), "completed").when(F.col("started") > 0, "active").otherwise(F.col("status")).alias("status"))
+
+
+def completed_reports(summary: DataFrame) -> DataFrame:
+    """Summaries of ended sessions that have findings or files to show."""
+    return summary.filter("ended_at is not null")
+
+
+def of_shifts(sessions: DataFrame, shifts: DataFrame, project_id: Column | None = None) -> DataFrame:
+    """Sessions of the shifts, of one project's if it is given."""
+    if project_id is not None:
+        shifts = shifts.filter(F.col("project_id") == project_id)
+    return sessions.join(shifts.select("shift_id", "project_id"), "shift_id")

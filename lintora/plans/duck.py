@@ -47,7 +47,7 @@ STATS = f"""stats AS (
     SELECT developer_id, count(*) AS total, {_N("CRITICAL")} AS n_critical, {_N("HIGH")} AS n_high, {_N("MEDIUM")} AS n_medium,
       count(*) FILTER (severity NOT IN ('CRITICAL', 'HIGH', 'MEDIUM')) AS n_low FROM findings GROUP BY developer_id))"""
 SUMMARIES = f"""counts AS (
-  SELECT session_id, count(*) AS total, {COUNTS}, {', '.join(f"count(*) FILTER (vuln_type = '{t}') AS t_{t.lower()}" for t in ("SQL_INJECTION", "XSS", "HARDCODED_SECRET", "COMMAND_INJECTION"))}
+  SELECT session_id, count(*) AS total, {COUNTS}, {', '.join(f"count(*) FILTER (vuln_type = '{t}') AS t_{t.lower()}" for t in VULNERABILITY_TYPES)}
   FROM session_findings GROUP BY session_id
 ), files AS (
   SELECT session_id, list(file ORDER BY seen) AS files FROM (
@@ -55,8 +55,8 @@ SUMMARIES = f"""counts AS (
 ), summaries AS (
   SELECT *, CASE WHEN score >= 80 THEN 'improving' WHEN score >= 50 THEN 'stable' ELSE 'declining' END AS trend FROM (
     SELECT s.*, coalesce(total, 0) AS total, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low,
-      coalesce(total - n_critical - n_high - n_medium - n_low, 0) AS n_info, coalesce(t_sql_injection, 0) AS t_sql_injection, coalesce(t_xss, 0) AS t_xss,
-      coalesce(t_hardcoded_secret, 0) AS t_hardcoded_secret, coalesce(t_command_injection, 0) AS t_command_injection, coalesce(files, []) AS files,
+      coalesce(total - n_critical - n_high - n_medium - n_low, 0) AS n_info, {', '.join(f"coalesce(t_{t.lower()}, 0) AS t_{t.lower()}" for t in VULNERABILITY_TYPES)}, coalesce(files, []) AS files,
+      concat_ws(',', {', '.join(f"CASE WHEN t_{t.lower()} > 0 THEN '{t}:' || t_{t.lower()} END" for t in VULNERABILITY_TYPES)}) AS by_type,
       CAST(floor((epoch_ms(coalesce(ended_at, TIMESTAMP '2025-01-01')) - epoch_ms(started_at)) / 60000 + 0.5) AS BIGINT) AS minutes,
       least(100, greatest(0, 100 - coalesce(n_critical, 0) * 20 - coalesce(n_high, 0) * 10 - coalesce(n_medium, 0) * 4 - coalesce(n_low, 0))) AS score
     FROM sessions s LEFT JOIN counts USING (session_id) LEFT JOIN files USING (session_id)))"""

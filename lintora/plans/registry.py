@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintora import settings
 from lintora.functions import scalars as S
 from lintora.operators import commands, dashboards, explain, learning, rules, scan, sessions
 from lintora.plans import duck as D
 from lintora.sources import tables as T
+from lintora.streaming import streams
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -83,7 +85,7 @@ def alerts_high_critical(spark, sf):
     return T.findings(spark, sf).filter(F.col("severity").isin("CRITICAL", "HIGH")).select("seq", "developer_id", "severity", "vuln_type")
 
 
-_ROSTER = "SELECT user_id, username, role, upper(left(username, 1)) AS initial, coalesce(total, 0) AS total, coalesce(score, 100) AS score, CASE WHEN coalesce(score, 100) >= 80 THEN 'improving' WHEN coalesce(score, 100) >= 50 THEN 'stable' ELSE 'declining' END AS band, coalesce(total, 0) > 50 AS highlight FROM users LEFT JOIN stats ON user_id = developer_id"
+_ROSTER = "SELECT user_id, username, role, upper(left(username, 1)) AS initial, coalesce(total, 0) AS total, coalesce(score, 100) AS score, CASE WHEN coalesce(score, 100) >= 80 THEN 'improving' WHEN coalesce(score, 100) >= 50 THEN 'stable' ELSE 'declining' END AS band, coalesce(total, 0) > 50 AS highlight, CASE WHEN coalesce(total, 0) = 0 THEN '\u2014' ELSE CAST(total AS VARCHAR) END AS shown FROM users LEFT JOIN stats ON user_id = developer_id"
 
 
 @_query(D.with_(D.FINDINGS, D.STATS, D.USERS) + _ROSTER + " WHERE role = 'developer'")
@@ -126,21 +128,32 @@ def findings_at_lines(spark, sf):
     return dashboards.at_line(T.findings(spark, sf), 10, 20).select("seq", "line_number", "vuln_type")
 
 
-@_query(D.with_(D.PROJECTS) + "SELECT project_id, name FROM projects WHERE supervisor_id = 1 AND status = 'active'")
+@_query(D.with_(D.PROJECTS) + "SELECT supervisor_id, project_id, name FROM projects WHERE status = 'active'")
 def supervisor_projects(spark, sf):
-    return T.projects(spark, sf).filter("supervisor_id = 1 and status = 'active'").select("project_id", "name")
+    """Active projects of every supervisor."""
+    return T.projects(spark, sf).filter("status = 'active'").select("supervisor_id", "project_id", "name")
 
 
-@_query(D.with_(D.SHIFTS) + "SELECT shift_id, name, status FROM shifts WHERE list_contains(assigned, 72)")
+@_query(D.with_(D.SHIFTS) + "SELECT unnest(assigned) AS developer_id, shift_id, name, status FROM shifts")
 def shifts_of_developer(spark, sf):
-    return T.shifts(spark, sf).filter(F.array_contains("assigned", F.lit(72).cast("long"))).select("shift_id", "name", "status")
+    """Shifts of every developer."""
+    return T.shifts(spark, sf).select(F.explode("assigned").alias("developer_id"), "shift_id", "name", "status")
 
 
-@_query(D.with_(D.USERS) + "SELECT username, role, (SELECT count(*) FROM users WHERE role = 'administrator') AS n_administrators, role <> 'administrator' OR (SELECT count(*) FROM users WHERE role = 'administrator') > 1 AS may_go FROM users WHERE user_id = 1")
+_ADMINISTRATORS = "(SELECT count(*) FROM users WHERE role = 'administrator')"
+
+
+@_query(D.with_(D.USERS) + f"SELECT user_id, username, role, {_ADMINISTRATORS} AS n_administrators, role <> 'administrator' OR {_ADMINISTRATORS} > 1 AS may_go FROM users")
 def last_administrator_guard(spark, sf):
+    return dashboards.administrators_left(T.users(spark, sf))
+
+
+@_query(D.with_(D.USERS) + "SELECT username, min(id) AS user_id FROM (SELECT username || CASE WHEN user_id % 5 = 0 THEN '' ELSE 'x' || user_id % 100 END AS username, user_id + 1000000 AS id FROM users) n WHERE username NOT IN (SELECT username FROM users) GROUP BY username")
+def added_users(spark, sf):
     users = T.users(spark, sf)
-    name = users.filter("user_id = 1").select("username").first()
-    return dashboards.administrators_left(users, name.username if name else "")
+    suffix = F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("x"), (F.col("user_id") % 100).cast("string")))
+    new = users.select(F.concat("username", suffix).alias("username"), (F.col("user_id") + 1000000).alias("user_id"))
+    return dashboards.added_users(users, new)
 
 
 @_query(D.with_(D.USERS) + ", u AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'gh' || user_id END AS github_username FROM users), logins AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'gh' || user_id ELSE username END AS label FROM users) SELECT label, coalesce(g.user_id, n.user_id) AS user_id, CASE WHEN g.user_id IS NOT NULL THEN 'external' WHEN n.user_id IS NOT NULL THEN 'username' ELSE 'provisioned' END AS matched_by FROM logins LEFT JOIN u g ON label = g.github_username LEFT JOIN u n ON label = n.username")
@@ -156,11 +169,12 @@ def user_match_cascade(spark, sf):
 _SUMMARY = ["session_id", "total", "n_critical", "n_high", "n_medium", "n_low", "n_info", "minutes", "score", "trend"]
 
 
-@_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + f"SELECT {', '.join(_SUMMARY)}, array_to_string(files, ',') AS files, len(files) AS n_files, array_to_string(files[1:5], ',') || CASE WHEN len(files) > 5 THEN ' +' || (len(files) - 5) || ' more' ELSE '' END AS shown_files FROM summaries")
+@_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + f"SELECT {', '.join(_SUMMARY)}, by_type, array_to_string(files, ',') AS files, len(files) AS n_files, array_to_string(files[1:5], ',') || CASE WHEN len(files) > 5 THEN ' +' || (len(files) - 5) || ' more' ELSE '' END AS shown_files FROM summaries")
 def session_summary(spark, sf):
     found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now())
     more = F.when(F.size("files") > 5, F.concat(F.lit(" +"), (F.size("files") - 5).cast("string"), F.lit(" more"))).otherwise("")
-    return found.select(*_SUMMARY, F.array_join("files", ",").alias("files"), F.size("files").cast("long").alias("n_files"), F.concat(F.array_join(F.slice("files", 1, 5), ","), more).alias("shown_files"))
+    by_type = F.array_join(F.transform(F.map_entries("by_type"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return found.select(*_SUMMARY, by_type.alias("by_type"), F.array_join("files", ",").alias("files"), F.size("files").cast("long").alias("n_files"), F.concat(F.array_join(F.slice("files", 1, 5), ","), more).alias("shown_files"))
 
 
 _TESTS = {"sql": "t_sql_injection >= 2", "xss": "t_xss >= 1", "secret": "t_hardcoded_secret >= 1", "command": "t_command_injection >= 1", "dense": "total > 15", "clean": "minutes > 0 AND total = 0"}
@@ -203,9 +217,60 @@ def active_sessions(spark, sf):
     return sessions.active_session(T.sessions(spark, sf)).select("developer_id", "session_id")
 
 
-@_query(D.with_(D.SHIFTS, D.SESSIONS) + ", open_sessions AS (SELECT developer_id, session_id, shift_id FROM sessions WHERE ended_at IS NULL QUALIFY row_number() OVER (PARTITION BY developer_id ORDER BY started_at, session_id) = 1), mine AS (SELECT * FROM open_sessions WHERE developer_id = 71) SELECT h.shift_id, h.name, CASE WHEN m.session_id IS NOT NULL THEN 'can_end' WHEN status <> 'completed' AND (SELECT count(*) FROM mine) = 0 THEN 'can_start' WHEN status = 'completed' THEN 'done' ELSE 'waiting' END AS state FROM shifts h LEFT JOIN mine m USING (shift_id) WHERE list_contains(assigned, 71)")
+_OPEN = "open_sessions AS (SELECT developer_id, session_id, shift_id AS open_shift FROM sessions WHERE ended_at IS NULL QUALIFY row_number() OVER (PARTITION BY developer_id ORDER BY started_at, session_id) = 1)"
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS, _OPEN) + "SELECT h.developer_id, h.shift_id, h.name, CASE WHEN open_shift = h.shift_id THEN 'can_end' WHEN status <> 'completed' AND o.session_id IS NULL THEN 'can_start' WHEN status = 'completed' THEN 'done' ELSE 'waiting' END AS state FROM (SELECT *, unnest(assigned) AS developer_id FROM shifts) h LEFT JOIN open_sessions o USING (developer_id)")
 def shift_action_state(spark, sf):
-    return sessions.shift_action(T.shifts(spark, sf), sessions.active_session(T.sessions(spark, sf)), F.lit(71).cast("long"))
+    """For every developer and assigned shift."""
+    return sessions.shift_action(T.shifts(spark, sf), sessions.active_session(T.sessions(spark, sf)))
+
+
+_LOG = """log AS (
+  SELECT session_id, developer_id, shift_id, 'start' AS op, started_at AS "at", session_id * 10 AS seq FROM sessions
+  UNION ALL SELECT session_id, developer_id, shift_id, 'end', ended_at, session_id * 10 + 1 FROM sessions WHERE ended_at IS NOT NULL
+  UNION ALL SELECT session_id, developer_id, shift_id, 'end', ended_at + INTERVAL 5 MINUTE, session_id * 10 + 2 FROM sessions WHERE ended_at IS NOT NULL AND session_id % 7 = 0
+  UNION ALL SELECT session_id + 1000000000, developer_id, shift_id, 'end', started_at, session_id * 10 + 3 FROM sessions WHERE session_id % 9 = 0)"""
+
+
+def _session_log(spark, sf):
+    s = T.sessions(spark, sf)
+    row = lambda df, op, at, n: df.select("session_id", "developer_id", "shift_id", F.lit(op).alias("op"), at.alias("at"), (F.col("seq") * 10 + n).alias("seq"))
+    s, ended = s.withColumn("seq", F.col("session_id")), s.withColumn("seq", F.col("session_id")).filter("ended_at is not null")
+    again = row(ended.filter("session_id % 7 = 0"), "end", F.col("ended_at") + F.expr("interval 5 minutes"), 2)
+    stray = row(s.filter("session_id % 9 = 0").withColumn("session_id", F.col("session_id") + 1000000000), "end", F.col("started_at"), 3)
+    return row(s, "start", F.col("started_at"), 0).unionByName(row(ended, "end", F.col("ended_at"), 1)).unionByName(again).unionByName(stray)
+
+
+@_query(D.with_(D.SESSIONS, _LOG) + ", r AS (SELECT session_id, any_value(developer_id) AS developer_id, min("at") FILTER (op = 'start') AS started_at, max_by("at", seq) FILTER (op = 'end') AS ended_at FROM log GROUP BY session_id HAVING min("at") FILTER (op = 'start') IS NOT NULL) SELECT session_id, developer_id, epoch_ms(started_at) AS started_ms, epoch_ms(ended_at) AS ended_ms, epoch_ms(coalesce(ended_at, lead(started_at) OVER (PARTITION BY developer_id ORDER BY started_at, session_id))) AS effective_ms FROM r")
+def session_log_fold(spark, sf):
+    """Starts, ends and repeated ends folded to sessions."""
+    found = sessions.from_log(_session_log(spark, sf))
+    return found.select("session_id", "developer_id", *[F.unix_millis(c).alias(n) for c, n in (("started_at", "started_ms"), ("ended_at", "ended_ms"), ("effective_end", "effective_ms"))])
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT h.shift_id, h.name, CASE WHEN count(s.ended_at) >= len(assigned) AND count(s.ended_at) > 0 THEN 'completed' WHEN count(s.session_id) > 0 THEN 'active' ELSE status END AS status FROM shifts h LEFT JOIN sessions s USING (shift_id) GROUP BY h.shift_id, h.name, h.status, assigned")
+def shift_states(spark, sf):
+    return sessions.shift_states(T.shifts(spark, sf), T.sessions(spark, sf))
+
+
+@_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + "SELECT session_id, total, score FROM summaries WHERE ended_at IS NOT NULL ORDER BY session_id LIMIT 20")
+def completed_reports(spark, sf):
+    """The first 20 reports in the order in which they came."""
+    found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now())
+    return sessions.completed_reports(found).orderBy("session_id").limit(20).select("session_id", "total", "score")
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT h.project_id, s.shift_id, s.session_id FROM sessions s JOIN shifts h USING (shift_id)")
+def sessions_of_shifts(spark, sf):
+    """Sessions of the shifts of all projects."""
+    return sessions.of_shifts(T.sessions(spark, sf), T.shifts(spark, sf)).select("project_id", "shift_id", "session_id")
+
+
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT s.shift_id, s.session_id FROM sessions s JOIN shifts h USING (shift_id) WHERE project_id = 3")
+def sessions_of_project(spark, sf):
+    """Sessions of the shifts of one project."""
+    return sessions.of_shifts(T.sessions(spark, sf), T.shifts(spark, sf), F.lit(3)).select("shift_id", "session_id")
 
 
 # ---- learning ----
@@ -273,11 +338,11 @@ def confidence_override(spark, sf):
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
 
-@_query(D.with_(D.FINDINGS, D.BY_TYPE, D.SUPPRESSED, _WEAK) + f", wanted AS (SELECT DISTINCT user_id AS developer_id, unnest(['SQL_INJECTION', 'XSS']) AS vuln_type FROM events) SELECT w.developer_id, w.vuln_type, CASE WHEN b.detections IS NULL THEN 'First time with ' || w.vuln_type || '.' ELSE concat_ws(chr(10), 'History of ' || w.vuln_type || ':', '  detections: ' || detections, '  fixes: ' || fixes, '  fix rate %: ' || CASE WHEN detections > 0 THEN CAST(floor(fixes / detections * 100 + 0.5) AS BIGINT) ELSE 0 END, '  ignored: ' || ignored, '  false positives: ' || b.false_positives, '  first seen: ' || {_ISO.format('first_seen')}, '  last seen: ' || {_ISO.format('last_seen')}, CASE WHEN s.false_positives IS NOT NULL THEN '  suppressed after repeated false positives' END, '  recurring: ' || array_to_string(weaknesses, ', ')) END AS context FROM wanted w LEFT JOIN by_type b USING (developer_id, vuln_type) LEFT JOIN suppressed s USING (developer_id, vuln_type) LEFT JOIN weak USING (developer_id)")
+@_query(D.with_(D.FINDINGS, D.BY_TYPE, D.SUPPRESSED, _WEAK) + f", wanted AS (SELECT DISTINCT user_id AS developer_id, unnest({D.TYPES}) AS vuln_type FROM events) SELECT w.developer_id, w.vuln_type, CASE WHEN b.detections IS NULL THEN 'First time with ' || w.vuln_type || '.' ELSE concat_ws(chr(10), 'History of ' || w.vuln_type || ':', '  detections: ' || detections, '  fixes: ' || fixes, '  fix rate %: ' || CASE WHEN detections > 0 THEN CAST(floor(fixes / detections * 100 + 0.5) AS BIGINT) ELSE 0 END, '  ignored: ' || ignored, '  false positives: ' || b.false_positives, '  first seen: ' || {_ISO.format('first_seen')}, '  last seen: ' || {_ISO.format('last_seen')}, CASE WHEN s.false_positives IS NOT NULL THEN '  suppressed after repeated false positives' END, '  recurring: ' || array_to_string(weaknesses, ', ')) END AS context FROM wanted w LEFT JOIN by_type b USING (developer_id, vuln_type) LEFT JOIN suppressed s USING (developer_id, vuln_type) LEFT JOIN weak USING (developer_id)")
 def learning_context(spark, sf):
     e = T.findings(spark, sf)
     by_type = learning.counters(e)
-    wanted = e.select("developer_id").distinct().select("developer_id", F.explode(F.array(F.lit("SQL_INJECTION"), F.lit("XSS"))).alias("vuln_type"))
+    wanted = e.select("developer_id").distinct().select("developer_id", F.explode(F.array(*[F.lit(t) for t in T.VULNERABILITY_TYPES])).alias("vuln_type"))
     return learning.context(by_type, learning.suppressed(e), learning.weaknesses(by_type), wanted)
 
 
@@ -326,15 +391,13 @@ def rule_catalog(spark, sf):
 
 @_query(_scan_sql() + "SELECT file_name, pattern_id, range_start, CAST(coalesce(boost, 0) AS INTEGER) AS boost FROM live WHERE len(keywords) > 0")
 def keyword_boost(spark, sf):
-    hits = scan.raw_matches(T.code_corpus(spark, sf)).withColumn("boost", scan.boosts())
+    hits = scan.raw_matches(T.code_corpus(spark, sf)).filter("not comment")
     some = F.lit(None).cast("string")
-    comment = F.lit(False)
     for i, r in enumerate(rules.RULES):
-        comment = F.when(F.col("rule_index") == i, scan.is_comment(F.col("line"), F.col("language_id"), r.comments)).otherwise(comment)
         for j, p in enumerate(r.patterns):
             if p.keywords:
                 some = F.when((F.col("rule_index") == i) & (F.col("pattern_index") == j), p.id).otherwise(some)
-    return hits.filter(~comment).withColumn("pattern_id", some).filter("pattern_id is not null").select("file_name", "pattern_id", "range_start", "boost")
+    return hits.withColumn("pattern_id", some).filter("pattern_id is not null").select("file_name", "pattern_id", "range_start", "boost")
 
 
 @_query(_scan_sql() + "SELECT file_name, rule_index, pattern_index, range_start, range_end, line_number, column_number FROM lined")
@@ -346,15 +409,68 @@ def finding_positions(spark, sf):
 def comment_filter_and_line_dedup(spark, sf):
     """How many matches are left outside comments, and one for each line."""
     hits = scan.raw_matches(T.code_corpus(spark, sf), (rules.SQL,))
-    live = ~scan.is_comment(F.col("line"), F.col("language_id"), "by_language")
+    live = ~F.col("comment")
     return hits.agg(F.count("*").alias("n_raw"), F.count_if(live).alias("n_live"), F.count_distinct(F.when(live, F.struct("file_name", "line_number"))).alias("n_findings"))
 
 
-@_query(_scan_sql() + f", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_name ORDER BY {_RANK}, line_number, rule_index, pattern_index, range_start) AS INTEGER) AS position FROM findings) SELECT finding_key, file_name, position, CASE WHEN position <= 3 THEN 'note on ' || pattern_id END AS explanation FROM ranked")
+_RANKED = f", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_name ORDER BY {_RANK}, line_number, rule_index, pattern_index, range_start) AS INTEGER) AS position FROM findings)"
+
+
+def _answers() -> dict:
+    escalation = F.when(F.col("severity") == "CRITICAL", "CRITICAL_PATTERN").when(F.col("position") == 2, "REPEATED").when(F.col("position") == 3, "PERSISTENT").when(F.col("boosted_name"), "OTHER")
+    return {"explanation": F.concat(F.lit("note on "), "pattern_id"), "escalation": escalation}
+
+
+def _enriched(spark, sf):
+    found = _scan(spark, sf).withColumn("boosted_name", F.contains("pattern_id", F.lit("react")))
+    return dashboards.enrich_top(found, _answers(), ["file_name"], scan.severity_order())
+
+
+@_query(_scan_sql() + _RANKED + " SELECT finding_key, file_name, position, CASE WHEN position <= 3 THEN 'note on ' || pattern_id END AS explanation FROM ranked")
 def enrich_top3(spark, sf):
-    found = _scan(spark, sf)
-    responses = found.select("finding_key", F.concat(F.lit("note on "), "pattern_id").alias("explanation"))
-    return dashboards.enrich_top(found, responses, ["file_name"], scan.severity_order()).select("finding_key", "file_name", "position", "explanation")
+    return _enriched(spark, sf).select("finding_key", "file_name", "position", "explanation")
+
+
+@_query(_scan_sql() + _RANKED + ", e AS (SELECT *, CASE WHEN position <= 3 THEN CASE WHEN severity = 'CRITICAL' THEN 'Critical pattern: ' WHEN position = 2 THEN 'Repeated: ' WHEN position = 3 THEN 'Persistent: ' WHEN contains(pattern_id, 'react') THEN '' END END AS prefix FROM ranked) SELECT file_name, count(*) FILTER (position <= 3) AS n_enriched, min_by(prefix || 'note on ' || pattern_id, position) FILTER (prefix IS NOT NULL) AS notice FROM e GROUP BY file_name")
+def enrichment_summary(spark, sf):
+    """Enriched findings of each file, and its first escalation."""
+    return dashboards.enrichment(_enriched(spark, sf))
+
+
+_ICON = "CASE severity WHEN 'CRITICAL' THEN '\U0001f6a8' WHEN 'HIGH' THEN '\U0001f534' WHEN 'MEDIUM' THEN '\U0001f7e0' WHEN 'LOW' THEN '\U0001f7e1' ELSE '\u2139\ufe0f' END"
+_LINE = f"{_ICON} || ' [' || severity || '] ' || type || ', line ' || line_number || ' (' || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || ' %)' AS line, CASE WHEN length(code_snippet) > 80 THEN left(code_snippet, 80) || '...' ELSE code_snippet END AS snippet"
+
+
+@_query(_scan_sql() + f"SELECT finding_key, file_name, {_LINE} FROM findings")
+def log_rows(spark, sf):
+    return dashboards.log_rows(_scan(spark, sf))
+
+
+@_query(_scan_sql() + f"SELECT finding_key, file_name, {_LINE} FROM findings WHERE severity IN ('CRITICAL', 'HIGH')")
+def alert_rows(spark, sf):
+    return dashboards.alert_rows(_scan(spark, sf))
+
+
+@_query(_scan_sql() + "SELECT d.file_name, count(f.finding_key) AS n, string_split(d.file_name, '/')[-1] || CASE WHEN count(f.finding_key) = 0 THEN ': no findings' ELSE ': ' || count(f.finding_key) || ' found' END AS line FROM docs d LEFT JOIN findings f USING (file_name) GROUP BY d.file_name")
+def log_heads(spark, sf):
+    return dashboards.log_heads(T.code_corpus(spark, sf), _scan(spark, sf))
+
+
+@_query(_scan_sql() + "SELECT sha256('s1|' || finding_key) AS record_id, 'DEV001' AS developer_id, NULL::VARCHAR AS github_username, 's1' AS session_id, type AS vulnerability_type, severity, confidence, file_name, line_number, column_number, code_snippet, rule_id AS detected_by_rule, finding_key AS finding_id FROM findings")
+def finding_records(spark, sf):
+    return dashboards.records(_scan(spark, sf), F.lit(settings.Settings().developer_id), F.lit(None).cast("string"), F.lit("s1"))
+
+
+@_query(_scan_sql() + "SELECT finding_key AS id, type, severity, confidence, file_name, line_number, code_snippet, CASE WHEN line_number % 2 = 0 THEN rule_id ELSE 'unknown' END AS rule_id FROM findings")
+def session_finding_rows(spark, sf):
+    return dashboards.session_rows(_scan(spark, sf).withColumn("rule_id", F.when(F.col("line_number") % 2 == 0, F.col("rule_id"))))
+
+
+@_query(_scan_sql() + ", probes AS (SELECT file_name, CAST(unnest([5, 30, 60]) AS INTEGER) AS \"offset\" FROM docs) SELECT file_name, \"offset\", min_by(finding_key, (range_start, rule_index, pattern_index)) AS finding_key FROM probes JOIN findings USING (file_name) WHERE range_start <= \"offset\" AND range_end >= \"offset\" GROUP BY ALL")
+def hover(spark, sf):
+    """What stands at three offsets of every file."""
+    probes = T.code_corpus(spark, sf).select("file_name", F.explode(F.array(F.lit(5), F.lit(30), F.lit(60))).alias("offset"))
+    return dashboards.hover(_scan(spark, sf), probes).select("file_name", "offset", "finding_key")
 
 
 _META = "meta(type, title, description, recommendation) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in explain.METADATA) + ")"
@@ -377,12 +493,22 @@ def _first(code: str, *patterns: str, default: str) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({code}, '{p}', 1), '')" for p in patterns) + f", '{default}')"
 
 
-@_query(_scan_sql((rules.SQL,)) + f"""SELECT finding_key, {_first("code_snippet", r"\+\s*(\w+)\s*;?$", default="userInput")} AS variable,
+_FIXED = """)
+SELECT finding_key, variable, query_kind, language, "column", query_variable, CASE WHEN query_kind = 'SELECT' THEN first_query END AS attack_query,
+  CASE language WHEN 'csharp' THEN 'string ' || query_variable || ' = "' || regexp_replace(regexp_replace(coalesce(base, 'SELECT * FROM Table WHERE ' || "column" || '='), '\\s+$', ''), '=\\s*["'']?\\s*$', '=@' || "column") || '"; add @' || "column" || ' = ' || variable
+    WHEN 'python' THEN 'cursor.execute("... WHERE ' || "column" || ' = %s", (' || variable || ',))'
+    WHEN 'javascript' THEN 'const ' || query_variable || ' = "... WHERE ' || "column" || ' = ?"; execute(' || query_variable || ', [' || variable || '])'
+    ELSE 'PREPARE with ?; EXECUTE USING ' || variable END AS fixed_code
+FROM e"""
+
+
+@_query(_scan_sql((rules.SQL,)).rstrip() + f""", e AS (SELECT finding_key, {_first("code_snippet", r"\+\s*(\w+)\s*;?$", default="userInput")} AS variable,
   CASE WHEN code_snippet ILIKE '%INSERT%' THEN 'INSERT' WHEN code_snippet ILIKE '%UPDATE%' THEN 'UPDATE' WHEN code_snippet ILIKE '%DELETE%' THEN 'DELETE' ELSE 'SELECT' END AS query_kind,
   CASE WHEN regexp_matches(code_snippet, '(?:string|var)\\s+\\w+\\s*=') THEN 'csharp' WHEN regexp_matches(code_snippet, 'f["'']') OR contains(code_snippet, '%') THEN 'python' WHEN contains(code_snippet, '`') OR regexp_matches(code_snippet, 'const|let') THEN 'javascript' ELSE 'generic' END AS language,
-  {_first("code_snippet", r"(?i)WHERE\s+(\w+)\s*=", default="id")} AS "column", {_first("code_snippet", r"(?:string|var|let|const|query)\s+(\w+)\s*=", default="query")} AS query_variable FROM findings""")
+  {_first("code_snippet", r"(?i)WHERE\s+(\w+)\s*=", default="id")} AS "column", {_first("code_snippet", r"(?:string|var|let|const|query)\s+(\w+)\s*=", default="query")} AS query_variable,
+  {_first("code_snippet", r"""["''`]([^"''`]+)["''`]""", default="SELECT * FROM table WHERE id=")} || '1 OR 1=1 --' AS first_query, nullif(regexp_extract(code_snippet, '["'']([^"'']+)["'']\\s*\\+', 1), '') AS base FROM findings""" + _FIXED)
 def explain_sql(spark, sf):
-    return explain.explain(_scan(spark, sf, (rules.SQL,))).select("finding_key", "variable", "query_kind", "language", "column", "query_variable")
+    return explain.explain(_scan(spark, sf, (rules.SQL,))).select("finding_key", "variable", "query_kind", "language", "column", "query_variable", "attack_query", "fixed_code")
 
 
 @_query(_scan_sql((rules.XSS,)) + f"""SELECT finding_key, headline, attack, fixed_code FROM (
@@ -427,13 +553,67 @@ def response_time(spark, sf):
     return dashboards.response_times(e)
 
 
-@_query("WITH e AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 3600000000 THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM e) SELECT user_id AS document, max_by(event_id, (ts, event_id)) AS last_change, count(*) AS n_changes, epoch_us(max(ts)) + 3600000000 AS fires_us FROM s GROUP BY user_id, burst")
+_BURSTS = """WITH e AS (SELECT user_id AS document, ts, CASE WHEN event_type = 'purchase' THEN 'save' ELSE 'change' END AS kind, CAST(event_id AS VARCHAR) AS text FROM events),
+p AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR lag(kind) OVER w = 'save' OR epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000 >= {gap} THEN 1 ELSE 0 END AS opens FROM e WINDOW w AS (PARTITION BY document ORDER BY ts, kind)),
+b AS (SELECT *, sum(opens) OVER (PARTITION BY document ORDER BY ts, kind) AS burst FROM p)
+SELECT document, max_by(kind, (ts, kind)) AS kind, max_by(text, (ts, kind)) AS text, count(*) AS n_changes, epoch_us(max(ts)) // 1000 AS changed_ms, epoch_us(max(ts)) // 1000 + CASE WHEN max_by(kind, (ts, kind)) = 'save' THEN 0 ELSE {gap} END AS fires_ms FROM b GROUP BY document, burst"""
+
+
+@_query(_BURSTS.format(gap=3_600_000))
 def debounce_sessions(spark, sf):
-    """Changes of a document (here: a user's events) within a gap count as one,
-    taken when the gap after the last has passed (here: an hour)."""
-    e = T.table(spark, sf, "events").select(F.col("user_id").alias("document"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    bursts = e.groupBy("document", F.session_window("ts", "1 hour").alias("w")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_change"), F.count("*").alias("n_changes"))
-    return bursts.select("document", "last_change", "n_changes", F.unix_micros("w.end").alias("fires_us"))
+    """Changes of a document (here: a user's events) within an hour count as
+    one; a save (here: a purchase) ends them at once."""
+    kind = F.when(F.col("event_type") == "purchase", "save").otherwise("change")
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("document"), "ts", kind.alias("kind"), F.col("event_id").cast("string").alias("text"))
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return streams.debounced(e, "1 hour").select("document", "kind", "text", "n_changes", ms("changed_at").alias("changed_ms"), ms("fires_at").alias("fires_ms"))
+
+
+@_query(D.with_(D.FINDINGS) + f", a AS (SELECT seq, ['FIXED', 'IGNORED', 'FALSE_POSITIVE', 'DISMISSED', 'SECURE_EXAMPLE_VIEWED'][seq % 5 + 1] AS action, code_snippet FROM findings) SELECT seq, CASE action WHEN 'FIXED' THEN 'FIXED' WHEN 'SECURE_EXAMPLE_VIEWED' THEN 'FIXED' WHEN 'FALSE_POSITIVE' THEN 'FALSE_POSITIVE' ELSE 'IGNORED' END AS kind, {D.HASH} AS snippet_hash FROM a")
+def learning_kinds(spark, sf):
+    names = F.array(*[F.lit(a) for a in ("FIXED", "IGNORED", "FALSE_POSITIVE", "DISMISSED", "SECURE_EXAMPLE_VIEWED")])
+    actions = T.findings(spark, sf).select("seq", F.element_at(names, (F.col("seq") % 5 + 1).cast("int")).alias("action"), "code_snippet")
+    return learning.events_of_actions(actions).select("seq", "kind", "snippet_hash")
+
+
+@_query("SELECT * FROM (VALUES ('enabled', 'true'), ('debounce_ms', '400'), ('backend_url', 'http://localhost:3000'), ('developer_id', 'DEV001'), ('enable_ai', 'false'), ('ife_url', 'http://localhost:4000'), ('min_confidence', '0.7')) t(name, value)")
+def default_settings(spark, sf):
+    return settings.as_table(spark, settings.Settings())
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT seq, vuln_type, severity FROM findings ORDER BY seq LIMIT 8")
+def first_findings(spark, sf):
+    return T.findings(spark, sf).orderBy("seq").limit(8).select("seq", "vuln_type", "severity")
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT seq, developer_id, vuln_type FROM findings WHERE seq = 77")
+def finding_by_id(spark, sf):
+    return T.findings(spark, sf).filter("seq = 77").select("seq", "developer_id", "vuln_type")
+
+
+@_query(D.with_(D.PROJECTS, D.SHIFTS) + "SELECT p.project_id, p.name, s.shift_id, s.name AS shift_name FROM projects p JOIN shifts s USING (project_id)")
+def shifts_with_project(spark, sf):
+    shifts = T.shifts(spark, sf).select("project_id", "shift_id", F.col("name").alias("shift_name"))
+    return commands.with_parent(shifts, T.projects(spark, sf), "project_id", "name").select("project_id", "name", "shift_id", "shift_name")
+
+
+@_query(D.with_(D.FINDINGS) + f", latest AS (SELECT * FROM findings QUALIFY rank() OVER (PARTITION BY file_name ORDER BY seq DESC) = 1) SELECT count(*) AS total, {D.COUNTS} FROM latest")
+def dashboard_summary(spark, sf):
+    """Counts over what the last analysis of each file found."""
+    return dashboards.summary(dashboards.latest_by_file(T.findings(spark, sf)))
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT string_agg(vuln_type || ':' || n, ',' ORDER BY vuln_type) AS by_type FROM (SELECT vuln_type, count(*) AS n FROM findings GROUP BY vuln_type)")
+def summary_type_map(spark, sf):
+    entries = F.transform(F.map_entries("by_type"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string")))
+    return dashboards.type_map(T.findings(spark, sf)).select(F.array_join(entries, ",").alias("by_type"))
+
+
+@_query(D.with_(D.FINDINGS) + "SELECT DISTINCT ON (developer_id, file_name) developer_id, file_name FROM findings")
+def once_for_each_file(spark, sf):
+    """Findings without repeats of (session, finding), here developer and file."""
+    rows = T.findings(spark, sf).select(F.col("developer_id").alias("session_id"), F.col("file_name").alias("finding_id"))
+    return streams.without_repeats(rows).select(F.col("session_id").alias("developer_id"), F.col("finding_id").alias("file_name"))
 
 
 _COMMANDS = "c AS (SELECT n_nationkey AS project_id, 1 AS seq, 'create' AS op, n_name AS name, 'active' AS status FROM nation UNION ALL SELECT n_nationkey, 2, 'update', NULL, 'archived' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 3, 'delete', NULL, NULL FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey, 4, 'create', 'again', 'active' FROM nation WHERE n_nationkey % 6 = 0)"
@@ -454,13 +634,19 @@ def command_log_fold(spark, sf):
 
 @_query("""SELECT p_partkey, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS shortened, replace(replace(replace(replace('<' || p_brand || '> & "x"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
   'part' || p_partkey || '.ts' AS base, 'ts' AS ext, replace('A_' || p_size, '_', ' ') AS label, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS rounded, floor(p_retailprice / 7 * 100 + 0.5) / 100 AS rounded2, sha256(p_name) AS sha, upper(left(p_name, 1)) AS initial,
-  coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type END, 'DEV_UNKNOWN') AS identity FROM part""")
+  coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type END, 'DEV_UNKNOWN') AS identity, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'b' END AS last_part,
+  ['#f47067', '#e09b3d', '#d29922', '#3fb950', '#3fb950'][p_size % 5 + 1] AS colour, CASE WHEN p_size >= 80 THEN '#3fb950' WHEN p_size >= 50 THEN '#d29922' ELSE '#f47067' END AS score_colour,
+  ['Critical pattern: ', 'Persistent: ', 'Repeated: ', '', ''][p_size % 5 + 1] AS prefix, ['Error', 'Error', 'Warning', 'Information', 'Hint'][p_size % 5 + 1] AS level, coalesce(strftime(TIMESTAMP '2025-03-04 05:06:00' + to_days(CASE WHEN p_size % 4 > 0 THEN CAST(p_size AS INTEGER) END), '%d %b %Y, %H:%M'), 'Invalid Date') AS shown_date FROM part""")
 def scalar_functions(spark, sf):
     p = T.table(spark, sf, "part")
+    severity = F.element_at(F.array(*[F.lit(x) for x in S.SEVERITIES]), (F.col("p_size") % 5 + 1).cast("int"))
+    levels = F.array(*[F.lit(x) for x in ("CRITICAL_PATTERN", "PERSISTENT", "REPEATED", "FIRST", "OTHER")])
     path = F.concat(F.lit("src/a/part"), F.col("p_partkey").cast("string"), F.lit(".TS"))
     return p.select(
         "p_partkey", S.truncated(F.col("p_name"), 8, "...").alias("shortened"), S.html_escaped(F.concat(F.lit("<"), "p_brand", F.lit('> & "x"'))).alias("escaped"),
         S.basename(F.replace(path, F.lit(".TS"), F.lit(".ts"))).alias("base"), S.extension(path).alias("ext"), S.label(F.concat(F.lit("A_"), F.col("p_size").cast("string"))).alias("label"),
         S.js_round(F.col("p_retailprice")).alias("rounded"), S.js_round(F.col("p_retailprice") / 7, 2).alias("rounded2"), F.sha2("p_name", 256).alias("sha"), S.initial(F.col("p_name")).alias("initial"),
         S.developer_identity(F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.col("p_type"))).alias("identity"),
+        S.last_part(F.when(F.col("p_size") % 2 == 0, "a/b/").otherwise("a/b")).alias("last_part"), S.severity_colour(severity).alias("colour"), S.score_colour(F.col("p_size")).alias("score_colour"),
+        S.escalation_prefix(F.element_at(levels, (F.col("p_size") % 5 + 1).cast("int"))).alias("prefix"), S.diagnostic_level(severity).alias("level"), S.display_date(F.when(F.col("p_size") % 4 > 0, F.timestamp_add("DAY", F.col("p_size").cast("int"), F.lit("2025-03-04 05:06:00").cast("timestamp")))).alias("shown_date"),
     )
