@@ -242,7 +242,7 @@ def _session_log(spark, sf):
     return row(s, "start", F.col("started_at"), 0).unionByName(row(ended, "end", F.col("ended_at"), 1)).unionByName(again).unionByName(stray)
 
 
-@_query(D.with_(D.SESSIONS, _LOG) + ", r AS (SELECT session_id, any_value(developer_id) AS developer_id, min("at") FILTER (op = 'start') AS started_at, max_by("at", seq) FILTER (op = 'end') AS ended_at FROM log GROUP BY session_id HAVING min("at") FILTER (op = 'start') IS NOT NULL) SELECT session_id, developer_id, epoch_ms(started_at) AS started_ms, epoch_ms(ended_at) AS ended_ms, epoch_ms(coalesce(ended_at, lead(started_at) OVER (PARTITION BY developer_id ORDER BY started_at, session_id))) AS effective_ms FROM r")
+@_query(D.with_(D.SESSIONS, _LOG) + ", r AS (SELECT session_id, any_value(developer_id) AS developer_id, min(\"at\") FILTER (op = 'start') AS started_at, max_by(\"at\", seq) FILTER (op = 'end') AS ended_at FROM log GROUP BY session_id HAVING min(\"at\") FILTER (op = 'start') IS NOT NULL) SELECT session_id, developer_id, epoch_ms(started_at) AS started_ms, epoch_ms(ended_at) AS ended_ms, epoch_ms(coalesce(ended_at, lead(started_at) OVER (PARTITION BY developer_id ORDER BY started_at, session_id))) AS effective_ms FROM r")
 def session_log_fold(spark, sf):
     """Starts, ends and repeated ends folded to sessions."""
     found = sessions.from_log(_session_log(spark, sf))
