@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -70,8 +71,15 @@ MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 64 << 20
 
 def small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if its counted rows, and its bytes (strings and
-    binaries by their lengths, all else as 8 each), are within the bounds."""
-    sizes = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
+    binaries by their lengths, 16 for each element of an array, all else as 8),
+    are within the bounds."""
+
+    def size(f: StructField):
+        name, kind = f"`{f.name}`", f.dataType.simpleString()
+        length = F.octet_length(name) if kind in ("string", "binary") else F.size(name) * 16 if kind.startswith("array") else F.lit(8)
+        return F.coalesce(length, F.lit(0))
+
+    sizes = [size(f) for f in df.schema.fields]
     row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(sizes, F.lit(0)).cast("long")), F.lit(0)).alias("bytes")).first()
     return F.broadcast(df) if row["n"] <= (MAX_BROADCAST_ROWS if max_rows is None else max_rows) and row["bytes"] <= MAX_BROADCAST_BYTES else df
 

@@ -7,18 +7,22 @@ super-k-mer, a stretch of the walk that does not branch inside the document.
 
 - Equal super-k-mers of several documents are one path of the compacted graph:
   a grouped join finds, for all but those of the smallest document, that every
-  window occurs earlier.
+  window occurs earlier, and where.
 - Where the graph branches, a minimizer has different super-k-mers. Of each of
   these the one in its smallest document is opened into k-mers, and these are
   joined.
 - Windows that repeat inside a document are found where it is read.
 
-The coordinates (document, first word) of what is found are brought back to the
-texts, whose covered words are removed there. Keys are two hashes of 64 bits.
+What is found has source coordinates (document, first word). Pieces that follow
+each other in the document and in the source are joined to long spans. Each
+stretch of a source that any span names is read there once, and its words are
+compared, as digests of 128 bits, with those of the spans: what differs, because
+hashes of 64 bits met by chance, is no repeat. Covered words are then removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import rows_of, to_batches, written
+from lintora.llm.common import discard, rows_of, small, to_batches, written
 from lintora.llm.tokens import Learned
 
 K, ANCHOR = 20, 6
@@ -69,6 +73,13 @@ class Walk:
             hashes = np.fromiter(map(_word_hashes().__getitem__, self.words), np.uint64, size)
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.powers[:size], dtype=np.uint64)])
 
+    @classmethod
+    def of_words(cls, text: str | None, k: int) -> Walk:
+        """The words alone, without hashes."""
+        out = cls.__new__(cls)
+        out.words, out.k = (text or "").encode().split(), k
+        return out
+
     def stretch(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the words from first up to last."""
         return _mixed((self.sums[last] - self.sums[first]) * self.inverse[first])
@@ -88,8 +99,27 @@ class Walk:
         path = _mixed(self.stretch(first, first + count + self.k - 1) + _mixed(shape * np.uint64(_BASE)))
         return anchors[place[first]], path, first, count
 
-
-_PATHS = pa.schema([("d", pa.int64()), ("text_hash", pa.int64()), ("minimizer", pa.int64()), ("path", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
+    def own_repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, number of windows, first window of the source) of the
+        stretches whose windows all start before in this document, the source
+        being the nearest such place: what repeats over and over is one stretch."""
+        kmers = self.kmers()
+        order = np.argsort(kmers, kind="stable")
+        same = kmers[order[1:]] == kmers[order[:-1]]
+        before = np.full(self.n, -1)
+        before[order[1:][same]] = order[:-1][same]
+        again = np.flatnonzero(before >= 0)
+        source = before[again]
+        starts = np.flatnonzero(np.r_[True, (np.diff(again) != 1) | (np.diff(source) != 1)]) if len(again) else again
+        return again[starts], np.diff(np.r_[starts, len(again)]), source[starts]
+
+    def digest(self, first: int, count: int) -> bytes:
+        """Of the words that `count` windows from `first` cover."""
+        return hashlib.blake2b(b" ".join(self.words[first : first + count + self.k - 1]), digest_size=16).digest()
+
+
+#: source is -1 for super-k-mers; for what repeats in the document, where it starts before.
+_PATHS = pa.schema([("d", pa.int64()), ("text_hash", pa.int64()), ("minimizer", pa.int64()), ("path", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("source", pa.int32())])
 _KMERS = pa.schema([("d", pa.int64()), ("text_hash", pa.int64()), ("minimizer", pa.int64()), ("kmer", pa.int64()), ("first", pa.int32())])
 
 
@@ -115,12 +145,22 @@ def _batched(parts: Iterator[tuple], schema: pa.Schema, rows: int = 20_000) -> I
 
 
 def repeated_windows(texts: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFrame:
-    """d, text_hash, first, count: stretches of windows whose words occur in a
-    text of a smaller d. texts: d, text_hash, text."""
+    """d, text_hash, first, count, and source d, text_hash and first: stretches
+    of windows whose words occur in a text of a smaller d, or before in their
+    own. texts: d, text_hash, text."""
 
     def paths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walks = ((d, h, Walk(t, k, anchor)) for d, h, t in rows_of(batches))
-        yield from _batched(((d, h, *w.super_kmers()) for d, h, w in walks if w.n), _PATHS)
+        def parts():
+            for d, h, text in rows_of(batches):
+                walk = Walk(text, k, anchor)
+                if walk.n:
+                    minimizer, path, first, count = walk.super_kmers()
+                    yield d, h, minimizer, path, first, count, np.full(len(first), -1)
+                    first, count, source = walk.own_repeats()
+                    none = np.zeros(len(first), np.uint64)
+                    yield d, h, none, none, first, count, source
+
+        yield from _batched(parts(), _PATHS)
 
     def kmers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
@@ -135,54 +175,121 @@ def repeated_windows(texts: DataFrame, k: int = K, anchor: int = ANCHOR) -> Data
 
         yield from _batched(parts(), _KMERS)
 
-    edges = written(texts.mapInArrow(paths, "d long, text_hash long, minimizer long, path long, first int, count int"), "super-kmers")
+    walks = written(texts.mapInArrow(paths, "d long, text_hash long, minimizer long, path long, first int, count int, source int"), "super-kmers")
+    edges, own = walks.filter("source < 0").drop("source"), walks.filter("source >= 0")
+    place = F.min(F.struct("d", "text_hash", "first")).alias("least")
+    columns = ["d", "text_hash", "first", "count", F.col("least.d").alias("source_d"), F.col("least.text_hash").alias("source_hash"), F.col("least.first").alias("source_first")]
     key = ["minimizer", "path"]
-    shared = written(edges.groupBy(key).agg(F.min("d").alias("least"), F.max("d").alias("most")).filter("least < most").select(*key, "least"), "shared-paths")
-    whole = edges.join(shared, key).filter("d > least").select("d", "text_hash", "first", "count")
+    shared = written(edges.groupBy(key).agg(place, F.max("d").alias("most")).filter("least.d < most").select(*key, "least"), "shared-paths")
+    whole = edges.join(shared, key).filter("d > least.d").select(*columns)
 
     branching = edges.groupBy("minimizer").agg(F.min("path").alias("a"), F.max("path").alias("b"), F.min("d").alias("least"), F.max("d").alias("most"))
     branching = written(branching.filter("a <> b and least < most").select("minimizer"), "branching")
-    opened = edges.join(branching, "minimizer", "left_semi").groupBy(key).agg(F.min("d").alias("d"))
-    by_text = written(opened.groupBy("d").agg(F.collect_set("path").alias("opened")), "opened-paths")
-    single = written(texts.join(by_text, "d").select("d", "text_hash", "text", "opened").mapInArrow(kmers, "d long, text_hash long, minimizer long, kmer long, first int"), "kmers")
+    opened = edges.join(branching, "minimizer", "left_semi").groupBy(key).agg(F.min(F.struct("d", "text_hash")).alias("x")).select("x.*", "path")
+    # of texts that share an id none is the smaller one: all their paths are opened
+    ids = written(edges.groupBy("d").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).filter("a <> b").select("d"), "repeated-ids")
+    if not ids.isEmpty():
+        more = edges.join(small(ids), "d", "left_semi").join(branching, "minimizer", "left_semi").select("d", "text_hash", "path")
+        opened = opened.unionByName(more)
+    by_text = written(opened.groupBy("d", "text_hash").agg(F.collect_set("path").alias("opened")), "opened-paths")
+    single = written(texts.join(by_text, ["d", "text_hash"]).select("d", "text_hash", "text", "opened").mapInArrow(kmers, "d long, text_hash long, minimizer long, kmer long, first int"), "kmers")
     key = ["minimizer", "kmer"]
-    met = single.groupBy(key).agg(F.min("d").alias("least"), F.max("d").alias("most")).filter("least < most").select(*key, "least")
-    parts = single.join(met, key).filter("d > least").select("d", "text_hash", "first", F.lit(1).alias("count"))
-    return whole.unionByName(parts)
+    met = single.groupBy(key).agg(place, F.max("d").alias("most")).filter("least.d < most").select(*key, "least")
+    parts = single.join(met, key).filter("d > least.d").withColumn("count", F.lit(1)).select(*columns)
+    inside = own.select("d", "text_hash", "first", "count", F.col("d").alias("source_d"), F.col("text_hash").alias("source_hash"), F.col("source").alias("source_first"))
+    return whole.unionByName(parts).unionByName(inside)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: each text without the words that are
-    covered by a window of k words that also starts earlier, in a document of a
-    smaller id or before in the same one. Words are what stands between ASCII
-    white space; kept words are joined by one space.
+_SPAN = "d long, text_hash long, first int, count int, source_d long, source_hash long, source_first int"
 
-    Null and empty texts have no words. Null ids are larger than all others.
-    Rows with the same id, or with null ids, are not earlier than each other;
-    all are kept. Other columns are ignored; no rows give no rows."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(text_col).alias("text_hash"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_windows(texts.select("d", "text_hash", "text"), k, anchor)
-    spans = written(found.groupBy("d", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("count").alias("counts")), "repeated-spans")
+
+def long_spans(found: DataFrame) -> DataFrame:
+    """The stretches of repeated_windows(), those that follow each other in the
+    document and in the source joined to one; each once, however many copies of
+    a document there are."""
+    by_text = found.groupBy("d", "text_hash").agg(F.collect_set(F.struct("source_d", "source_hash", "source_first", "first", "count")).alias("found"))
+    schema = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.int32()) for x in _SPAN.split(", ")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for d, h, stretches in rows_of(batches):
+                places = sorted((x["source_d"], x["source_hash"], x["source_first"] - x["first"], x["first"], x["count"]) for x in stretches)
+                held, first, end = places[0][:3], places[0][3], places[0][3]
+                for *source, at, count in places:
+                    if tuple(source) != held or at > end:
+                        yield d, h, first, end - first, held[0], held[1], held[2] + first
+                        held, first, end = tuple(source), at, at
+                    end = max(end, at + count)
+                yield d, h, first, end - first, held[0], held[1], held[2] + first
+
+        yield from to_batches(rows(), schema, size=8192)
+
+    return by_text.mapInArrow(run, _SPAN)
+
+
+def source_digests(texts: DataFrame, spans: DataFrame, k: int = K) -> DataFrame:
+    """source_d, source_hash, source_first, count, digest: the words of every
+    stretch that spans name, read once at its place in the source."""
+    named = spans.select("source_d", "source_hash", "source_first", "count").distinct()
+    asked = named.groupBy("source_d", "source_hash", (F.col("source_first") / 256).cast("int").alias("block")).agg(F.collect_list(F.struct("source_first", "count")).alias("asked"))
+    asked = written(asked.select(F.col("source_d").alias("d"), F.col("source_hash").alias("text_hash"), "asked"), "asked-stretches")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("source_d", pa.int64()), ("source_hash", pa.int64()), ("source_first", pa.int32()), ("count", pa.int32()), ("digest", pa.binary())])
+
+        def rows():
+            held, words = None, None
+            for d, h, text, stretches in rows_of(batches, 64):
+                if (d, h) != held:
+                    held, words = (d, h), Walk.of_words(text, k)
+                for x in stretches:
+                    yield d, h, x["source_first"], x["count"], words.digest(x["source_first"], x["count"])
+
+        yield from to_batches(rows(), schema, size=8192)
+
+    read = texts.join(small(asked), ["d", "text_hash"]).select("d", "text_hash", "text", "asked")
+    return read.mapInArrow(run, "source_d long, source_hash long, source_first int, count int, digest binary").dropDuplicates(["source_d", "source_hash", "source_first", "count"])
+
+
+def without_spans(texts: DataFrame, spans: DataFrame, k: int = K) -> DataFrame:
+    """doc_id, n_words, n_removed, kept of texts (d, text_hash, doc_id, text)
+    without the words of the spans that are those of their source."""
+    digests = written(source_digests(texts.select("d", "text_hash", "text"), spans, k), "source-digests")
+    known = spans.join(digests, ["source_d", "source_hash", "source_first", "count"])
+    known = written(known.groupBy("d", "text_hash").agg(F.collect_set(F.struct("first", "count", "digest")).alias("spans")), "repeated-spans")
+    discard(digests)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for doc_id, text, firsts, counts in rows_of(batches):
-                walk = Walk(text, k, anchor)
+            for doc_id, text, repeats in rows_of(batches):
+                walk = Walk.of_words(text, k)
                 words = walk.words
-                if walk.n:
+                if repeats:
                     change = np.zeros(len(words) + 1, np.int64)
-                    _, earliest = np.unique(walk.kmers(), return_index=True)
-                    again = np.ones(walk.n, bool)
-                    again[earliest] = False
-                    for first, count in zip(firsts or (), counts or ()):
-                        again[first : first + count] = True
-                    change[: walk.n] += again
-                    change[k : k + walk.n] -= again
+                    for x in repeats:
+                        if walk.digest(x["first"], x["count"]) == x["digest"]:
+                            change[x["first"]] += 1
+                            change[x["first"] + x["count"] + k - 1] -= 1
                     kept = np.cumsum(change)[:-1] == 0
                     words = [w for w, keep in zip(words, kept.tolist()) if keep]
                 yield doc_id, len(walk.words), len(walk.words) - len(words), b" ".join(words).decode()
 
         yield from to_batches(rows(), pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]), size=512)
 
-    marked = texts.join(spans, ["d", "text_hash"], "left").select("doc_id", "text", "firsts", "counts")
+    marked = texts.join(known, ["d", "text_hash"], "left").select("doc_id", "text", "spans")
     return marked.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, anchor: int = ANCHOR) -> DataFrame:
+    """doc_id, n_words, n_removed, kept: each text without the words that are
+    covered by a window of k words that also starts earlier, in a document of a
+    smaller id or before in the same one. Words are what stands between ASCII
+    white space; kept words are joined by one space.
+
+    Null and empty texts have no words. Null ids are larger than all others.
+    Rows with the same id, or with null ids, are not earlier than each other;
+    all are kept, and equal texts among them are looked at once. Other columns are ignored; no rows give no rows."""
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(text_col).alias("text_hash"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = texts.select("d", "text_hash", "text")
+    spans = written(long_spans(repeated_windows(plain, k, anchor)), "long-spans")
+    return without_spans(texts, spans, k)

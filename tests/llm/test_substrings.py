@@ -55,6 +55,34 @@ def test_super_kmers_cover_all_windows():
     assert np.array_equal(other.kmers()[1:-1], walk.kmers())
 
 
+def test_spans_that_are_not_their_source_stay(spark):
+    """A hash that met by chance names a span whose words differ at the source."""
+    words = [f"w{i}" for i in range(60)]
+    texts = spark.createDataFrame([(1, 11, 1, " ".join(words)), (2, 22, 2, " ".join(["x", *words[10:40]]))], "d long, text_hash long, doc_id long, text string")
+    spans = spark.createDataFrame([(2, 22, 1, 3, 1, 11, 10), (2, 22, 9, 2, 1, 11, 30)], substrings._SPAN)
+    got = {r.doc_id: r for r in substrings.without_spans(texts, spans, k=5).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 7 and got[2].kept == " ".join(["x", *words[17:40]])
+
+
+def test_stretches_that_follow_each_other_are_one_span(spark):
+    found = [(2, 22, 4, 3, 1, 11, 14), (2, 22, 7, 1, 1, 11, 17), (2, 22, 8, 2, 1, 11, 30), (2, 22, 7, 1, 1, 11, 17), (2, 22, 20, 1, 1, 11, 30)]
+    got = substrings.long_spans(spark.createDataFrame(found, substrings._SPAN)).collect()
+    assert sorted(map(tuple, got)) == [(2, 22, 4, 4, 1, 11, 14), (2, 22, 8, 2, 1, 11, 30), (2, 22, 20, 1, 1, 11, 30)]
+    walk = substrings.Walk("same " * 100 + "and other words", 5, 2)
+    assert [x.tolist() for x in walk.own_repeats()] == [[1], [95], [0]]
+
+
+def test_many_rows_without_an_id_take_linear_time(spark):
+    import time
+
+    rng = random.Random(4)
+    text = " ".join(rng.choices([f"w{i}" for i in range(900)], k=400))
+    rows = [(None, text if i % 2 else text + f" tail{i % 300}", 0, 0) for i in range(3000)]
+    began = time.time()
+    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 3000 and all(r.n_removed == 0 for r in got) and time.time() - began < 60
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
