@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from lintora.llm import components as components_module
 from lintora.llm import simhash
 from lintora.llm.components import components
 from lintora.llm.queries import op8_simhash_golay
@@ -93,6 +94,18 @@ def test_components_of_chains_and_nothing(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_hubs(spark, monkeypatch, bound):
+    """Stars of many leaves, whose centres are the smallest, the largest, or in between."""
+    monkeypatch.setattr(components_module, "MAX_HUBS", bound)
+    edges = [(0, i) for i in range(1, 600)] + [(599, i) for i in range(1000, 1400)] + [(5000, i) for i in range(2000, 2500)] + [(2499, 1399)]
+    edges += [(9000, i) for i in range(8000, 8400)]
+    random.Random(1).shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    nodes = {x for e in edges for x in e}
+    assert got == {x: 8000 if x >= 8000 else 0 for x in nodes}
+
+
 def test_nulls_ties_and_clashing_columns(spark):
     rows = [(5, "the same words here", "p", "q"), (5, "The same words here", "p", "q"), (None, None, None, None), (None, "alone", "", ""), (7, "", "", ""), (8, " ", "", ""), (9, "long " * 40000, "", "")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
