@@ -14,9 +14,9 @@ bits then differ in 7 to 16. So
   fingerprints differ in five bits always meet, most at 16 bits do.
 
 Texts with the same key meet in a join by shuffle. Those with another text within
-MAX_WORD_BITS go on with their wide fingerprints to a second join by the same
-keys, which verifies them and writes a forest of each bucket, never all pairs.
-Texts with the same words are one node.
+MAX_WORD_BITS, over both fingerprints of the words, go on with their wide ones to
+a second join by the same keys, which verifies them and writes a forest of each
+bucket, never all pairs. Texts with the same words in the same order are one node.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import rows_of, to_batches, whole_groups, written
+from lintora.llm.common import discard, rows_of, to_batches, whole_groups, written
 from lintora.llm.components import components
 from lintora.llm.simhash import MAX_BROADCAST_KEYS, SEGMENTS, busy_keys, codeword
 
 WIDTH, SIMILARITY = 5, 0.8
 WIDE, TABLES = 256, 2
-MAX_WORD_BITS = 16
+#: Of 128. Half of them differ in unrelated texts, and under a quarter in linked ones.
+MAX_WORD_BITS = 32
 #: Rows of one key from which its bucket is dealt out, by pairs of parts.
 BLOCK = 16_384
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -99,10 +100,15 @@ def _nearby(segment: np.ndarray, bits: int) -> np.ndarray:
     return found
 
 
+def _segments(prints: np.ndarray) -> list[np.ndarray]:
+    """The nearby codewords of each segment."""
+    prints = np.ascontiguousarray(prints).view(np.uint64)
+    return [_nearby((prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.uint32), n) for at, n in SEGMENTS]
+
+
 def keys(prints: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, key) of 64-bit fingerprints of the words, about 85 for each."""
-    prints = prints.view(np.uint64)
-    near = [_nearby((prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.uint32), n) for at, n in SEGMENTS]
+    near = _segments(prints)
     at, out = [], []
     for kind, (i, j) in enumerate(PAIRS):
         row, a, b = np.nonzero((near[i] >= 0)[:, :, None] & (near[j] >= 0)[:, None, :])
@@ -111,68 +117,92 @@ def keys(prints: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(out)
 
 
-def _columns(batch: pa.RecordBatch, first: int = 0, step: int = 2048) -> Iterator[list[np.ndarray]]:
+def _columns(batch: pa.RecordBatch, step: int = 2048) -> Iterator[list[np.ndarray]]:
     for start in range(0, batch.num_rows, step):
-        yield [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.slice(start, step).columns[first:]]
+        yield [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.slice(start, step).columns]
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """key, fp, node: every node under all its keys."""
+def _halves(nodes: DataFrame) -> DataFrame:
+    """half and the fingerprints of the words: every node under the codewords of
+    the first segments of its keys, about 21. The second ones follow from the
+    fingerprints and are put in after the shuffle, by _whole."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, *prints in _columns(batch):
+            for prints in _columns(batch):
                 for table, fp in enumerate(prints):
-                    at, key = keys(fp, table)
-                    yield pa.record_batch([pa.array(key), pa.array(fp[at]), pa.array(node[at])], names=["key", "fp", "node"])
+                    near = _segments(fp)
+                    for i in (0, 1):
+                        row, a = np.nonzero(near[i] >= 0)
+                        half = near[i][row, a] | (2 * table + i) << 12
+                        yield pa.record_batch([pa.array(half), *[pa.array(p[row]) for p in prints]], names=["half", *WORDS])
+
+    return nodes.select(*WORDS).mapInArrow(run, ", ".join(f"{c} long" for c in ("half", *WORDS)))
+
 
-    return nodes.select("node", *WORDS).mapInArrow(run, "key long, fp long, node long")
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of _halves, key and the fingerprints of the words."""
+    for batch in batches:
+        for half, *prints in _columns(batch, 4096):
+            for which in np.unique(half >> 12).tolist():
+                table, i = divmod(which, 2)
+                at = np.flatnonzero(half >> 12 == which)
+                near = _segments(prints[table][at])
+                for kind in (k for k, pair in enumerate(PAIRS) if pair[0] == i):
+                    row, b = np.nonzero(near[PAIRS[kind][1]] >= 0)
+                    key = (half[at] & 4095)[row] << 12 | near[PAIRS[kind][1]][row, b] | (table * len(PAIRS) + kind) << 24
+                    yield pa.record_batch([pa.array(key), *[pa.array(p[at][row]) for p in prints]], names=["key", *WORDS])
 
 
 def _hot(nodes: DataFrame, block: int) -> DataFrame:
     """Keys of more than `block` rows with the number of parts they are dealt to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from busy_keys(batches, lambda b: ((0, keys(fp, t)[1]) for prints in _columns(b, step=b.num_rows) for t, fp in enumerate(prints)))
+        yield from busy_keys(batches, lambda b: ((0, keys(fp, t)[1]) for prints in _columns(b, b.num_rows) for t, fp in enumerate(prints)))
 
     counts = nodes.select(*WORDS).mapInArrow(run, "key long, role byte, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return written(counts.filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-keys")
 
 
-def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """rows with a salt. Each row of a hot key goes to all pairs of parts that
-    have its own, so that any two rows of the key meet."""
-    n_hot = hot.count()
+def _dealt(rows: DataFrame, hot: DataFrame, n_hot: int, *by: str) -> DataFrame:
+    """rows, whose key comes first, with a salt after it. Each row of a hot key
+    goes to all pairs of parts that have its own, by the hash of some columns,
+    so that any two rows of the key meet."""
+    others = rows.columns[1:]
     if not n_hot:
-        return rows.withColumn("salt", F.lit(0))
+        return rows.select("key", F.lit(0).cast("long").alias("salt"), *others)
     parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(own, p) * parts + F.greatest(own, p))
-    return rows.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot, "key", "left").withColumn("salt", F.explode(cells)).drop("parts")
+    own = F.pmod(F.xxhash64(*by), parts).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: (F.least(own, p) * parts + F.greatest(own, p)).cast("long"))
+    return rows.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot, "key", "left").select("key", F.explode(cells).alias("salt"), *others)
 
 
-def _groups(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First row and length of each group of equal (key, salt)."""
-    starts = np.flatnonzero(np.r_[True, (part[1:, :2] != part[:-1, :2]).any(1)])
+def _groups(part: np.ndarray, n_keys: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """First row and length of each group of equal keys."""
+    starts = np.flatnonzero(np.r_[True, (part[1:, :n_keys] != part[:-1, :n_keys]).any(1)])
     return starts, np.diff(np.r_[starts, len(part)])
 
 
-def _has_near(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1)
+
+
+def _has_near(prints: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Whether another row of the group is within MAX_WORD_BITS."""
-    near = np.zeros(len(fp), bool)
-    left = np.repeat(starts + lengths, lengths) - np.arange(len(fp)) - 1  # rows after it in the group
-    rows, most = np.arange(len(fp)), 64
+    near = np.zeros(len(prints), bool)
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(prints)) - 1  # rows after it in the group
+    rows, most = np.arange(len(prints)), 64
     for step in range(1, most + 1):
         rows = rows[left[rows] >= step]
         if not len(rows):
             break
-        close = np.bitwise_count((fp[rows] ^ fp[rows + step]).view(np.uint64)) <= MAX_WORD_BITS
-        near[rows[close]] = near[rows[close] + step] = True
+        close = rows[_apart(prints[rows], prints[rows + step]) <= MAX_WORD_BITS]
+        near[close] = near[close + step] = True
     for a, n in zip(starts[lengths > most + 1].tolist(), lengths[lengths > most + 1].tolist()):
-        group, done = fp[a : a + n], near[a : a + n]
-        for i in np.flatnonzero(~done).tolist():  # most have met one within 64 rows
+        group, done = prints[a : a + n], near[a : a + n]
+        for i in np.flatnonzero(~done).tolist():  # most that have one have met it within 64 rows
             if not done[i]:
-                close = np.bitwise_count((group ^ group[i]).view(np.uint64)) <= MAX_WORD_BITS
+                close = _apart(group, group[i]) <= MAX_WORD_BITS
                 close[i] = False
                 if close.any():
                     done[i] = True
@@ -181,15 +211,12 @@ def _has_near(fp: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def _active(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, salt, fp, node), those (key, salt, node) that are near another."""
+    """From rows (key, salt, WORDS), those (key, WORDS), once, that are near another."""
     for part in whole_groups(batches, 2):
-        near = _has_near(np.ascontiguousarray(part[:, 2]), *_groups(part))
+        near = _has_near(np.ascontiguousarray(part[:, 2:]), *_groups(part))
         if near.any():
-            yield pa.record_batch([pa.array(np.ascontiguousarray(part[near, i])) for i in (0, 1, 3)], names=["key", "salt", "node"])
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1)
+            found = np.unique(part[near][:, [0, *range(2, part.shape[1])]], axis=0)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(found[:, i])) for i in range(found.shape[1])], names=["key", *WORDS])
 
 
 MAX_WIDE_BITS = int(WIDE * (1 - SIMILARITY) + 1e-9)
@@ -232,14 +259,31 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["u", "v"])
 
 
+def _near(rows: DataFrame, columns: str) -> DataFrame:
+    return rows.sortWithinPartitions("key", "salt", *WORDS).mapInArrow(_active, columns)
+
+
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) over the distinct nodes (node, WORDS, WIDES), not all pairs
-    but enough to connect what pairs that share a key connect."""
-    rows = _dealt(_keyed(nodes), _hot(nodes, block)).select("key", "salt", "fp", "node")
-    met = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    active = written(met.mapInArrow(_active, "key long, salt long, node long"), "near-rows")
-    known = active.join(nodes.select("node", *WIDES), "node").select("key", "salt", "node", *WIDES)
-    return known.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_edges, "u long, v long")
+    """Edges (u, v), a written table, over the distinct nodes (node, WORDS,
+    WIDES): not all pairs, but enough to connect what pairs that share a key
+    connect."""
+    hot = _hot(nodes, block)
+    n_hot = hot.count()
+    columns = ", ".join(f"{c} long" for c in ("key", *WORDS))
+    keyed = _halves(nodes).repartition("half").mapInArrow(_whole, columns)
+    if n_hot:
+        is_hot = F.broadcast(hot.select("key")) if n_hot <= MAX_BROADCAST_KEYS else hot.select("key")
+        dealt = _dealt(keyed.join(is_hot, "key", "left_semi"), hot, n_hot, *WORDS).repartition("key", "salt")
+        few = keyed.join(is_hot, "key", "left_anti")
+        near = _near(few.select("key", F.lit(0).cast("long").alias("salt"), *WORDS), columns).unionByName(_near(dealt, columns)).distinct()
+    else:
+        near = _near(keyed.select("key", F.lit(0).cast("long").alias("salt"), *WORDS), columns)
+    active = written(near, "near-rows")
+    known = _dealt(active.join(nodes, [*WORDS]).select("key", "node", *WIDES), hot, n_hot, "node")
+    edges = known.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_edges, "u long, v long")
+    edges = written(edges.distinct(), "near-edges")
+    discard(active, hot)
+    return edges
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -263,7 +307,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(docs.mapInArrow(name, ", ".join(f"{c} long" for c in ("doc_id", "node", *WORDS, *WIDES))), "named")
     nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in (*WORDS, *WIDES)]), "nodes")
-    roots = components(links(nodes, block))
+    edges = links(nodes, block)
+    roots = components(edges)
+    discard(edges)
     grouped = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = grouped.join(least, "root").select("node", "component_id")
