@@ -69,7 +69,7 @@ class Prints:
         self.known: dict[bytes, int] = {}
 
     def _word(self, word: bytes) -> int:
-        if len(self.known) > 1 << 19:
+        if len(self.known) > 1 << 17:
             self.known.clear()
         return self.known.setdefault(word, xxhash.xxh64_intdigest(word, 42))
 

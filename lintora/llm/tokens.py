@@ -16,7 +16,7 @@ _LONG_MARK = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ0-9\s]{2}")
 #: The same where no two marks touch and the commonest two are already set apart.
 _OTHER_MARKS = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ\s.,]")
 _SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
-_PIECES_BOUND = 400_000
+_PIECES_BOUND = 250_000
 
 
 def byte_letters() -> list[str]:
