@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table."""
+"""The queries op1 to op13: each operator over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, containment, language, packing, personal_data, simhash, substrings, token_counts, token_files, url_filter
+from lintora.llm import bucket_digest, common, containment, language, lexical_search, packing, personal_data, simhash, substrings, token_counts, token_files, url_filter
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -77,6 +77,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in personal_data.KINDS], "base_sha256", spans.alias("spans"), F.size("spans").cast("long").alias("n_spans"), "n_found")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -89,8 +94,9 @@ def queries() -> dict:
         "op8_simhash_golay": op8_simhash_golay,
         "op9_substrings": op9_substrings,
         "op10_personal_data": op10_personal_data,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_containment": containment.SQL, "op7_url_filter": url_filter.SQL}
+    return {"op4_containment": containment.SQL, "op7_url_filter": url_filter.SQL, "op11_lexical_search": lexical_search.SQL}
