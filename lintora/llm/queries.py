@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import bucket_digest, common, containment, language, lexical_search, packing, personal_data, simhash, substrings, token_counts, token_files, url_filter
+from lintora.llm import alignment, bucket_digest, common, containment, language, lexical_search, packing, personal_data, simhash, substrings, token_counts, token_files, url_filter
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -82,6 +83,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    paths = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    return alignment.alignment_digests(alignment.align(table(spark, sf_dir, "documents"), *paths), *paths)
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -95,6 +102,7 @@ def queries() -> dict:
         "op9_substrings": op9_substrings,
         "op10_personal_data": op10_personal_data,
         "op11_lexical_search": op11_lexical_search,
+        "op13_alignment": op13_alignment,
     }
 
 
