@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintora.llm import alignment, bucket_digest, common, containment, language, lexical_search, packing, personal_data, simhash, substrings, token_counts, token_files, url_filter
+from lintora.llm import alignment, bucket_digest, common, containment, language, lexical_search, packing, personal_data, quality, simhash, substrings, token_counts, token_files, url_filter
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -83,6 +83,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two tokenizers in every document."""
     paths = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
@@ -102,6 +109,7 @@ def queries() -> dict:
         "op9_substrings": op9_substrings,
         "op10_personal_data": op10_personal_data,
         "op11_lexical_search": op11_lexical_search,
+        "op12_quality": op12_quality,
         "op13_alignment": op13_alignment,
     }
 
