@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintora.llm.common import discard, rows_of, to_batches, written
+from lintora.llm.token_counts import _PLAIN, _PLAIN_SPLIT, _SPLIT
 from lintora.llm.tokens import Learned, byte_letters
 
 #: Characters beyond which a document is cut, and of a nominal range.
@@ -41,15 +43,12 @@ LONG, RANGE = 32_768, 16_384
 FAN = 8
 #: Most pairs whose counts are sent to every executor (17 bytes each).
 MAX_FREQUENT = 1 << 19
-#: Most characters of a piece that a worker remembers.
+#: Most characters of a pre-token that a worker remembers.
 SHORT = 64
 
-#: Where pre-tokens of A surely begin, where pieces of B do, and where both do.
+#: Where pre-tokens of A surely begin, and where pieces of B do.
 A_SAFE = re.compile(r"(?= \S)|(?<=[A-Za-z0-9])(?=[.,;:!?])")
 B_SAFE = re.compile(r"(?<=[^ ▁])(?= )")
-BOTH_SAFE = re.compile(r"(?<=[^ ▁])(?= \S)")
-#: Found unless single spaces stand between what are no spaces.
-_ODD = re.compile(r" (?:\s|\Z)")
 
 _RUN_SQL = "row long, doc_id long, start long, a binary, b binary"
 _RUN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -65,51 +64,47 @@ def _ids(data: bytes) -> np.ndarray:
 
 class Tokenizers:
     """A byte-level tokenizer (A) and a sentencepiece model (B) with the bytes of
-    their tokens."""
+    their tokens. A gets pre-tokens, each new one once for each worker."""
 
-    def __init__(self, path_a: str, path_b: str, bound: int = 200_000):
+    def __init__(self, path_a: str, path_b: str, bound: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.library_a, self.library_b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.library_a.encode_special_tokens = True
-        byte = {letter: b for b, letter in enumerate(byte_letters())}
-        own = self.library_a.get_vocab()
+        library, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.model, self.library_b = library.model, b
+        self.letters, own = byte_letters(), library.get_vocab()
+        byte = {letter: i for i, letter in enumerate(self.letters)}
         self.bytes_a = [b""] * (max(own.values()) + 1)
         for token, i in own.items():
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        b = self.library_b
         self.bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.known = Learned(self._piece, bound)
-
-    def a(self, text: str) -> bytes | None:
-        """Ids of A, or None if their bytes are not the text's."""
-        ids = self.library_a.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes() if b"".join([self.bytes_a[i] for i in ids]) == text.encode() else None
-
-    def b(self, text: str) -> bytes | None:
-        """Ids of B for a text that begins with a space, which B adds itself."""
-        ids = self.library_b.encode(text[1:]) if len(text) > 1 else [self.library_b.piece_to_id("▁")]
-        return np.array(ids, "<u4").tobytes() if b"".join([self.bytes_b[i] for i in ids]) == text.encode() else None
-
-    def _piece(self, piece: str) -> tuple[bytes, bytes] | None:
-        a, b = self.a(" " + piece), self.b(" " + piece)
-        return None if a is None or b is None else (a, b)
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of a space and the text by A and B; none if the bytes differ. Cut
-        where both surely begin a token, and each new piece is encoded once."""
-        if not text:
-            return b"", b""
-        spaced = " " + text
-        pieces = text.split(" ") if not _ODD.search(spaced) else [p[1:] for p in BOTH_SAFE.split(spaced)]
-        known = self.known
-        found = [known[p] if len(p) <= SHORT else self._piece(p) for p in pieces]
-        if None in found:
-            return b"", b""
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        self.known_a = Learned(self._pre_token, bound)
+
+    def _pre_token(self, part: str) -> bytes:
+        letters = self.letters
+        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in part.encode()]))], "<u4").tobytes()
+
+    def a(self, text: str) -> bytes:
+        """Ids of A."""
+        parts, known = (_PLAIN_SPLIT if _PLAIN.fullmatch(text) else _SPLIT).findall(text), self.known_a
+        return b"".join([known[p] if len(p) <= SHORT else self._pre_token(p) for p in parts])
+
+    def b(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of B, which adds a space itself, for texts that begin with one;
+        None where their bytes are not the text's."""
+        out = []
+        for text, ids in zip(texts, self.library_b.encode([t[1:] for t in texts], num_threads=1)):
+            if text == " ":
+                ids = [self.library_b.piece_to_id("▁")]
+            out.append(np.array(ids, "<u4").tobytes() if b"".join(map(self.bytes_b.__getitem__, ids)) == text.encode() else None)
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of a space and each text by A and B; none if the bytes differ."""
+        ids_b = self.b([" " + (t or "") for t in texts])
+        return [(self.a(" " + t), b) if t and b is not None else (b"", b"") for t, b in zip(texts, ids_b)]
 
 
 @lru_cache(maxsize=2)
@@ -202,8 +197,8 @@ def _long_runs(texts: DataFrame, path_a: str, path_b: str, size: int, fan: int)
 
         def rows():
             for row, doc_id, at, start, a_text, b_start, b_text in rows_of(batches, 64):
-                a, b = own.a(a_text) if a_text else b"", own.b(b_text) if b_text else b""
-                if a is None or b is None:
+                a, b = own.a(a_text), own.b([b_text])[0] if b_text else b""
+                if b is None:
                     yield row, doc_id, at, "bad", 0, 0, b"", b"", None, None, None
                 else:
                     yield from _part(row, doc_id, at, monoid.fragment(start, b_start, _ids(a), _ids(b)))
@@ -251,8 +246,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = tokenizers(path_a, path_b), TaskContext.get().partitionId() << 40
-        rows = ((first + i, doc_id, 0, *own.encode(text)) for i, (doc_id, text) in enumerate(rows_of(batches)))
-        yield from to_batches(rows, _RUN, max_bytes=4 << 20)
+        found = ((doc_id, *ids) for part in batched(rows_of(batches, 32), 32) for (doc_id, _), ids in zip(part, own.encode([t for _, t in part])))
+        yield from to_batches(((first + i, doc_id, 0, a, b) for i, (doc_id, a, b) in enumerate(found)), _RUN, max_bytes=4 << 20)
 
     few = texts.filter(n_chars <= long).mapInArrow(short, _RUN_SQL)
     return written(few.unionByName(_long_runs(texts.filter(n_chars > long), path_a, path_b, size, fan)), "token-runs")

@@ -83,21 +83,22 @@ def odd_text(rng, n=40):
     return "".join(rng.choices(ODD, k=rng.randint(0, n)))
 
 
-def test_cached_pieces_give_the_ids_of_the_libraries():
+def test_parts_give_the_ids_of_the_libraries():
     own, rng = al.tokenizers(A, B), random.Random(3)
     for _ in range(3000):
         text = odd_text(rng)
-        a, b = own.encode(text)
+        (a, b), none = own.encode([text, None])
+        assert none == (b"", b"")
         ids_a, _, ids_b, _ = whole(text)
         assert (np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()) == (ids_a, ids_b), text
-    assert own.encode("x▁y z") == own.encode(None) == own.encode("") == (b"", b"")
+    assert own.encode(["x▁y z", ""]) == [(b"", b"")] * 2
 
 
 def fragments_of(text, size):
     own = al.tokenizers(A, B)
     monoid = al.Monoid(own.sizes_a, own.sizes_b)
     ids = lambda f, t: np.frombuffer(f(t) if t else b"", "<u4")
-    return monoid, [monoid.fragment(s, t, ids(own.a, x), ids(own.b, y)) for _, s, x, t, y in al.ranges(text, size)]
+    return monoid, [monoid.fragment(s, t, ids(own.a, x), ids(lambda y: own.b([y])[0], y)) for _, s, x, t, y in al.ranges(text, size)]
 
 
 def flat(x):
