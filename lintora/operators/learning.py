@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,6 +21,7 @@ START_CONFIDENCE, LEAST_CONFIDENCE, MOST_CONFIDENCE = 0.80, 0.10, 0.99
 DELTAS = {"FIXED": 0.02, "IGNORED": -0.01, "FALSE_POSITIVE": -0.08}
 SUPPRESS_AFTER, HASH_WINDOW = 3, 100
 
+COUNTS = ("detections", "fixes", "ignored", "false_positives")
 BY_TYPE, BY_RULE = ["developer_id", "vuln_type"], ["developer_id", "vuln_type", "rule_id"]
 
 
@@ -28,9 +29,14 @@ def _n(kind: str) -> Column:
     return F.count_if(F.col("kind") == kind)
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """By developer and type; first and last seen count events of every kind."""
-    return events.groupBy(*BY_TYPE).agg(_n("DETECTED").alias("detections"), _n("FIXED").alias("fixes"), _n("IGNORED").alias("ignored"), _n("FALSE_POSITIVE").alias("false_positives"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+def counters(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """By developer and type; first and last seen count events of every kind.
+    before: a stored profile() to which the events are added."""
+    now = events.groupBy(*BY_TYPE).agg(_n("DETECTED").alias("detections"), _n("FIXED").alias("fixes"), _n("IGNORED").alias("ignored"), _n("FALSE_POSITIVE").alias("false_positives"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    if before is None:
+        return now
+    held = before.filter("part = 'type'").select(*BY_TYPE, *[F.get("counts", i).alias(c) for i, c in enumerate(COUNTS)], "first_seen", "last_seen")
+    return now.unionByName(held).groupBy(*BY_TYPE).agg(*[F.sum(c).alias(c) for c in COUNTS], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def rule_counters(events: DataFrame) -> DataFrame:
@@ -41,9 +47,10 @@ def _cents(x: float) -> int:
     return round(x * 100)
 
 
-def adjusted_confidence(events: DataFrame) -> DataFrame:
+def adjusted_confidence(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """The fold of a rule's actions in order, clamped and rounded at every step;
-    rules without an action have no row (their confidence is null).
+    rules without an action have no row (their confidence is null). before: a
+    stored profile() whose confidences the events, all of them later, go on from.
 
     In whole cents a step is x -> min(hi, max(lo, x + d)), and steps in turn are
     such a step again. So the actions of each hour are folded to one (d, lo, hi),
@@ -62,8 +69,12 @@ def adjusted_confidence(events: DataFrame) -> DataFrame:
     none = F.struct(F.lit(0).alias("d"), least.alias("lo"), most.alias("hi"))
     hours = acted.groupBy(*BY_RULE, "hour").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "delta"))).alias("steps"))
     hours = hours.select(*BY_RULE, "hour", F.size("steps").cast("long").alias("n"), F.aggregate("steps", none, lambda f, x: step(f, x["delta"], least, most)).alias("f"))
-    whole = hours.groupBy(*BY_RULE).agg(F.array_sort(F.collect_list(F.struct("hour", "f"))).alias("hours"), F.sum("n").alias("n_actions"))
-    cents = F.aggregate("hours", F.lit(_cents(START_CONFIDENCE)), lambda x, h: clamp(x + h["f"]["d"], h["f"]["lo"], h["f"]["hi"]))
+    hours = hours.withColumn("start", F.lit(None).cast("int"))
+    if before is not None:
+        held = before.filter("part = 'rule'").select(*BY_RULE, F.col("n_actions").alias("n"), F.round(F.col("adjusted_confidence") * 100).cast("int").alias("start"))
+        hours = hours.unionByName(held, allowMissingColumns=True)
+    whole = hours.groupBy(*BY_RULE).agg(F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("hour", "f")))).alias("hours"), F.sum("n").alias("n_actions"), F.coalesce(F.max("start"), F.lit(_cents(START_CONFIDENCE))).alias("start"))
+    cents = F.aggregate("hours", F.col("start"), lambda x, h: clamp(x + h["f"]["d"], h["f"]["lo"], h["f"]["hi"]))
     return whole.select(*BY_RULE, (cents / 100).alias("adjusted_confidence"), "n_actions")
 
 
@@ -79,17 +90,23 @@ def events_of_actions(actions: DataFrame) -> DataFrame:
     return actions.withColumns({"kind": kind_of_action(viewed), "snippet_hash": S.snippet_hash(F.col("code_snippet"))})
 
 
-def suppressed(events: DataFrame) -> DataFrame:
+def suppressed(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Types that a developer has called false positives often enough; for good."""
-    return events.groupBy(*BY_TYPE).agg(_n("FALSE_POSITIVE").alias("false_positives")).filter(F.col("false_positives") >= SUPPRESS_AFTER)
+    called = events.groupBy(*BY_TYPE).agg(_n("FALSE_POSITIVE").alias("false_positives")) if before is None else counters(events, before).select(*BY_TYPE, "false_positives")
+    return called.filter(F.col("false_positives") >= SUPPRESS_AFTER)
 
 
-def false_positive_hashes(events: DataFrame, window: int = HASH_WINDOW) -> DataFrame:
+def false_positive_hashes(events: DataFrame, window: int = HASH_WINDOW, before: DataFrame | None = None) -> DataFrame:
     """The last `window` distinct snippet hashes a developer called false
     positives, first in first out; one that is held is not moved, one that fell
     out may come again. What is held depends on all before, so a developer's
-    rows pass through one task, sorted, of which it keeps the window alone."""
+    rows pass through one task, sorted, of which it keeps the window alone. With
+    a stored profile() before, only what came since is read: its hashes go first."""
     called = events.filter("kind = 'FALSE_POSITIVE'").select("developer_id", "ts", "seq", "snippet_hash")
+    if before is not None:
+        held = before.filter("part = 'hashes'").select("developer_id", F.posexplode("hashes").alias("at", "snippet_hash"))
+        none = F.lit(None).cast(called.schema["ts"].dataType)  # sorted before all times
+        called = called.unionByName(held.select("developer_id", none.alias("ts"), F.col("at").cast(called.schema["seq"].dataType).alias("seq"), "snippet_hash"))
     out = T.StructType([called.schema["developer_id"], T.StructField("hashes", T.ArrayType(T.StringType()))])
     fields = pa.schema([("developer_id", to_arrow_type(called.schema["developer_id"].dataType)), ("hashes", pa.list_(pa.string()))])
 
@@ -115,6 +132,45 @@ def false_positive_hashes(events: DataFrame, window: int = HASH_WINDOW) -> DataF
     return called.repartition("developer_id").sortWithinPartitions("developer_id", "ts", "seq").mapInArrow(run, out)
 
 
+def profile(events: DataFrame, before: DataFrame | None = None, window: int = HASH_WINDOW) -> DataFrame:
+    """Learning profiles as a table to be stored: rows by part, type (counts in
+    the order of COUNTS, first and last seen), rule (confidence and number of
+    actions) and hashes. before: the stored profile; all events are later."""
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    types = counters(events, before).select("developer_id", F.lit("type").alias("part"), "vuln_type", null("string", "rule_id"), F.array(*COUNTS).alias("counts"), "first_seen", "last_seen", null("double", "adjusted_confidence"), null("long", "n_actions"), null("array<string>", "hashes"))
+    rules = adjusted_confidence(events, before).withColumn("part", F.lit("rule"))
+    hashes = false_positive_hashes(events, window, before).withColumn("part", F.lit("hashes"))
+    return types.unionByName(rules, allowMissingColumns=True).unionByName(hashes, allowMissingColumns=True)
+
+
+def pass_differences(passes: DataFrame, found: DataFrame) -> DataFrame:
+    """What changed between successive analyses of a document: document, pass,
+    finding_key, status new, still or gone. passes: (document, pass), also those
+    that found nothing; found: (document, pass, finding_key), with repeats. A key
+    that is missing from one pass is gone in it and new when it comes again."""
+    near = Window.partitionBy("document").orderBy("pass")
+    order = passes.select("document", "pass").distinct().withColumns({"before": F.lag("pass").over(near), "after": F.lead("pass").over(near)})
+    by_key = Window.partitionBy("document", "finding_key").orderBy("pass")
+    seen = found.select("document", "pass", "finding_key").distinct().join(order, ["document", "pass"])
+    seen = seen.withColumns({"seen_before": F.lag("pass").over(by_key), "seen_after": F.lead("pass").over(by_key)})
+    status = F.when(F.col("seen_before").eqNullSafe(F.col("before")) & F.col("before").isNotNull(), "still").otherwise("new")
+    leaves = F.col("after").isNotNull() & ~F.col("seen_after").eqNullSafe(F.col("after"))
+    rows = F.array_compact(F.array(F.struct("pass", status.alias("status")), F.when(leaves, F.struct(F.col("after").alias("pass"), F.lit("gone").alias("status")))))
+    return seen.select("document", "finding_key", F.inline(rows)).select("document", "pass", "finding_key", "status")
+
+
+def detection_events(differences: DataFrame, mode: str = "reference") -> DataFrame:
+    """Rows of pass_differences() that count as detections. reference: every pass
+    counts all it finds again; dedup: each finding of a document counts once, when
+    it is first there."""
+    there = differences.filter("status <> 'gone'")
+    if mode == "reference":
+        return there
+    if mode != "dedup":
+        raise ValueError("mode is reference or dedup")
+    return there.groupBy("document", "finding_key").agg(F.min("pass").alias("pass")).withColumn("status", F.lit("new")).select("document", "pass", "finding_key", "status")
+
+
 def fix_rate(by_type: DataFrame) -> DataFrame:
     rate = F.when(F.col("detections") > 0, S.js_round(F.col("fixes") / F.col("detections") * 100)).otherwise(F.lit(0).cast("long"))
     return by_type.withColumn("fix_rate", rate)

@@ -21,6 +21,8 @@ from lintora.operators.rules import RULES, Pattern, Rule
 _BLANKS = r"^\s+|\s+$"
 #: Elements of an array that are summed one by one; whole blocks are summed once.
 _BLOCK = 64
+#: Put around matches: a code point that no text is meant to hold.
+_MARK = "\ufdd0"
 #: Characters of a piece of text from which contexts are cut.
 _PIECE = 4096
 
@@ -46,8 +48,12 @@ def _sums(numbers: Column, f: Callable[[Callable[[Column], Column]], Column]) ->
     return _once(sums, lambda sums: f(lambda i: before(sums, i)))
 
 
-def _cut(text: Column, lower: Column, language: Column, rule_at: int, rule: Rule, at: int, p: Pattern) -> Column:
-    """The matches m of a pattern and the text g around them; null if there are none."""
+def _cut(text: Column, lower: Column, marked: Column, language: Column, rule_at: int, rule: Rule, at: int, p: Pattern) -> Column:
+    """The matches m of a pattern and the text g around them; null if there are none.
+
+    The regex goes over the text once: it puts marks around its matches, and the
+    text is cut at the marks, into what stands between matches and the matches in
+    turn. Only texts in which a mark stands already are searched three times."""
     regex = ("(?i)" if rule.ignore_case else "") + p.regex
     gate = language.isin(*rule.languages) if rule.languages else F.lit(True)
     if p.needs:
@@ -55,8 +61,12 @@ def _cut(text: Column, lower: Column, language: Column, rule_at: int, rule: Rule
         for s in p.needs:
             some = some | F.contains(lower, F.lit(s))
         gate = gate & some
-    cut = F.struct(F.lit(rule_at).alias("rule_index"), F.lit(at).alias("pattern_index"), F.regexp_extract_all(text, F.lit(regex), 0).alias("m"), F.split(text, regex, -1).alias("g"))
-    return F.when(gate & text.rlike(regex), cut)
+    place = (F.lit(rule_at).alias("rule_index"), F.lit(at).alias("pattern_index"))
+    odd = lambda parts, first: F.filter(parts, lambda _, i: i % 2 == first)
+    parts = F.split(F.regexp_replace(text, f"(?:{regex})", f"{_MARK}$0{_MARK}"), _MARK, -1)
+    once = _once(parts, lambda x: F.when(F.size(x) > 1, F.struct(*place, odd(x, 1).alias("m"), odd(x, 0).alias("g"))))
+    thrice = F.when(text.rlike(regex), F.struct(*place, F.regexp_extract_all(text, F.lit(regex), 0).alias("m"), F.split(text, regex, -1).alias("g")))
+    return F.when(gate, F.when(marked, thrice).otherwise(once))
 
 
 def _placed(x: Column) -> Column:
@@ -143,15 +153,24 @@ def raw_matches(docs: DataFrame, rules: Sequence[Rule] = RULES, first_only: bool
     column_number (from 0), line, comment (whether the line is one), boost.
     Offsets count characters. first_only: of the matches outside comments, the
     first by pattern and place of each line and type."""
+    return _matches(docs, ["file_name", "language_id"], rules, first_only, True).select("file_name", "language_id", F.inline("hits")).drop("type_index")
+
+
+def _matches(docs: DataFrame, kept: list[str], rules: Sequence[Rule], first_only: bool, only_found: bool) -> DataFrame:
+    """Some columns of each document, which need language_id among them, and its
+    matches as an array; null where there are none, unless only_found."""
     # generators in between, so that what comes before is computed once
-    docs = docs.select("file_name", "language_id", F.inline(F.array(F.struct("text", F.lower("text").alias("lower_text")))))
-    cut = [_cut(F.col("text"), F.col("lower_text"), F.col("language_id"), i, rule, j, p) for i, rule in enumerate(rules) for j, p in enumerate(rule.patterns)]
-    held = docs.select("file_name", "language_id", "text", F.inline(F.array(F.struct(F.array_compact(F.array(*cut)).alias("cut"))))).filter(F.size("cut") > 0)
+    docs = docs.select(*kept, F.inline(F.array(F.struct("text", F.lower("text").alias("lower_text"), F.contains("text", F.lit(_MARK)).alias("marked")))))
+    cut = [_cut(F.col("text"), F.col("lower_text"), F.col("marked"), F.col("language_id"), i, rule, j, p) for i, rule in enumerate(rules) for j, p in enumerate(rule.patterns)]
+    held = docs.select(*kept, "text", F.inline(F.array(F.struct(F.array_compact(F.array(*cut)).alias("cut")))))
+    if only_found:
+        held = held.filter(F.size("cut") > 0)
     found = F.flatten(F.transform("cut", _placed))
     lines = _once(F.split("text", "\n", -1), lambda x: F.struct(x.alias("lines"), _once(F.transform(x, lambda s: F.length(s) + 1), lambda n: _sums(n, lambda before: F.transform(F.sequence(F.lit(1), F.size(n)), lambda i: before(i)))).alias("starts")))
     lines = _once(lines, lambda x: F.struct(x["lines"].alias("lines"), x["starts"].alias("starts"), F.transform(F.sequence(F.lit(1), F.size(x["starts"]), F.lit(_BLOCK)), lambda i: F.element_at(x["starts"], i)).alias("coarse")))
     pieces = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % _PIECE), 0)
-    held = held.select("file_name", "language_id", F.inline(F.array(F.struct(found.alias("found"), lines.alias("l"), pieces.alias("pieces")))))
+    some = F.size("cut") > 0
+    held = held.select(*kept, F.inline(F.array(F.struct(*[(x if only_found else F.when(some, x)).alias(name) for x, name in ((found, "found"), (lines, "l"), (pieces, "pieces"))]))))
     types = {t: i for i, t in enumerate(dict.fromkeys(r.type for r in rules))}
 
     def whole(x: Column) -> Column:
@@ -179,13 +198,17 @@ def raw_matches(docs: DataFrame, rules: Sequence[Rule] = RULES, first_only: bool
     if first_only:  # sorted by type, line, pattern and place: a finding is what differs from the one before
         live = F.array_sort(F.filter(hits, lambda x: ~x["comment"]))
         hits = _once(live, lambda a: F.filter(a, lambda x, i: (i == 0) | ~F.struct(x["type_index"], x["line_number"]).eqNullSafe(_key(F.get(a, i - 1)))))
-    return held.select("file_name", "language_id", F.inline(hits)).drop("type_index")
+    return held.select(*kept, hits.alias("hits"))
 
 
 def _key(x: Column) -> Column:
     return F.struct(x["type_index"], x["line_number"])
 
 
+def _confidence(boosted: Column, base: Column, boost: Column, step: Column) -> Column:
+    return S.js_round(F.when(boosted, F.least(F.lit(0.99), base + boost * step)).otherwise(base), 2)
+
+
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, enabled: bool = True) -> DataFrame:
     """Findings of documents (file_name, language_id, text): at most one for
     each document, line and type, the first by pattern and place outside
@@ -194,14 +217,36 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, enabled: bool = True) -
         docs = docs.filter(F.lit(False))
     rules = usable(docs.sparkSession, rules)
     hits = raw_matches(docs, rules, first_only=True).join(F.broadcast(_details(docs.sparkSession, rules)), ["rule_index", "pattern_index"])
-    confidence = F.when(F.col("boosted"), F.least(F.lit(0.99), F.col("base") + F.col("boost") * F.col("step"))).otherwise(F.col("base"))
     return hits.select(
         S.finding_key(F.col("file_name"), F.col("line_number"), F.col("type"), F.col("rule_id")).alias("finding_key"),
-        "file_name", "language_id", "type", "severity", S.js_round(confidence, 2).alias("confidence"), "message", "line_number", "column_number",
+        "file_name", "language_id", "type", "severity", _confidence(F.col("boosted"), F.col("base"), F.col("boost"), F.col("step")).alias("confidence"), "message", "line_number", "column_number",
         S.trimmed(F.col("line")).alias("code_snippet"), "rule_id", "pattern_id", "range_start", "range_end", "rule_index", "pattern_index",
     )
 
 
+def scan_rows(docs: DataFrame, columns: Sequence[str], rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The scan of documents (document, ts, seq, kind, language_id, text), each in
+    its own row: document, ts, seq, kind, findings (an array with some columns of
+    scan(), by line and type; null where nothing is found). It needs no join and so
+    fits a stream."""
+    rules = usable(docs.sparkSession, rules)
+    kept = ["document", "ts", "seq", "kind", "language_id"]
+    known = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in (("type", r.type), ("severity", r.severity), ("message", p.message), ("rule_id", r.id), ("pattern_id", p.id), ("base", p.base), ("step", r.step), ("boosted", bool(p.keywords)))]) for r in rules for p in r.patterns])
+    first = [sum(len(r.patterns) for r in rules[:i]) for i in range(len(rules))]
+
+    def finding(x: Column) -> Column:
+        def described(d: Column) -> Column:
+            values = {
+                "finding_key": S.finding_key(F.col("document"), x["line_number"], d["type"], d["rule_id"]), "confidence": _confidence(d["boosted"], d["base"], x["boost"], d["step"]), "code_snippet": S.trimmed(x["line"]),
+                **{c: d[c] for c in ("type", "severity", "message", "rule_id", "pattern_id")}, **{c: x[c] for c in ("line_number", "column_number", "range_start", "range_end")},
+            }
+            return F.struct(*[values[c].alias(c) for c in columns])
+
+        return _once(F.get(known, _by_rule(x["rule_index"], [F.lit(n) for n in first], F.lit(0)) + x["pattern_index"]), described)
+
+    return _matches(docs, kept, rules, True, False).select("document", "ts", "seq", "kind", F.transform("hits", finding).alias("findings"))
+
+
 def severity_order() -> list[Column]:
     """Findings by severity and line; ties in the order in which rules emit them."""
     return [S.severity_rank(F.col("severity")), F.col("line_number"), F.col("rule_index"), F.col("pattern_index"), F.col("range_start")]

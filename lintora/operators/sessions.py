@@ -86,13 +86,38 @@ def shift_action(shifts: DataFrame, active: DataFrame) -> DataFrame:
     return joined.select("developer_id", "shift_id", "name", state.alias("state"))
 
 
+def _lives(log: DataFrame) -> DataFrame:
+    """Of each session of a log its first start, with its place (at, seq), its
+    last end, and where it closed: at its first end or when its developer started
+    the next one. Only ends after the start count; sessions that never began are
+    nothing."""
+    place = F.struct("at", "seq")
+    start = F.min(F.when(F.col("op") == "start", F.struct("at", "seq", "developer_id", "shift_id"))).over(Window.partitionBy("session_id"))
+    rows = log.withColumns({"start": start, "place": place}).filter("start is not null")
+    end = F.when((F.col("op") == "end") & (F.col("place") > F.struct("start.at", "start.seq")), F.col("place"))
+    lives = rows.groupBy("session_id").agg(F.min("start").alias("start"), F.max(end).alias("last_end"), F.min(end).alias("first_end"))
+    lives = lives.select("session_id", "start.developer_id", "start.shift_id", F.struct("start.at", "start.seq").alias("start"), "last_end", "first_end")
+    following = F.lead("start").over(Window.partitionBy("developer_id").orderBy("start"))
+    return lives.withColumn("next_start", following).withColumn("closed", F.least("first_end", "next_start"))
+
+
 def from_log(log: DataFrame) -> DataFrame:
     """Sessions from a log (session_id, developer_id, shift_id, op, at, seq) of
     starts and ends. The last end counts; a session without one ends when its
-    developer starts the next. An end without a start is nothing."""
-    op = lambda name, c: F.when(F.col("op") == name, F.col(c))
-    rows = log.groupBy("session_id").agg(F.min_by("developer_id", op("start", "seq")).alias("developer_id"), F.min_by("shift_id", op("start", "seq")).alias("shift_id"), F.min(op("start", "at")).alias("started_at"), F.max_by("at", op("end", "seq")).alias("ended_at"))
-    return implicit_ends(rows.filter("started_at is not null"))
+    developer starts the next. An end without a start before it is nothing."""
+    ended, following = F.col("last_end.at"), F.col("next_start.at")
+    return _lives(log).select("session_id", "developer_id", "shift_id", F.col("start.at").alias("started_at"), ended.alias("ended_at"), F.coalesce(ended, following).alias("effective_end"))
+
+
+def findings_of_log(log: DataFrame) -> DataFrame:
+    """session_id, finding_id, at: the findings that the log (as for from_log,
+    with op finding and finding_id) adds to sessions. A finding is added once, to
+    the session that it names and only while that is open: not before its start,
+    after its first end, or after its developer's next start."""
+    lives = _lives(log.filter("op in ('start', 'end')")).select("session_id", "start", "closed")
+    found = log.filter("op = 'finding' and finding_id is not null").select("session_id", "finding_id", F.struct("at", "seq").alias("place"))
+    live = found.join(lives, "session_id").filter((F.col("place") > F.col("start")) & (F.col("closed").isNull() | (F.col("place") < F.col("closed"))))
+    return live.groupBy("session_id", "finding_id").agg(F.min("place.at").alias("at"))
 
 
 def shift_states(shifts: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -105,7 +130,7 @@ def shift_states(shifts: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def completed_reports(summary: DataFrame) -> DataFrame:
-    """Summaries of ended sessions that have findings or files to show."""
+    """Summaries of ended sessions, also of those without findings."""
     return summary.filter("ended_at is not null")
 
 

@@ -6,7 +6,7 @@ Event time with a watermark is an extension: the batch forms know no lateness.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lintora.operators import learning
+from lintora.functions import scalars as S
+from lintora.operators import learning, scan
+from lintora.settings import Settings
 from lintora.streaming import stateful
 
 DEBOUNCE = "400 milliseconds"
@@ -34,23 +36,29 @@ def _gap_ms(gap: str) -> int:
     return int(number) * {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")]
 
 
-def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str = "10 seconds") -> DataFrame:
+def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str = "10 seconds", with_closings: bool = False) -> DataFrame:
     """Changes (document, ts, kind, text), kind change or save, to document, kind,
     text, n_changes, changed_at, fires_at: one row for each burst, with its last
     text. A burst ends a gap after its last change, or at once with a save, which
     takes the place of the changes before it. Other kinds, such as close, cancel
-    nothing; closings() has them. As a stream the burst is state of its document."""
-    changes = changes.filter("kind in ('change', 'save')").select("document", "ts", "kind", "text")
+    nothing; closings() has them, and with_closings passes them on, as bursts of
+    their own at their time that leave pending ones alone. As a stream the burst
+    is state of its document."""
+    kinds = ["change", "save"] + ["close"] * with_closings
+    changes = changes.filter(F.col("kind").isin(kinds)).select("document", "ts", "kind", "text")
     if changes.isStreaming:
         timed = changes.withWatermark("ts", watermark).groupBy("document")
         return timed.transformWithStateInPandas(statefulProcessor=stateful.Bursts(_gap_ms(gap)), outputStructType=stateful.BURST, outputMode="Append", timeMode="eventTime")
+    closed = changes.filter("kind = 'close'").select("document", "kind", F.lit(None).cast("string").alias("text"), F.lit(1).cast("long").alias("n_changes"), F.col("ts").alias("changed_at"), F.col("ts").alias("fires_at"))
+    changes = changes.filter("kind <> 'close'")
     order = Window.partitionBy("document").orderBy("ts", "kind")
     ms, last = F.unix_millis(F.col("ts").cast("timestamp")), F.lag("kind").over(order)
     opens = last.isNull() | (last == "save") | (ms - F.lag(ms).over(order) >= _gap_ms(gap))
     rows = changes.withColumn("burst", F.sum(opens.cast("int")).over(order))
     ended = rows.groupBy("document", "burst").agg(F.max_by(F.struct("kind", "text", "ts"), F.struct("ts", "kind")).alias("x"), F.count("*").alias("n_changes"))
     fires = F.when(F.col("x.kind") == "save", F.col("x.ts")).otherwise(F.col("x.ts") + F.expr(f"interval {gap}"))
-    return ended.select("document", "x.kind", "x.text", "n_changes", F.col("x.ts").alias("changed_at"), fires.alias("fires_at"))
+    bursts = ended.select("document", "x.kind", "x.text", "n_changes", F.col("x.ts").alias("changed_at"), fires.alias("fires_at"))
+    return bursts.unionByName(closed) if with_closings else bursts
 
 
 def closings(changes: DataFrame) -> DataFrame:
@@ -66,11 +74,13 @@ def without_repeats(records: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return records.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["session_id", "finding_id"])
 
 
-def profiles(events: DataFrame) -> DataFrame:
+def profiles(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Learning profiles as state by developer: see stateful.Profiles. Within a
-    batch the events are put in order; across batches they must arrive in order."""
+    batch the events are put in order; across batches they must arrive in order.
+    stored: profiles (learning.profile) that a new checkpoint goes on from."""
     rows = events.select(*learning.BY_RULE, "kind", "ts", "seq", "snippet_hash").groupBy("developer_id")
-    return rows.transformWithStateInPandas(statefulProcessor=stateful.Profiles(), outputStructType=stateful.PROFILE, outputMode="Update", timeMode="None")
+    before = stored.groupBy("developer_id") if stored is not None else None
+    return rows.transformWithStateInPandas(statefulProcessor=stateful.Profiles(), outputStructType=stateful.PROFILE, outputMode="Update", timeMode="None", initialState=before)
 
 
 def adjusted_confidence(events: DataFrame) -> DataFrame:
@@ -78,11 +88,57 @@ def adjusted_confidence(events: DataFrame) -> DataFrame:
     return profiles(events.withColumn("snippet_hash", F.lit(""))).filter("n_actions > 0").select(*learning.BY_RULE, "adjusted_confidence", "n_actions")
 
 
-def session_state(log: DataFrame) -> DataFrame:
+def session_state(log: DataFrame, keep: str = "168 hours") -> DataFrame:
     """Sessions as state by developer, from a log (developer_id, session_id, op,
-    finding_id, ts, seq): see stateful.Sessions."""
-    rows = log.select("developer_id", "session_id", "op", "finding_id", "ts", "seq").groupBy("developer_id")
-    return rows.transformWithStateInPandas(statefulProcessor=stateful.Sessions(), outputStructType=stateful.SESSION, outputMode="Update", timeMode="None")
+    finding_id, ts, seq): see stateful.Sessions. Ended sessions are held for
+    `keep`. The batch forms are sessions.from_log and sessions.findings_of_log."""
+    rows = log.filter("session_id is not null").select("developer_id", "session_id", "op", "finding_id", "ts", "seq").groupBy("developer_id")
+    return rows.transformWithStateInPandas(statefulProcessor=stateful.Sessions(_gap_ms(keep)), outputStructType=stateful.SESSION, outputMode="Update", timeMode="None")
+
+
+def live_findings(analyses: DataFrame, mode: str = "Update") -> DataFrame:
+    """The findings that documents have now, as state by document, from rows
+    (document, ts, seq, kind analysis or close, findings): see
+    stateful.LiveFindings. sinks.latest of what it gives, by document and (at,
+    seq), is what is shown."""
+    rows = analyses.select("document", "ts", "seq", "kind", "findings").groupBy("document")
+    return rows.transformWithStateInPandas(statefulProcessor=stateful.LiveFindings(), outputStructType=stateful.SNAPSHOT, outputMode=mode, timeMode="None")
+
+
+def read_live_findings(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """document and findings as they are in the state of a stopped or running
+    query, without its output."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", "findings").option("flattenCollectionTypes", True).load()
+    return state.select(F.col("key.document").alias("document"), "list_element.*")
+
+
+_FOUND = f"array<struct<{stateful.FINDING.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def analyses(texts: DataFrame, rules: Sequence[scan.Rule] = scan.RULES) -> DataFrame:
+    """Texts and closings (document, ts, seq, kind, language_id, text) as rows for
+    live_findings(): the scan of each text in its own row, with all its findings,
+    also where there are none."""
+    found = scan.scan_rows(texts, [c.split()[0] for c in stateful.FINDING.split(", ")], rules)
+    kind = F.when(F.col("kind") == "close", "close").otherwise("analysis").alias("kind")
+    return found.select("document", "ts", "seq", kind, F.when(F.col("kind") != "close", F.col("findings")).cast(_FOUND).alias("findings"))
+
+
+def live_scan(changes: DataFrame, language_by_extension: dict[str, str], gap: str = DEBOUNCE, watermark: str = "10 seconds", settings: Settings | None = None) -> DataFrame:
+    """Changes (document, ts, kind, text) of files to what is shown of them, as a
+    stream in append mode: bursts, the scan of their last texts, and the
+    replacement of a document's findings, one query with one checkpoint. A close
+    drops them. settings: whether there are findings at all, the gap, and the
+    least confidence."""
+    language = F.lit("plaintext")
+    for end, name in language_by_extension.items():
+        language = F.when(S.extension(F.col("document")) == end, name).otherwise(language)
+    settings = settings or Settings(debounce_ms=_gap_ms(gap))
+    bursts = debounced(changes.filter("scheme = 'file'") if "scheme" in changes.columns else changes, settings.debounce, watermark, with_closings=True)
+    texts = bursts.select("document", F.col("fires_at").alias("ts"), F.lit(0).cast("long").alias("seq"), "kind", language.alias("language_id"), "text")
+    sure = F.filter("findings", lambda x: x["confidence"] >= settings.min_confidence)
+    found = analyses(texts).withColumn("findings", sure if settings.enabled else F.lit(None).cast(_FOUND))
+    return live_findings(found, "Append")
 
 
 def response_times(detections: DataFrame, actions: DataFrame, within: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lintora.functions import scalars as S
-from lintora.operators import learning
+from lintora.operators import learning, scan, sessions
 from lintora.sources import sinks
 from lintora.sources import tables as T
 from lintora.streaming import stateful, streams
@@ -32,8 +32,7 @@ def fed(spark, tmp_path, parts, build):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = build(spark.readStream.schema(part.schema).parquet(f"{tmp_path}/in"))
         q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
-        q.awaitTermination(180)
-        assert q.exception() is None
+        assert q.awaitTermination(60) and q.exception() is None
     return spark.read.parquet(f"{tmp_path}/out")
 
 
@@ -56,14 +55,125 @@ def test_streamed_profiles_equal_batch(spark, tmp_path):
     assert {d: h for d, h in held.items() if h} == {r.developer_id: r.hashes for r in learning.false_positive_hashes(events).collect()}
 
 
+def test_profiles_go_on_from_stored_ones(spark, tmp_path):
+    events = T.findings(spark, SF).select("developer_id", "vuln_type", "rule_id", "kind", "ts", "seq", "code_snippet").filter("developer_id < 25")
+    events = events.withColumn("snippet_hash", S.snippet_hash(F.col("code_snippet"))).drop("code_snippet")
+    events = events.withColumn("seq", F.row_number().over(Window.orderBy("ts", "seq")).cast("long")).cache()
+    first, then = events.filter("seq <= 300"), events.filter("seq > 300")
+    learning.profile(first).write.parquet(f"{tmp_path}/stored")
+    stored = spark.read.parquet(f"{tmp_path}/stored")
+    plain = lambda df: sorted(map(str, df.select("developer_id", "part", "vuln_type", "rule_id", "counts", "first_seen", "last_seen", "adjusted_confidence", "n_actions", "hashes").collect()))
+    assert plain(learning.profile(then, stored)) == plain(learning.profile(events))
+    assert plain(learning.profile(then, learning.profile(first, window=2), window=2)) == plain(learning.profile(events, window=2))  # entries were evicted
+    half = then.count() // 2
+    got = fed(spark, tmp_path, [then.filter(F.col("seq") <= 300 + half), then.filter(F.col("seq") > 300 + half)], lambda e: streams.profiles(e, stored if not (tmp_path / "cp").exists() else None)).collect()
+    want = {tuple(r[:3]): (r.adjusted_confidence, r.n_actions) for r in learning.adjusted_confidence(events).collect()}
+    touched = {tuple(r) for r in then.select(*learning.BY_RULE).distinct().collect()}
+    last = {}
+    for r in got:
+        key = tuple(r[:3])
+        if key not in last or r.n_actions >= last[key][1]:
+            last[key] = (r.adjusted_confidence, r.n_actions)
+    assert set(last) == touched and {k: v for k, v in last.items() if v[1]} == {k: v for k, v in want.items() if k in touched}
+    counts = {(r.developer_id, r.vuln_type): r.detections + r.fixes + r.ignored + r.false_positives for r in learning.counters(events).collect()}
+    most = {}
+    for r in got:
+        key = r.developer_id, r.vuln_type
+        most[key] = max(most.get(key, 0), r.detections + r.fixes + r.ignored + r.false_positives)
+    assert most == {k: n for k, n in counts.items() if k in most}
+
+
+LOG = "developer_id long, session_id long, op string, finding_id string, ts timestamp, seq long"
+
+
+def minute(m):
+    return dt.datetime(2025, 1, 1, 9) + dt.timedelta(minutes=m)
+
+
+def ended_and_found(rows):
+    """Last end and number of findings of each ended session, and all findings."""
+    ends = {}
+    for r in rows:
+        if r.ended_at:
+            ends[r.session_id] = max(ends.get(r.session_id, (r.started_at, r.ended_at, r.n_findings)), (r.started_at, r.ended_at, r.n_findings))
+    return ends, {(r.session_id, r.finding_id) for r in rows if r.finding_id}
+
+
 def test_sessions_as_state(spark, tmp_path):
-    at = lambda m: dt.datetime(2025, 1, 1, 9, m)
-    log = [(1, 10, "start", None, at(0), 1), (1, 10, "finding", "f", at(1), 2), (1, 10, "finding", "f", at(2), 3), (1, 10, "end", None, at(3), 4), (1, 10, "finding", "g", at(4), 5), (1, 11, "start", None, at(5), 6), (1, 12, "start", None, at(6), 7), (1, 11, "end", None, at(7), 8), (1, 12, "finding", "f", at(8), 9)]
-    rows = spark.createDataFrame(log, "developer_id long, session_id long, op string, finding_id string, ts timestamp, seq long")
-    got = fed(spark, tmp_path, [rows.filter("seq <= 4"), rows.filter("seq > 4")], streams.session_state).collect()
-    ended = {r.session_id: (r.n_findings, r.ended_at - r.started_at) for r in got if r.ended_at}
-    assert ended == {10: (1, dt.timedelta(minutes=3)), 11: (0, dt.timedelta(minutes=1))}
-    assert [(r.session_id, r.finding_id) for r in got if r.finding_id] == [(10, "f"), (12, "f")]
+    log = [
+        (1, 10, "start", None, 0), (1, 10, "finding", "f", 1), (1, 10, "finding", "f", 2), (1, 10, "end", None, 3), (1, 10, "finding", "g", 4), (1, 11, "start", None, 5), (1, 10, "finding", "h", 6), (1, 11, "finding", "f", 6),
+        (1, 12, "start", None, 7), (1, 11, "end", None, 8), (1, 11, "end", None, 9), (1, 12, "finding", "f", 9), (1, 99, "end", None, 9), (1, 99, "finding", "x", 9), (1, 10, "start", None, 10), (1, 12, "finding", "z", 11), (2, 20, "end", None, 0), (2, 20, "start", None, 1),
+    ]
+    rows = spark.createDataFrame([(d, s, op, f, minute(m), i) for i, (d, s, op, f, m) in enumerate(log)], LOG)
+    got = fed(spark, tmp_path, [rows.filter("seq <= 6"), rows.filter("seq between 7 and 9"), rows.filter("seq > 9")], streams.session_state).collect()
+    ends, found = ended_and_found(got)
+    assert ends == {10: (minute(0), minute(3), 1), 11: (minute(5), minute(9), 1)}  # the second end counts, the repeated start of 10 does not
+    assert found == {(10, "f"), (11, "f"), (12, "f"), (12, "z")}  # what comes late, or for another session than the open one, is in none
+
+
+def test_session_state_equals_the_batch_forms(spark, tmp_path):
+    import random
+
+    rng, log, open_ = random.Random(4), [], {}
+    for i in range(400):
+        d = rng.randint(1, 4)
+        op = rng.choices(("start", "finding", "end"), (2, 6, 2))[0]
+        session = i if op == "start" else rng.choice([*open_.get(d, []), 100_000 + d])
+        if op == "start":
+            open_.setdefault(d, []).append(i)
+        log.append((d, session, op, f"f{rng.randint(1, 4)}" if op == "finding" else None, minute(i), i))
+    rows = spark.createDataFrame(log, LOG)
+    ends, found = ended_and_found(fed(spark, tmp_path, [rows.filter(F.col("seq").between(a, a + 99)) for a in (0, 100, 200, 300)], streams.session_state).collect())
+    batch = rows.withColumns({"at": F.col("ts"), "shift_id": F.lit(1)})
+    listed = sessions.from_log(batch).filter("effective_end is not null").collect()
+    assert {s: x[:2] for s, x in ends.items()} == {r.session_id: (r.started_at, r.effective_end) for r in listed}
+    assert found == {(r.session_id, r.finding_id) for r in sessions.findings_of_log(batch).collect()}
+
+
+SNAPSHOTS = f"document string, ts timestamp, seq long, kind string, findings array<struct<{stateful.FINDING.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def shown(rows):
+    return sorted((r.document, r.finding_key, r.line_number) for r in rows if r.finding_key is not None)
+
+
+def test_live_findings_equal_the_latest_of_every_prefix(spark, tmp_path):
+    import random
+
+    rng, log = random.Random(9), []
+    for i in range(60):
+        kind = "close" if rng.random() < 0.2 else "analysis"
+        found = [(f"k{k}", "XSS", "HIGH", 0.9, k, "R") for k in rng.sample(range(6), rng.randint(0, 3))]
+        log.append((f"d{rng.randint(1, 5)}", minute(i), i, kind, None if kind == "close" else found))
+    rows = spark.createDataFrame(log, SNAPSHOTS)
+    parts = [rows.filter(F.col("seq").between(a, a + 14)) for a in (0, 15, 30, 45)]
+    for n in range(1, 5):
+        out = fed(spark, tmp_path, [parts[n - 1]], streams.live_findings)
+        last = sinks.latest(out.withColumn("place", F.struct("at", "seq")), "document", "place", "deleted")
+        last_of, now = {}, []
+        for r in log[: 15 * n]:
+            last_of[r[0]] = r
+        now = sorted((d, f[0], f[4]) for d, r in last_of.items() for f in r[4] or ())
+        assert shown(last.collect()) == now
+    late = spark.createDataFrame([("d1", minute(-5), 0, "analysis", [("old", "XSS", "HIGH", 0.9, 1, "R")])], SNAPSHOTS)
+    fed(spark, tmp_path, [late], streams.live_findings)
+    assert shown(streams.read_live_findings(spark, f"{tmp_path}/cp").collect()) == now  # from the state itself
+
+
+def test_changes_to_live_findings_in_one_query(spark, tmp_path):
+    """Bursts of changes, their scan, and the replacement of a document's rows."""
+    bad, good = "el.innerHTML = userInput;", "el.textContent = userInput;"
+    rows = [change("a.js", 0, "change", bad), change("a.js", 100, "change", bad + "\n" + bad), change("b.js", 0, "save", bad), change("c.js", 0, "save", bad)]
+    more = [change("b.js", 20_000, "save", good), change("c.js", 20_000, "close", None), change("z.js", 40_000, "save", good)]
+    for name, part in (("1", rows), ("2", more), ("3", [change("z.js", 80_000, "save", good)])):
+        spark.createDataFrame(part, CHANGES).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = streams.live_scan(streams.read_changes(spark, f"{tmp_path}/in", CHANGES), {"js": "javascript"}, watermark="1 second")
+        q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
+        assert q.awaitTermination(60) and q.exception() is None, name
+    last = sinks.latest(spark.read.parquet(f"{tmp_path}/out").withColumn("place", F.struct("at", "seq")), "document", "place", "deleted").collect()
+    assert sorted((r.document, r.type, r.line_number) for r in last) == [("a.js", "XSS", 1), ("a.js", "XSS", 2)]
+    found = scan.scan(spark.createDataFrame([("a.js", "javascript", bad + "\n" + bad)], "file_name string, language_id string, text string")).collect()
+    assert {(r.finding_key, r.confidence, r.rule_id) for r in last} == {(r.finding_key, r.confidence, r.rule_id) for r in found}
 
 
 def change(document, ms, kind, text):
