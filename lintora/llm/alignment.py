@@ -271,7 +271,7 @@ class Links:
         a, b = (ids[np.searchsorted(ends, self.ends)].astype(np.int64) for ids, ends in ((self.a, self.ends_a), (self.b, self.ends_b)))
         return a << 32 | b
 
-    def written_out(self, texts: list[str]) -> str:
+    def written_out(self, texts: np.ndarray) -> bytes:
         """`a1,a2|b1;a3|b2,b3;`: texts has those of every id by _id_texts."""
         n = len(texts) // 3
         in_a, in_b = np.searchsorted(self.groups, self.ends_a), np.searchsorted(self.groups, self.ends_b)
@@ -283,12 +283,13 @@ class Links:
         own = self.b.astype(np.int64)
         own[last_b] += 2 * n
         codes[np.arange(len(own)) + (last_a + 1)[in_b]] = own
-        return "".join(map(texts.__getitem__, codes.tolist()))
+        return texts[codes].tobytes().translate(None, b"\0")
 
 
 @lru_cache(maxsize=2)
-def _id_texts(n: int) -> list[str]:
-    return [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+def _id_texts(n: int) -> np.ndarray:
+    """Every id below n in decimal with each of three marks after it, padded with zero bytes."""
+    return np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(n)])
 
 
 def _gathered(batches: Iterable[pa.RecordBatch], most: int = 200_000) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
@@ -396,7 +397,7 @@ def alignment_digests(runs: DataFrame, path_a: str, path_b: str, most_frequent:
                             found = found[~hit]
                         if len(found):
                             rare = [{"pair": p, "k": k} for p, k in zip(*(y.tolist() for y in np.unique(found, return_counts=True)))]
-                        text = x.written_out(texts)[:-1].encode()
+                        text = x.written_out(texts)[:-1]
                         if state[1] is None:
                             state[1] = hashlib.sha256(text)
                         else:
