@@ -63,13 +63,27 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     place = F.pmod(F.xxhash64("doc_id", chars), F.greatest(F.lit(1), chars - 2 * SAMPLE_BYTES + 1)).cast("int") + 1
     drawn = labelled.join(F.broadcast(shares), "lang").withColumn("order", order).filter(F.col("order") < F.col("share") * (1 << 30))
     drawn = drawn.select("order", "lang", F.substring("text", place, F.lit(2 * SAMPLE_BYTES)).alias("text"))
-    samples: dict[str, list[bytes]] = {}
-    for row in drawn.orderBy("order", "text", "lang").limit(2 * want * len(counts)).collect():
-        held = samples.setdefault(row["lang"], [])
-        text = normal(row["text"])[:SAMPLE_BYTES]
-        if text and sum(map(len, held)) < size and text not in held:
-            held.append(text)
-    return {lang: b" ".join(held)[:size] for lang, held in sorted(samples.items()) if held}
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dictionaries():
+            now, held, n = None, [], 0
+            for lang, text in rows_of(batches):
+                if lang != now:
+                    if held:
+                        yield now, b" ".join(held)[:size]
+                    now, held, n = lang, [], 0
+                text = normal(text)[:SAMPLE_BYTES]
+                if text and n < size and text not in held:
+                    held.append(text)
+                    n += len(text)
+            if held:
+                yield now, b" ".join(held)[:size]
+
+        yield from to_batches(dictionaries(), pa.schema([("lang", pa.string()), ("content", pa.binary())]), size=16)
+
+    ordered = drawn.repartition("lang").sortWithinPartitions("lang", "order", "text").select("lang", "text")
+    filled = ordered.mapInArrow(fill, "lang string, content binary").collect()  # no more than TOTAL_BYTES
+    return {r["lang"]: bytes(r["content"]) for r in sorted(filled, key=lambda r: r["lang"])}
 
 
 class Classifier:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lintora.llm.common import discard, rows_of, to_batches, whole_groups, written
 from lintora.llm.components import components
-from lintora.llm.simhash import MAX_BROADCAST_KEYS, SEGMENTS, busy_keys, codeword
+from lintora.llm.simhash import MAX_BROADCAST_KEYS, SEGMENTS, codeword, hot_keys
 
 WIDTH, SIMILARITY = 5, 0.8
 WIDE, TABLES = 256, 2
@@ -154,14 +154,15 @@ def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.record_batch([pa.array(key), *[pa.array(p[at][row]) for p in prints]], names=["key", *WORDS])
 
 
-def _hot(nodes: DataFrame, block: int) -> DataFrame:
-    """Keys of more than `block` rows with the number of parts they are dealt to."""
+def _keys_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for prints in _columns(batch):
+        yield from ((0, keys(fp, table)[1]) for table, fp in enumerate(prints))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from busy_keys(batches, lambda b: ((0, keys(fp, t)[1]) for prints in _columns(b, b.num_rows) for t, fp in enumerate(prints)))
 
-    counts = nodes.select(*WORDS).mapInArrow(run, "key long, role byte, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return written(counts.filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-keys")
+def _hot(nodes: DataFrame, block: int) -> DataFrame:
+    """Keys of more than `block` rows with the number of parts they are dealt to."""
+    counts = hot_keys(nodes.select(*WORDS), _keys_of, (block, block), 170 * nodes.count())
+    return written(counts.select("key", F.ceil(F.col("n0") / block).cast("int").alias("parts")), "hot-keys")
 
 
 def _dealt(rows: DataFrame, hot: DataFrame, n_hot: int, *by: str) -> DataFrame:

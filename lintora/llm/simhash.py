@@ -36,8 +36,10 @@ GOLAY = 0b110001110101
 BLOCK = 4096
 #: Most keys with more rows than that which are broadcast; more are joined by shuffle.
 MAX_BROADCAST_KEYS = 200_000
-#: Rows of a key in one batch of a task from which the key is counted at all.
-LOCAL = 16
+#: Rows of the index that are compared with a block of probes at a time.
+STRIPE = 1024
+#: Most slots of keys that are told to every executor when their keys are counted.
+MAX_SLOTS = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -143,22 +145,27 @@ def keys(fps: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def _forest(index: np.ndarray, probes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect what pairs of index and probes at a distance of
-    MAX_DISTANCE or less connect; no more edges than rows in a block."""
-    index = np.unique(index)
+    MAX_DISTANCE or less connect; no more edges than rows in two blocks, which
+    also bound the memory."""
+    whole = np.unique(index)
     for at in range(0, len(probes), BLOCK):
         block = np.unique(probes[at : at + BLOCK])
-        linked = np.bitwise_count((index[:, None] ^ block).view(np.uint64)) <= MAX_DISTANCE
-        linked_rows = linked.any(1)
-        label = np.where(linked_rows, np.arange(len(index)), len(index))
-        while True:
-            low = np.where(linked, label[:, None], len(index)).min(0)
-            new = np.minimum(label, np.where(linked, low, len(index)).min(1))
-            if (new == label).all():
-                break
-            label = new
-        for nodes, roots in ((index[linked_rows], index[label[linked_rows]]), (block[linked.any(0)], index[low[linked.any(0)]])):
-            keep = nodes != roots
-            yield nodes[keep], roots[keep]
+        for first in range(0, len(whole), STRIPE):
+            index = whole[first : first + STRIPE]
+            linked = np.bitwise_count((index[:, None] ^ block).view(np.uint64)) <= MAX_DISTANCE
+            linked_rows = linked.any(1)
+            if not linked_rows.any():
+                continue
+            label = np.where(linked_rows, np.arange(len(index)), len(index))
+            while True:
+                low = np.where(linked, label[:, None], len(index)).min(0)
+                new = np.minimum(label, np.where(linked, low, len(index)).min(1))
+                if (new == label).all():
+                    break
+                label = new
+            for nodes, roots in ((index[linked_rows], index[label[linked_rows]]), (block[linked.any(0)], index[low[linked.any(0)]])):
+                keep = nodes != roots
+                yield nodes[keep], roots[keep]
 
 
 def _bucket_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,22 +208,55 @@ def _keyed(fps: DataFrame, roles: tuple[int, ...]) -> DataFrame:
     return fps.mapInArrow(run, "key long, role byte, fp long")
 
 
-def busy_keys(batches: Iterable[pa.RecordBatch], keys_of, least: int = LOCAL) -> Iterator[pa.RecordBatch]:
-    """key, role, n: keys that a task has `least` times or more. A bucket of many
-    rows has such keys unless each task holds under `least` of them."""
-    for batch in batches:
-        for role, key in keys_of(batch):
-            found, n = np.unique(key, return_counts=True)
-            keep = n >= least
-            if keep.any():
-                yield pa.record_batch([pa.array(found[keep]), pa.array(np.full(keep.sum(), role, np.int8)), pa.array(n[keep])], names=["key", "role", "n"])
+def _slot(keys: np.ndarray, n_slots: int) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(n_slots)
 
 
-def _busy(fps: DataFrame) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from busy_keys(batches, lambda b: ((role, keys(b.column(0).to_numpy().astype(np.int64), bool(role))[1]) for role in (0, 1)))
+def hot_keys(rows: DataFrame, keys_of, most: tuple[int, int], n_keys: int) -> DataFrame:
+    """key, n0, n1: exact numbers of rows by role of the keys that have more than
+    most[role] in a role; keys_of gives (role, keys) of an Arrow batch of rows.
+
+    Keys are first counted by slots, of which there are enough for n_keys rows to
+    fill each to a quarter of the bound (four million at most). A slot within the
+    bounds holds no such key; of the others the keys are counted one by one. So
+    none is missed, however thinly its rows are spread over the tasks."""
+    n_slots = 1 << min(22, max(12, (4 * n_keys // most[0]).bit_length()))
+
+    def by_slot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, n_slots), np.int64)
+        for batch in batches:
+            for role, found in keys_of(batch):
+                slots, n = np.unique(_slot(found, n_slots), return_counts=True)
+                held[role, slots.astype(np.int64)] += n
+        some = np.flatnonzero(held.any(0))
+        for at in range(0, len(some), 65_536):
+            part = some[at : at + 65_536]
+            yield pa.record_batch([pa.array(part), *[pa.array(held[r, part]) for r in (0, 1)]], names=["slot", "n0", "n1"])
+
+    sums = [F.sum(f"n{r}").alias(f"n{r}") for r in (0, 1)]
+    over = (F.col("n0") > most[0]) | (F.col("n1") > most[1])
+    slots = written(rows.mapInArrow(by_slot, "slot long, n0 long, n1 long").groupBy("slot").agg(*sums).filter(over).select("slot"), "hot-slots")
+    told = np.sort(slots.toArrow()["slot"].to_numpy()) if slots.count() <= MAX_SLOTS else None
+    known = rows.sparkSession.sparkContext.broadcast(told)
+
+    def by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = known.value
+        for batch in batches:
+            for role, found in keys_of(batch):
+                keys, n = np.unique(found if told is None else found[np.isin(_slot(found, n_slots).astype(np.int64), told)], return_counts=True)
+                if len(keys):
+                    counts = (n, np.zeros(len(n), np.int64))
+                    yield pa.record_batch([pa.array(keys), pa.array(counts[role]), pa.array(counts[1 - role])], names=["key", "n0", "n1"])
+
+    if told is not None and not len(told):
+        return rows.sparkSession.createDataFrame([], "key long, n0 long, n1 long")
+    return rows.mapInArrow(by_key, "key long, n0 long, n1 long").groupBy("key").agg(*sums).filter(over)
+
 
-    return fps.mapInArrow(run, "key long, role byte, n long")
+def _keys_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for start in range(0, batch.num_rows, 4096):
+        values = batch.column(0).slice(start, 4096).to_numpy().astype(np.int64)
+        yield from ((role, keys(values, bool(role))[1]) for role in (0, 1))
 
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -224,9 +264,9 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     enough to connect what pairs at MAX_DISTANCE or less connect. A bucket of
     more than `block` index rows, or 16 times as many probes, is dealt out: each
     part of its index rows meets each part of its probes."""
-    counts = _busy(fps).groupBy("key").agg(*[F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(f"n{r}") for r in (0, 1)])
+    counts = hot_keys(fps, _keys_of, (block, 16 * block), 7 * fps.count())
     parts = [F.ceil(F.greatest(F.col(f"n{r}"), F.lit(1)) / F.lit(block * (16 if r else 1))).cast("int").alias(f"parts{r}") for r in (0, 1)]
-    hot = written(counts.filter((F.col("n0") > block) | (F.col("n1") > 16 * block)).select("key", *parts), "hot-keys")
+    hot = written(counts.select("key", *parts), "hot-keys")
     rows, n_hot = _keyed(fps, (0, 1)), hot.count()
     if n_hot:
         parts = [F.coalesce(f"parts{r}", F.lit(1)) for r in (0, 1)]

@@ -87,6 +87,31 @@ def test_links_connect_as_all_pairs_do(spark, block):
     assert unsigned == groups(want)
 
 
+def test_hot_keys_are_counted_though_each_task_has_few_rows(spark):
+    """One key with 12 rows in each of 60 tasks, another with few in all."""
+    import pyspark.sql.functions as F
+
+    rows = spark.range(60 * 500, numPartitions=60).select(F.when(F.col("id") % 500 < 12, 7).when(F.col("id") % 500 == 12, 8).otherwise(F.col("id") + 1000).alias("k"))
+    of = lambda batch: [(0, batch.column(0).to_numpy().astype(np.int64)), (1, batch.column(0).to_numpy().astype(np.int64)[:4])]
+    got = simhash.hot_keys(rows, of, (100, 1000), 30_000).collect()
+    assert [tuple(r) for r in got] == [(7, 720, 240)]
+    assert [tuple(r) for r in simhash.hot_keys(rows, of, (10_000, 239), 30_000).collect()] == [(7, 720, 240)]
+    assert simhash.hot_keys(rows, of, (1000, 1000), 30_000).collect() == []
+
+
+def test_memory_of_a_bucket_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    index, probes = rng.integers(-(1 << 62), 1 << 62, 40_000), rng.integers(-(1 << 62), 1 << 62, 9_000)
+    index[5:10] = probes[:5] ^ 3
+    tracemalloc.start()
+    edges = {frozenset(x) for u, v in simhash._forest(index, probes) for x in zip(u.tolist(), v.tolist())}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert edges == {frozenset((int(a), int(b))) for a, b in zip(index[5:10], probes[:5])} and peak < 150 << 20
+
+
 def test_components_of_chains_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
