@@ -95,6 +95,16 @@ def finding_key(file_name: Column, line: Column, kind: Column, rule: Column) ->
     return F.sha2(F.concat_ws("|", file_name, line.cast("string"), kind, rule), 256)
 
 
+def prefixed_id(prefix: str | Column, *of: Column) -> Column:
+    """An id such as proj-1a2b3c4d5e6f that follows from what it is of, so that
+    running again gives the same and two in the same moment differ."""
+    return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.left(F.sha2(F.concat_ws("|", *of), 256), F.lit(12)))
+
+
+def user_id(role: Column, name: Column) -> Column:
+    return prefixed_id(F.concat(F.lit("user-"), F.left(role, F.lit(3)), F.lit("-")), name)
+
+
 def diagnostic_level(severity: Column) -> Column:
     return F.when(severity.isin("CRITICAL", "HIGH"), "Error").when(severity == "MEDIUM", "Warning").when(severity == "LOW", "Information").otherwise("Hint")
 

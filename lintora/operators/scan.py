@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lintora.functions import scalars as S
 from lintora.operators.rules import RULES, Pattern, Rule
+from lintora.settings import Settings
 
 _BLANKS = r"^\s+|\s+$"
 #: Elements of an array that are summed one by one; whole blocks are summed once.
@@ -247,6 +248,18 @@ def scan_rows(docs: DataFrame, columns: Sequence[str], rules: Sequence[Rule] = R
     return _matches(docs, kept, rules, True, False).select("document", "ts", "seq", "kind", F.transform("hits", finding).alias("findings"))
 
 
+def under(settings: Settings, docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The scan as a session has set it: nothing where it is switched off, and no
+    findings below its least confidence."""
+    return scan(docs, rules, settings.enabled).filter(F.col("confidence") >= settings.min_confidence)
+
+
+def by_entry(spark: SparkSession, findings: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The catalogue, each entry with what it has found: n_findings, n_files."""
+    found = findings.groupBy("rule_id", "pattern_id").agg(F.count("*").alias("n_findings"), F.count_distinct("file_name").alias("n_files"))
+    return F.broadcast(catalogue(spark, rules)).join(found, ["rule_id", "pattern_id"], "left").fillna(0, ["n_findings", "n_files"])
+
+
 def severity_order() -> list[Column]:
     """Findings by severity and line; ties in the order in which rules emit them."""
     return [S.severity_rank(F.col("severity")), F.col("line_number"), F.col("rule_index"), F.col("pattern_index"), F.col("range_start")]

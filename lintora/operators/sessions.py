@@ -17,22 +17,30 @@ def _counter(kind: str) -> str:
     return f"t_{kind.lower()}"
 
 
-def summaries(sessions: DataFrame, findings: DataFrame, now: Column) -> DataFrame:
+def summaries(sessions: DataFrame, findings: DataFrame, now: Column, with_files: bool = True) -> DataFrame:
     """One row for each session, empty ones too: counts, by_type (a map), files
     in the order first seen, minutes, score, trend. Unknown severities count as
-    info. The findings are aggregated once, by session and file, and these few
-    rows by session."""
+    info.
+
+    The counts are one aggregation by session; the files are a narrow one of
+    their own, by session and file and then by session, which with_files=False
+    leaves out. Each is partial before it is shuffled, so that a session of very
+    many findings is in no single task."""
     types = [F.count_if(F.col("vuln_type") == t).alias(_counter(t)) for t in VULNERABILITY_TYPES]
-    files = findings.groupBy("session_id", S.basename(F.col("file_name")).alias("file")).agg(F.count("*").alias("total"), *severity_counts(), *types, F.min(F.struct("position", "part", "supplier")).alias("at"))
-    numbers = [c for c in files.columns if c not in ("session_id", "file", "at")]
-    counts = files.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in numbers], F.array_sort(F.collect_list(F.struct("at", "file"))).alias("f"))
+    counts = findings.groupBy("session_id").agg(F.count("*").alias("total"), *severity_counts(), *types)
+    numbers = [c for c in counts.columns if c != "session_id"]
     rows = sessions.join(counts, "session_id", "left").fillna(0, numbers)
+    none = F.array().cast("array<string>")
+    if with_files:
+        seen = findings.groupBy("session_id", S.basename(F.col("file_name")).alias("file")).agg(F.min(F.struct("position", "part", "supplier")).alias("at"))
+        rows = rows.join(seen.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "file"))).alias("f")), "session_id", "left")
+        none = F.coalesce(F.transform("f", lambda x: x["file"]), none)
     score = S.shift_score(*[F.col(f"n_{s.lower()}") for s in S.SEVERITIES[:4]])
     by_type = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("type"), F.col(_counter(t)).alias("n")) for t in VULNERABILITY_TYPES]), lambda x: x["n"] > 0))
     return rows.select(
         "session_id", "developer_id", "shift_id", "started_at", "ended_at", *numbers,
         (F.col("total") - F.col("n_critical") - F.col("n_high") - F.col("n_medium") - F.col("n_low")).alias("n_info"), by_type.alias("by_type"),
-        F.coalesce(F.transform("f", lambda x: x["file"]), F.array().cast("array<string>")).alias("files"),
+        none.alias("files"),
         S.minutes_between(F.col("started_at"), F.col("ended_at"), now).alias("minutes"),
         score.alias("score"), S.trend(score).alias("trend"),
     )
@@ -134,6 +142,11 @@ def completed_reports(summary: DataFrame) -> DataFrame:
     return summary.filter("ended_at is not null")
 
 
+def shifts_of(shifts: DataFrame, project_id=None) -> DataFrame:
+    """Shifts of a project; of all if it is null or empty."""
+    return shifts if project_id in (None, "") else shifts.filter(F.col("project_id") == project_id)
+
+
 def of_shifts(sessions: DataFrame, shifts: DataFrame, project_id: Column | None = None) -> DataFrame:
     """Sessions of the shifts, of one project's if it is given."""
     if project_id is not None:

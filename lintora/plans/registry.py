@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lintora import settings
 from lintora.functions import scalars as S
-from lintora.operators import commands, dashboards, explain, learning, rules, scan, sessions
+from lintora.operators import code_rules, commands, dashboards, explain, learning, rules, scan, sessions
 from lintora.plans import duck as D
+from lintora.sources import sinks
 from lintora.sources import tables as T
 from lintora.streaming import streams
 
@@ -68,7 +69,7 @@ def type_breakdown_pct(spark, sf):
 
 @_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + "SELECT trend, count(*) AS n FROM summaries WHERE total > 0 GROUP BY trend")
 def score_bands(spark, sf):
-    found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now())
+    found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now(), with_files=False)
     return found.filter("total > 0").groupBy("trend").agg(F.count("*").alias("n"))
 
 
@@ -183,7 +184,7 @@ _ADVICE = dict(sessions.ADVICE)
 
 @_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + "SELECT session_id, coalesce(nullif(concat_ws('|', " + ", ".join(f"CASE WHEN {t} THEN '{_ADVICE[k]}' END" for k, t in _TESTS.items()) + f"), ''), '{_ADVICE['other']}') AS recommendations FROM summaries")
 def session_recommendations(spark, sf):
-    found = sessions.recommendations(sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now()))
+    found = sessions.recommendations(sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now(), with_files=False))
     return found.select("session_id", F.array_join("recommendations", "|").alias("recommendations"))
 
 
@@ -249,6 +250,22 @@ def session_log_fold(spark, sf):
     return found.select("session_id", "developer_id", *[F.unix_millis(c).alias(n) for c, n in (("started_at", "started_ms"), ("ended_at", "ended_ms"), ("effective_end", "effective_ms"))])
 
 
+_LATE = """l AS (SELECT session_id, started_at, ended_at, session_id * 100 AS first_seq, lead(started_at) OVER w AS next_at, lead(session_id * 100) OVER w AS next_seq FROM sessions WINDOW w AS (PARTITION BY developer_id ORDER BY started_at, session_id)),
+f AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS session_id, 'f' || l_partkey % 3 AS finding_id, started_at + to_minutes(CAST((l_linenumber * 131) % 700 AS BIGINT)) AS "at", l_orderkey * 100 + 10 + l_linenumber AS seq FROM lineitem JOIN sessions ON l_orderkey = session_id)"""
+
+
+@_query(D.with_(D.SESSIONS, _LATE) + "SELECT session_id, finding_id, epoch_ms(min(\"at\")) AS added_ms FROM f JOIN l USING (session_id) WHERE (\"at\" > started_at OR \"at\" = started_at AND seq > first_seq) AND (ended_at IS NULL OR \"at\" < ended_at OR \"at\" = ended_at AND seq < session_id * 100 + 1) AND (next_at IS NULL OR \"at\" < next_at OR \"at\" = next_at AND seq < next_seq) GROUP BY ALL")
+def session_findings_of_log(spark, sf):
+    """Findings that are added to open sessions; a part of the log's findings
+    come after the end, again, or for sessions that never began."""
+    log = _session_log(spark, sf).withColumns({"seq": F.col("session_id") % 1000000000 * 100 + F.col("seq") % 10, "finding_id": F.lit(None).cast("string")})
+    late = T.table(spark, sf, "lineitem").join(T.sessions(spark, sf), F.col("l_orderkey") == F.col("session_id"))
+    at = F.timestamp_seconds(F.unix_seconds("started_at") + F.col("l_linenumber") * 131 % 700 * 60)
+    session = F.when(F.col("l_partkey") % 50 == 0, F.col("session_id") + 1000000000).otherwise(F.col("session_id"))
+    found = late.select(session.alias("session_id"), "developer_id", "shift_id", F.lit("finding").alias("op"), at.alias("at"), (F.col("l_orderkey") * 100 + 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string")).alias("finding_id"))
+    return sessions.findings_of_log(log.unionByName(found)).select("session_id", "finding_id", F.unix_millis("at").alias("added_ms"))
+
+
 @_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT h.shift_id, h.name, CASE WHEN count(s.ended_at) >= len(assigned) AND count(s.ended_at) > 0 THEN 'completed' WHEN count(s.session_id) > 0 THEN 'active' ELSE status END AS status FROM shifts h LEFT JOIN sessions s USING (shift_id) GROUP BY h.shift_id, h.name, h.status, assigned")
 def shift_states(spark, sf):
     return sessions.shift_states(T.shifts(spark, sf), T.sessions(spark, sf))
@@ -257,7 +274,7 @@ def shift_states(spark, sf):
 @_query(D.with_(D.SESSIONS, D.SESSION_FINDINGS, D.SUMMARIES) + "SELECT session_id, total, score FROM summaries WHERE ended_at IS NOT NULL ORDER BY session_id LIMIT 20")
 def completed_reports(spark, sf):
     """The first 20 reports in the order in which they came."""
-    found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now())
+    found = sessions.summaries(T.sessions(spark, sf), T.session_findings(spark, sf), _now(), with_files=False)
     return sessions.completed_reports(found).orderBy("session_id").limit(20).select("session_id", "total", "score")
 
 
@@ -267,10 +284,10 @@ def sessions_of_shifts(spark, sf):
     return sessions.of_shifts(T.sessions(spark, sf), T.shifts(spark, sf)).select("project_id", "shift_id", "session_id")
 
 
-@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT s.shift_id, s.session_id FROM sessions s JOIN shifts h USING (shift_id) WHERE project_id = 3")
+@_query(D.with_(D.SHIFTS, D.SESSIONS) + "SELECT s.shift_id, s.session_id FROM sessions s JOIN shifts h USING (shift_id) WHERE project_id = 8")
 def sessions_of_project(spark, sf):
     """Sessions of the shifts of one project."""
-    return sessions.of_shifts(T.sessions(spark, sf), T.shifts(spark, sf), F.lit(3)).select("shift_id", "session_id")
+    return sessions.of_shifts(T.sessions(spark, sf), T.shifts(spark, sf), F.lit(8)).select("shift_id", "session_id")
 
 
 # ---- learning ----
@@ -351,6 +368,67 @@ def snippet_hash(spark, sf):
     return _events(spark, sf).select("seq", "snippet_hash")
 
 
+def _halves(spark, sf):
+    """The events until the middle of their time, and the later ones."""
+    e = _events(spark, sf)
+    middle = e.agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2)).alias("m")).first()["m"]
+    later = F.col("ts").cast("timestamp") > F.lit(middle)
+    return e.filter(~later), e.filter(later)
+
+
+def _resumed(spark, sf, window=learning.HASH_WINDOW):
+    first, then = _halves(spark, sf)
+    return learning.profile(then, learning.profile(first, window=window), window)
+
+
+@_query(D.with_(D.FINDINGS, D.BY_TYPE) + "SELECT * REPLACE (epoch_us(first_seen) // 1000 AS first_seen, epoch_us(last_seen) // 1000 AS last_seen), false_positives >= 3 AS suppressed FROM by_type")
+def resumed_counters(spark, sf):
+    """Counters of the later events, added to a profile of the earlier ones."""
+    counts = [F.get("counts", i).alias(c) for i, c in enumerate(learning.COUNTS)]
+    ms = [F.unix_millis(F.col(c).cast("timestamp")).alias(c) for c in ("first_seen", "last_seen")]
+    rows = _resumed(spark, sf).filter("part = 'type'").select("developer_id", "vuln_type", *counts, *ms)
+    return rows.withColumn("suppressed", F.col("false_positives") >= learning.SUPPRESS_AFTER)
+
+
+@_query(D.with_(D.FINDINGS, D.ADJUSTED) + "SELECT * FROM adjusted")
+def resumed_confidence(spark, sf):
+    """The fold of the later actions, from the confidences of the earlier ones."""
+    return _resumed(spark, sf).filter("part = 'rule'").select("developer_id", "vuln_type", "rule_id", "adjusted_confidence", "n_actions")
+
+
+@_query(D.with_(D.FINDINGS, D.hashes(5)) + "SELECT developer_id, array_to_string(hashes, ',') AS hashes FROM hashes")
+def resumed_fp_window(spark, sf):
+    """The window of the later false positives, from that of the earlier ones."""
+    return _resumed(spark, sf, 5).filter("part = 'hashes'").select("developer_id", F.array_join("hashes", ",").alias("hashes"))
+
+
+_PASSES = """f AS (SELECT DISTINCT file_name AS document, seq // 200 AS pass, vuln_type || ':' || line_number AS finding_key FROM findings),
+o AS (SELECT *, lag(pass) OVER w AS before, lead(pass) OVER w AS after FROM (SELECT DISTINCT document, pass FROM f) WINDOW w AS (PARTITION BY document ORDER BY pass)),
+diff AS (
+  SELECT f.document, f.pass, f.finding_key, CASE WHEN b.pass IS NULL THEN 'new' ELSE 'still' END AS status FROM f JOIN o USING (document, pass) LEFT JOIN f b ON b.document = f.document AND b.finding_key = f.finding_key AND b.pass = o.before
+  UNION ALL SELECT f.document, o.after, f.finding_key, 'gone' FROM f JOIN o USING (document, pass) LEFT JOIN f a ON a.document = f.document AND a.finding_key = f.finding_key AND a.pass = o.after WHERE o.after IS NOT NULL AND a.pass IS NULL)"""
+
+
+def _differences(spark, sf):
+    """Every 200 events of a file count as one analysis of it."""
+    found = T.findings(spark, sf).select(F.col("file_name").alias("document"), F.floor(F.col("seq") / 200).alias("pass"), F.concat_ws(":", "vuln_type", F.col("line_number").cast("string")).alias("finding_key"))
+    return learning.pass_differences(found, found)
+
+
+@_query(D.with_(D.FINDINGS, _PASSES) + "SELECT document, pass, finding_key, status FROM diff")
+def pass_differences(spark, sf):
+    """What is new, still there, and gone in each analysis of a file."""
+    return _differences(spark, sf)
+
+
+@_query(D.with_(D.FINDINGS, _PASSES) + "SELECT document, count(*) AS n_reference, count(DISTINCT finding_key) AS n_dedup FROM f GROUP BY document")
+def detections_by_mode(spark, sf):
+    """Detections of each file when every pass counts, and when each finding does once."""
+    diff = _differences(spark, sf)
+    count = lambda mode: learning.detection_events(diff, mode).groupBy("document").agg(F.count("*").alias(f"n_{mode}"))
+    return count("reference").join(count("dedup"), "document")
+
+
 # ---- the scan ----
 
 _SCANNED = ["finding_key", "file_name", "language_id", "type", "severity", "confidence", "message", "line_number", "column_number", "code_snippet", "rule_id", "pattern_id", "range_start", "range_end"]
@@ -384,9 +462,54 @@ def scan_all(spark, sf):
     return _scan(spark, sf).select(*_SCANNED)
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.name}', '{r.type}', '{p.id}', {j}, {p.base}::DOUBLE, '{','.join(r.languages)}', {len(p.keywords)})" for r in rules.RULES for j, p in enumerate(r.patterns)) + ") t(rule_id, rule_name, type, pattern_id, pattern_index, base, languages, n_keywords)")
+_CATALOGUE = "catalogue(rule_id, rule_name, type, pattern_id, pattern_index, base, languages, n_keywords) AS (VALUES " + ", ".join(f"('{r.id}', '{r.name}', '{r.type}', '{p.id}', {j}, {p.base}::DOUBLE, '{','.join(r.languages)}', {len(p.keywords)})" for r in rules.RULES for j, p in enumerate(r.patterns)) + ")"
+
+
+@_query(_scan_sql() + f", {_CATALOGUE} SELECT c.*, count(f.finding_key) AS n_findings, count(DISTINCT f.file_name) AS n_files FROM catalogue c LEFT JOIN findings f USING (rule_id, pattern_id) GROUP BY ALL")
 def rule_catalog(spark, sf):
-    return scan.catalogue(spark)
+    """Every rule and pattern with what it finds in all files."""
+    return scan.by_entry(spark, _scan(spark, sf))
+
+
+@_query(_scan_sql() + "SELECT finding_key, file_name, confidence FROM findings WHERE confidence >= 0.9")
+def findings_under_settings(spark, sf):
+    """The scan under a session's settings, here a higher least confidence."""
+    return scan.under(settings.Settings(min_confidence=0.9), T.code_corpus(spark, sf)).select("finding_key", "file_name", "confidence")
+
+
+def _odd_quotes(text: str, file_name: str, language_id: str):
+    for n, line in enumerate(text.split("\n"), 1):
+        if line.count('"') % 2:
+            yield {"line_number": n, "code_snippet": line.strip(), "message": "A quotation mark is left open."}
+
+
+def _calls(text: str, file_name: str, language_id: str):
+    for n, line in enumerate(text.split("\n"), 1):
+        at = line.find("execute(")
+        if at >= 0:
+            yield {"line_number": n, "column_number": at, "code_snippet": line.strip(), "message": "A statement is executed.", "confidence": 0.65, "severity": "LOW"}
+
+
+def _lines(text: str, file_name: str, language_id: str):
+    n = text.count("\n") + 1
+    if language_id == "rust":
+        raise ValueError(f"no lines of {language_id}")
+    if n > 2:
+        yield {"line_number": n, "code_snippet": text.split("\n")[-1].strip(), "message": "The file has several lines."}
+
+
+_CODE_RULES = (code_rules.CodeRule("LINT-CODE-001", "Open quotation", "MISSING_INPUT_VALIDATION", (), _odd_quotes), code_rules.CodeRule("LINT-CODE-002", "Lines", "INSECURE_AUTH", (), _lines), code_rules.CodeRule("LINT-CODE-003", "Executed", "COMMAND_INJECTION", ("python",), _calls))
+
+
+@_query(_scan_sql() + """, lines AS (SELECT file_name, language_id, len(string_split(text, chr(10))) AS n_lines, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS n FROM docs)
+SELECT file_name, rule_id, type, severity, confidence, line_number, column_number, code_snippet, NULL::VARCHAR AS error FROM findings
+UNION ALL SELECT file_name, 'LINT-CODE-001', 'MISSING_INPUT_VALIDATION', 'HIGH', 0.8::DOUBLE, n, 0, trim(line), NULL FROM lines WHERE (length(line) - length(replace(line, '"', ''))) % 2 = 1
+UNION ALL SELECT file_name, 'LINT-CODE-002', 'INSECURE_AUTH', 'HIGH', 0.8::DOUBLE, n, 0, trim(line), NULL FROM lines WHERE n = n_lines AND n > 2 AND language_id <> 'rust'
+UNION ALL SELECT file_name, 'LINT-CODE-003', 'COMMAND_INJECTION', 'LOW', 0.65::DOUBLE, n, CAST(position('execute(' IN line) - 1 AS INTEGER), trim(line), NULL FROM lines WHERE contains(line, 'execute(') AND language_id = 'python'
+UNION ALL SELECT DISTINCT file_name, 'LINT-CODE-002', 'INSECURE_AUTH', NULL, NULL::DOUBLE, NULL::INTEGER, NULL::INTEGER, NULL, 'ValueError: no lines of rust' FROM docs WHERE language_id = 'rust'""")
+def code_and_pattern_rules(spark, sf):
+    """Rules of both kinds, one of which raises on some files."""
+    return code_rules.scan(T.code_corpus(spark, sf), _CODE_RULES).select("file_name", "rule_id", "type", "severity", "confidence", "line_number", "column_number", "code_snippet", "error")
 
 
 @_query(_scan_sql() + "SELECT file_name, pattern_id, range_start, CAST(coalesce(boost, 0) AS INTEGER) AS boost FROM live WHERE len(keywords) > 0")
@@ -405,12 +528,12 @@ def finding_positions(spark, sf):
     return scan.raw_matches(T.code_corpus(spark, sf)).select("file_name", "rule_index", "pattern_index", "range_start", "range_end", "line_number", "column_number")
 
 
-@_query(_scan_sql((rules.SQL,)) + "SELECT count(*) AS n_raw, (SELECT count(*) FROM live) AS n_live, (SELECT count(*) FROM findings) AS n_findings FROM lined")
+@_query(_scan_sql() + "SELECT CAST(rule_index AS INTEGER) AS rule_index, count(*) AS n_raw, (SELECT count(*) FROM live WHERE live.rule_index = lined.rule_index) AS n_live, (SELECT count(*) FROM findings WHERE findings.rule_index = lined.rule_index) AS n_findings FROM lined GROUP BY rule_index")
 def comment_filter_and_line_dedup(spark, sf):
-    """How many matches are left outside comments, and one for each line."""
-    hits = scan.raw_matches(T.code_corpus(spark, sf), (rules.SQL,))
+    """How many matches of each rule are left outside comments, and one for each line."""
+    hits = scan.raw_matches(T.code_corpus(spark, sf))
     live = ~F.col("comment")
-    return hits.agg(F.count("*").alias("n_raw"), F.count_if(live).alias("n_live"), F.count_distinct(F.when(live, F.struct("file_name", "line_number"))).alias("n_findings"))
+    return hits.groupBy("rule_index").agg(F.count("*").alias("n_raw"), F.count_if(live).alias("n_live"), F.count_distinct(F.when(live, F.struct("file_name", "line_number"))).alias("n_findings"))
 
 
 _RANKED = f", ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_name ORDER BY {_RANK}, line_number, rule_index, pattern_index, range_start) AS INTEGER) AS position FROM findings)"
@@ -476,9 +599,9 @@ def hover(spark, sf):
 _META = "meta(type, title, description, recommendation) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in explain.METADATA) + ")"
 
 
-@_query(D.with_(D.DOCS, scan.sql((rules.SQL, rules.XSS)).strip(), _META) + "SELECT finding_key, coalesce(title, replace(type, '_', ' ')) AS title, coalesce(description, message) AS description, coalesce(recommendation, 'Follow secure coding practice.') AS recommendation FROM findings LEFT JOIN meta USING (type)")
+@_query(_scan_sql().rstrip() + ", " + _META + " SELECT finding_key, coalesce(title, replace(type, '_', ' ')) AS title, coalesce(description, message) AS description, coalesce(recommendation, 'Follow secure coding practice.') AS recommendation FROM findings LEFT JOIN meta USING (type)")
 def metadata_join(spark, sf):
-    return explain.with_metadata(_scan(spark, sf, (rules.SQL, rules.XSS))).select("finding_key", "title", "description", "recommendation")
+    return explain.with_metadata(_scan(spark, sf)).select("finding_key", "title", "description", "recommendation")
 
 
 _SLUG = "CASE type WHEN 'SQL_INJECTION' THEN 'SQL_Injection' WHEN 'XSS' THEN 'Cross_Site_Scripting_(XSS)' WHEN 'HARDCODED_SECRET' THEN 'Use_of_Hard-coded_Cryptographic_Key' ELSE type END"
@@ -576,11 +699,6 @@ def learning_kinds(spark, sf):
     return learning.events_of_actions(actions).select("seq", "kind", "snippet_hash")
 
 
-@_query("SELECT * FROM (VALUES ('enabled', 'true'), ('debounce_ms', '400'), ('backend_url', 'http://localhost:3000'), ('developer_id', 'DEV001'), ('enable_ai', 'false'), ('ife_url', 'http://localhost:4000'), ('min_confidence', '0.7')) t(name, value)")
-def default_settings(spark, sf):
-    return settings.as_table(spark, settings.Settings())
-
-
 @_query(D.with_(D.FINDINGS) + "SELECT seq, vuln_type, severity FROM findings ORDER BY seq LIMIT 8")
 def first_findings(spark, sf):
     return T.findings(spark, sf).orderBy("seq").limit(8).select("seq", "vuln_type", "severity")
@@ -616,6 +734,40 @@ def once_for_each_file(spark, sf):
     return streams.without_repeats(rows).select(F.col("session_id").alias("developer_id"), F.col("finding_id").alias("file_name"))
 
 
+@_query(D.with_(D.FINDINGS) + "SELECT developer_id, seq, vuln_type FROM (SELECT *, kind = 'IGNORED' AS deleted FROM findings QUALIFY row_number() OVER (PARTITION BY developer_id ORDER BY ts DESC, seq DESC) = 1) WHERE NOT deleted")
+def live_after_closings(spark, sf):
+    """What the last analysis of each document (here: of each developer) found,
+    unless it was closed since (here: an ignored finding)."""
+    rows = T.findings(spark, sf).select("developer_id", "seq", "vuln_type", F.struct("ts", "seq").alias("at"), (F.col("kind") == "IGNORED").alias("deleted"))
+    return sinks.latest(rows, "developer_id", "at", "deleted").select("developer_id", "seq", "vuln_type")
+
+
+@_query(D.with_(D.SHIFTS) + "SELECT shift_id, array_to_string(CASE WHEN shift_id % 3 = 0 THEN [shift_id * 7, shift_id * 7 + 1] WHEN shift_id % 5 = 0 THEN [] ELSE assigned END, ',') AS ids, array_to_string(list_transform(CASE WHEN shift_id % 3 = 0 THEN [shift_id * 7, shift_id * 7 + 1] WHEN shift_id % 5 = 0 THEN [] ELSE assigned END, lambda x: 'dev' || x), ',') AS names FROM shifts WHERE shift_id % 11 <> 0")
+def shift_assignments(spark, sf):
+    """Both arrays of a shift's developers, replaced together by the last change."""
+    s = T.shifts(spark, sf)
+    names = lambda ids: F.transform(ids, lambda x: F.concat(F.lit("dev"), x.cast("string")))
+
+    def said(df, seq, op, ids):
+        return df.select("shift_id", F.lit(seq).alias("seq"), F.lit(op).alias("op"), ids.alias("ids"), names(ids).alias("names"))
+
+    pair, none = F.array(F.col("shift_id") * 7, F.col("shift_id") * 7 + 1), F.array().cast("array<bigint>")
+    log = said(s, 1, "create", F.col("assigned")).unionByName(said(s.filter("shift_id % 3 = 0 or shift_id % 5 = 0"), 2, "update", none)).unionByName(said(s.filter("shift_id % 3 = 0"), 3, "update", pair))
+    log = log.unionByName(said(s.filter("shift_id % 11 = 0"), 4, "delete", F.lit(None).cast("array<bigint>")))
+    return commands.fold(log, "shift_id", ["ids", "names"]).select("shift_id", F.array_join("ids", ",").alias("ids"), F.array_join("names", ",").alias("names"))
+
+
+@_query(D.with_(D.SHIFTS) + "SELECT shift_id, name FROM shifts WHERE project_id = 8")
+def shifts_of_project(spark, sf):
+    return sessions.shifts_of(T.shifts(spark, sf), 8).select("shift_id", "name")
+
+
+@_query(D.with_(D.USERS) + "SELECT user_id, 'user-' || left(role, 3) || '-' || left(sha256(username), 12) AS id, 'proj-' || left(sha256(username || '|' || user_id), 12) AS project FROM users")
+def prefixed_ids(spark, sf):
+    """Ids with a prefix that follow from what they are of."""
+    return T.users(spark, sf).select("user_id", S.user_id(F.col("role"), F.col("username")).alias("id"), S.prefixed_id("proj-", F.col("username"), F.col("user_id").cast("string")).alias("project"))
+
+
 _COMMANDS = "c AS (SELECT n_nationkey AS project_id, 1 AS seq, 'create' AS op, n_name AS name, 'active' AS status FROM nation UNION ALL SELECT n_nationkey, 2, 'update', NULL, 'archived' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 3, 'delete', NULL, NULL FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey, 4, 'create', 'again', 'active' FROM nation WHERE n_nationkey % 6 = 0)"
 
 

@@ -19,6 +19,7 @@ BURST = "document string, kind string, text string, n_changes long, changed_at t
 PROFILE = "developer_id long, vuln_type string, rule_id string, detections long, fixes long, ignored long, false_positives long, suppressed boolean, adjusted_confidence double, n_actions long, hashes array<string>"
 #: A stored profile: rows by part, type (counts), rule (confidence, n_actions) or hashes.
 STORED = "developer_id long, part string, vuln_type string, rule_id string, counts array<bigint>, first_seen timestamp, last_seen timestamp, adjusted_confidence double, n_actions long, hashes array<string>"
+DELIVERY = "event_id string, status string, attempts int, error string, payload string"
 FINDING = "finding_key string, type string, severity string, confidence double, line_number int, rule_id string"
 SNAPSHOT = f"document string, at timestamp, seq long, deleted boolean, {FINDING}"
 SESSION = "session_id long, developer_id long, finding_id string, started_at timestamp, ended_at timestamp, n_findings long"
@@ -229,3 +230,43 @@ class LiveFindings(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class Deliveries(StatefulProcessor):
+    """An event that is sent until it arrives or has been sent `attempts` times,
+    a wait apart, with no more than one row of state. Every attempt gives a row:
+    delivered, again, or dead. An event that comes again while it is held, or in
+    the same batch, is sent once."""
+
+    def __init__(self, post, attempts: int, wait_ms: int):
+        self.post, self.attempts, self.wait = post, attempts, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "payload string, attempts int")
+
+    def _send(self, key: tuple, payload: str, before: int, now: int) -> pd.DataFrame:
+        status, error = "delivered", None
+        try:
+            self.post(json.loads(payload))
+        except Exception as failure:  # noqa: BLE001  any failure of the receiver counts
+            error = f"{type(failure).__name__}: {failure}"[:500]
+            status = "again" if before + 1 < self.attempts else "dead"
+        if status == "again":
+            self.held.update((payload, before + 1))
+            self.handle.registerTimer(now + self.wait)
+        else:
+            self.held.clear()
+        return pd.DataFrame({"event_id": [key[0]], "status": [status], "attempts": [before + 1], "error": [error], "payload": [payload if status == "dead" else None]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        payload = [frame["payload"].iloc[-1] for frame in rows if len(frame)][-1]
+        if not self.held.exists():
+            yield self._send(key, payload, 0, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            yield self._send(key, *self.held.get(), timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass

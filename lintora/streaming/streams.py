@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent import futures
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -151,25 +151,14 @@ def response_times(detections: DataFrame, actions: DataFrame, within: str = "1 h
     return then.join(first, met).select("event_id", "action", (F.unix_millis("ts") - F.unix_millis("detected_at")).alias("response_ms"))
 
 
-def within(seconds: float | None, call: Callable, *args):
-    """call(*args), or a TimeoutError after some seconds; the call itself can't
-    be stopped and is left to end by itself."""
-    if seconds is None:
-        return call(*args)
-    pool = ThreadPoolExecutor(1)
-    try:
-        return pool.submit(call, *args).result(seconds)
-    finally:
-        pool.shutdown(wait=False)
-
-
-def deliver(batch: DataFrame, write: Callable[[DataFrame], None], dead_letters: Callable[[DataFrame], None], attempts: int = 4, wait: float = 5.0, limit: float | None = 5.0) -> bool:
-    """Writes a batch of events, trying again a few times; what still fails goes
-    to the dead letters, nothing is lost. An attempt that takes longer than
-    `limit` seconds counts as failed. `write` must accept repeats."""
+def deliver(batch: DataFrame, write: Callable[[DataFrame], None], dead_letters: Callable[[DataFrame], None], attempts: int = 4, wait: float = 5.0) -> bool:
+    """Writes a whole batch, trying again a few times; what still fails goes to
+    the dead letters, nothing is lost. `write` must accept repeats and limits its
+    own time: the next attempt begins when the last has ended. For sinks that
+    take single events see deliveries()."""
     for attempt in range(attempts):
         try:
-            within(limit, write, batch)
+            write(batch)
             return True
         except Exception as error:  # noqa: BLE001  any failure of the sink counts
             last = f"{type(error).__name__}: {error}"
@@ -179,24 +168,57 @@ def deliver(batch: DataFrame, write: Callable[[DataFrame], None], dead_letters:
     return False
 
 
-def event_sink(events: DataFrame, write, dead_letters, checkpoint: str, interval: str = "1 second", attempts: int = 4, wait: float = 5.0, limit: float | None = 5.0) -> DataStreamWriter:
+def event_sink(events: DataFrame, write, dead_letters, checkpoint: str, interval: str = "1 second", attempts: int = 4, wait: float = 5.0) -> DataStreamWriter:
     """A writer that collects events for an interval and delivers each batch."""
-    return events.writeStream.trigger(processingTime=interval).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, write, dead_letters, attempts, wait, limit))
+    return events.writeStream.trigger(processingTime=interval).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: deliver(batch, write, dead_letters, attempts, wait))
+
+
+def deliveries(events: DataFrame, post: Callable[[dict], None], attempts: int = 4, wait: str = "5 seconds") -> DataFrame:
+    """Sends events (event_id and more columns) one by one, from the executors,
+    and gives what became of them: event_id, status, attempts, error.
+
+    An event that fails is held as state and sent again by a later batch, a wait
+    after its last attempt; new events and those of other keys don't wait for it.
+    After `attempts` it is given out as dead, with its payload. The state is in
+    the checkpoint: a restart loses nothing, and repeats only what the batch that
+    was cut short had sent. `post` raises where it fails and limits its own time;
+    it must accept repeats. The stream runs until it is stopped."""
+    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
+    rows = events.select(F.col("event_id").cast("string").alias("event_id"), payload.alias("payload")).groupBy("event_id")
+    processor = stateful.Deliveries(post, attempts, _gap_ms(wait))
+    return rows.transformWithStateInPandas(statefulProcessor=processor, outputStructType=stateful.DELIVERY, outputMode="Update", timeMode="ProcessingTime")
+
+
+def _settled(client: Callable[[dict], str | None], rows: list[dict], limit: float | None, calls: int) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each row, no more than `calls` at a time. Each has its
+    own limit, from when it is called; one that is late is left to end by itself."""
+    out = []
+    for at in range(0, len(rows), calls):
+        pool = futures.ThreadPoolExecutor(calls)
+        asked = [pool.submit(client, row) for row in rows[at : at + calls]]
+        futures.wait(asked, limit)
+        for x in asked:
+            if not x.done():
+                out.append((None, f"TimeoutError: more than {limit} s"))
+            elif error := x.exception():
+                out.append((None, f"{type(error).__name__}: {error}"[:500]))
+            else:
+                out.append((x.result(), None))
+        pool.shutdown(wait=False)
+    return out
 
 
-def enriched(findings: DataFrame, client: Callable[[list[dict]], list[str | None]], wanted: str | None = None, limit: float | None = 4.0) -> DataFrame:
-    """Findings with the answer of a client that is called for each batch of
-    rows in the executors; a call that fails, or takes longer than `limit`
-    seconds, leaves nulls. wanted: a boolean column; the client sees no others."""
+def enriched(findings: DataFrame, client: Callable[[dict], str | None], wanted: str | None = None, limit: float | None = 4.0, calls: int = 8) -> DataFrame:
+    """Findings with the answer of a client that is called for each row in the
+    executors, some rows at a time: explanation, and enrichment_error. A call that
+    fails, or takes longer than `limit` seconds, leaves its own row without an
+    answer and no other. wanted: a boolean column; the client sees no others."""
 
     def ask(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             asked = frame[frame[wanted].fillna(False).astype(bool)] if wanted else frame
-            try:
-                answers = within(limit, client, asked.to_dict("records")) if len(asked) else []
-            except Exception:  # noqa: BLE001  one failed call must not stop the others
-                answers = [None] * len(asked)
-            yield frame.assign(explanation=pd.Series(answers, index=asked.index, dtype="object").reindex(frame.index))
+            found = pd.DataFrame(_settled(client, asked.to_dict("records"), limit, calls), index=asked.index, columns=["explanation", "enrichment_error"], dtype="object")
+            yield frame.join(found.reindex(frame.index))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in findings.schema.fields)
-    return findings.mapInPandas(ask, f"{schema}, explanation string")
+    return findings.mapInPandas(ask, f"{schema}, explanation string, enrichment_error string")

@@ -222,22 +222,6 @@ def test_response_times_join_two_streams(spark, tmp_path):
     assert [tuple(r) for r in spark.table("responses").collect()] == [("e1", "FIXED", 120_000)]
 
 
-def test_calls_are_limited_in_time(spark):
-    import time
-
-    found = spark.createDataFrame([("k1", True), ("k2", False)], "finding_key string, top boolean")
-
-    def slow(rows):
-        time.sleep(3)
-        return ["late"] * len(rows)
-
-    assert {r.explanation for r in streams.enriched(found, slow, limit=0.2).collect()} == {None}
-    got = streams.enriched(found, lambda rows: [r["finding_key"] for r in rows], wanted="top").collect()
-    assert {r.finding_key: r.explanation for r in got} == {"k1": "k1", "k2": None}
-    dead = []
-    assert not streams.deliver(found, lambda df: time.sleep(2), dead.append, attempts=1, wait=0, limit=0.2) and "TimeoutError" in dead[0].first().error
-
-
 def test_delivery_retries_and_keeps_dead_letters(spark):
     batch = spark.createDataFrame([(1,), (2,)], "event_id long")
     calls, dead = [], []
@@ -258,15 +242,86 @@ def test_delivery_retries_and_keeps_dead_letters(spark):
     assert [(r.event_id, r.error, r.attempts) for r in dead[0].collect()] == [(1, "OSError: gone", 4), (2, "OSError: gone", 4)]
 
 
-def test_failed_enrichment_leaves_nulls(spark):
-    found = spark.createDataFrame([("k1", 0.9), ("k2", 0.8)], "finding_key string, confidence double")
-    good = streams.enriched(found, lambda rows: [f"about {r['finding_key']}" for r in rows]).collect()
-    assert {r.finding_key: r.explanation for r in good} == {"k1": "about k1", "k2": "about k2"}
-
-    def fails(rows):
-        raise TimeoutError
+def test_events_that_fail_are_sent_again_by_later_batches(spark, tmp_path):
+    """Others are delivered at once; attempts are four; a restart goes on."""
+    import time
+    from pathlib import Path
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def post(event):
+        n = event["n"]
+        (calls / f"{event['event_id']}-{time.time_ns()}").write_text("")
+        if n == 1 or n == 2 and len(list(calls.glob(f"{event['event_id']}-*"))) < 3:
+            raise OSError("refused")
+
+    def sent(*ids):
+        return {i: len(list(calls.glob(f"{i}-*"))) for i in ids}
+
+    schema = "event_id long, n int"
+
+    def start():
+        stream = streams.deliveries(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), post, wait="300 milliseconds")
+        writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="200 milliseconds")
+        return writer.foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
+
+    def until(done, q):
+        for _ in range(300):
+            assert q.exception() is None
+            if Path(f"{tmp_path}/out").exists() and done(spark.read.schema(stateful.DELIVERY).parquet(f"{tmp_path}/out").collect()):
+                q.stop()
+                return
+            time.sleep(0.2)
+        q.stop()
+        raise AssertionError("not done in time")
+
+    spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 0), (4, 0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    until(lambda rows: len(rows) >= 4, start())  # stopped after the first attempts
+    first = {r.event_id: (r.status, r.attempts) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.attempts == 1}
+    assert first == {"1": ("delivered", 1), "2": ("again", 1), "3": ("again", 1), "4": ("delivered", 1)}
+    spark.createDataFrame([(5, 0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    until(lambda rows: {r.event_id for r in rows if r.status in ("delivered", "dead")} == set("12345"), start())
+    ended = {r.event_id: (r.status, r.attempts, r.error, r.payload) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.status != "again"}
+    assert ended == {"1": ("delivered", 1, None, None), "2": ("dead", 4, "OSError: refused", '{"event_id":2,"n":1}'), "3": ("delivered", 3, None, None), "4": ("delivered", 1, None, None), "5": ("delivered", 1, None, None)}
+    assert all(n >= least for n, least in zip(sent(1, 2, 3, 4, 5).values(), (1, 4, 3, 1, 1)))  # at least once
+
+
+def test_enrichment_is_settled_row_by_row(spark):
+    import time
 
-    assert {r.explanation for r in streams.enriched(found, fails).collect()} == {None}
+    found = spark.createDataFrame([(f"k{i}", i != 5) for i in range(6)], "finding_key string, top boolean").coalesce(1)
+
+    def client(row):
+        if row["finding_key"] == "k1":
+            raise ValueError("no answer")
+        if row["finding_key"] == "k2":
+            time.sleep(3)
+        return f"about {row['finding_key']}" if row["finding_key"] != "k3" else None
+
+    for calls in (1, 8):
+        rows = {r.finding_key: (r.explanation, r.enrichment_error) for r in streams.enriched(found, client, wanted="top", limit=0.5, calls=calls).collect()}
+        assert rows == {"k0": ("about k0", None), "k1": (None, "ValueError: no answer"), "k2": (None, "TimeoutError: more than 0.5 s"), "k3": (None, None), "k4": ("about k4", None), "k5": (None, None)}
+    assert streams.enriched(found.filter("false"), client).collect() == []
+
+
+def test_an_append_reads_the_partitions_of_its_developers_only(spark, tmp_path):
+    path = f"{tmp_path}/history"
+    old = spark.range(400).select((F.col("id") % 20).alias("developer_id"), (F.col("id") % 40).alias("session_id"), F.concat(F.lit("f"), (F.col("id") % 7).cast("string")).alias("finding_id"))
+    sinks.append_records(old, path)
+    new = spark.range(60).select((F.col("id") % 3).alias("developer_id"), (F.col("id") % 40).alias("session_id"), F.concat(F.lit("f"), (F.col("id") % 11).cast("string")).alias("finding_id"))
+    held = sinks.history_of(new, path)
+    read = {f.split("developer_id=")[1].split("/")[0] for f in held.inputFiles()}
+    assert read >= {"0", "1", "2"} and "PartitionFilters: [developer_id" in held._jdf.queryExecution().toString()
+    assert held.select("developer_id").distinct().count() == 3
+    stored = spark.read.parquet(path)
+    want = {tuple(r) for r in new.select("developer_id", "session_id", "finding_id").collect()} - {tuple(r) for r in stored.select("developer_id", "session_id", "finding_id").collect()}
+    before = stored.count()
+    sinks.append_records(new, path)
+    rows = [tuple(r) for r in spark.read.parquet(path).select("developer_id", "session_id", "finding_id").collect()]
+    assert len(rows) == len(set(rows)) == before + len(want) and want <= set(rows)
+    sinks.append_records(new, path, max_partitions=1)  # more developers than the bound: held against all
+    assert spark.read.parquet(path).count() == len(rows)
 
 
 def test_sinks(spark, tmp_path):
