@@ -204,3 +204,30 @@ def test_settings(spark):
         spark.conf.unset("spark.lintora.min_confidence")
     with pytest.raises(ValueError):
         settings.Settings(min_confidence=1.5)
+
+
+def test_differences_of_passes_and_detections_in_both_modes(spark):
+    passes = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3), ("d", 4), ("e", 7)], "document string, pass long")
+    found = spark.createDataFrame([("d", 1, "a"), ("d", 1, "a"), ("d", 1, "b"), ("d", 2, "a"), ("d", 4, "b"), ("e", 7, "a")], "document string, pass long, finding_key string")
+    diff = learning.pass_differences(passes, found)
+    rows = sorted(map(tuple, diff.collect()))
+    assert rows == [("d", 1, "a", "new"), ("d", 1, "b", "new"), ("d", 2, "a", "still"), ("d", 2, "b", "gone"), ("d", 3, "a", "gone"), ("d", 4, "b", "new"), ("e", 7, "a", "new")]
+    count = lambda mode: sorted((r.document, r["count"]) for r in learning.detection_events(diff, mode).groupBy("document").count().collect())
+    assert count("reference") == [("d", 4), ("e", 1)] and count("dedup") == [("d", 2), ("e", 1)]
+    with pytest.raises(ValueError):
+        learning.detection_events(diff, "other")
+    assert learning.pass_differences(passes.limit(0), found.limit(0)).collect() == []
+
+
+def test_findings_of_a_log(spark):
+    at = lambda m: dt.datetime(2025, 1, 1, 9, m)
+    log = [(1, 1, 5, "end", None, 0, 0), (1, 1, 5, "start", None, 1, 1), (1, 1, 5, "finding", "f", 1, 2), (1, 1, 5, "finding", "f", 2, 3), (2, 1, 5, "start", None, 3, 4), (1, 1, 5, "finding", "g", 4, 5), (1, 1, 5, "end", None, 5, 6), (2, 1, 5, "finding", "f", 6, 7), (3, 1, 5, "finding", "x", 6, 8)]
+    rows = spark.createDataFrame([(s, d, h, op, f, at(m), i) for s, d, h, op, f, m, i in log], "session_id long, developer_id long, shift_id long, op string, finding_id string, at timestamp, seq long")
+    assert sorted((r.session_id, r.finding_id, r.at) for r in sessions.findings_of_log(rows).collect()) == [(1, "f", at(1)), (2, "f", at(6))]
+    got = {r.session_id: (r.started_at, r.ended_at, r.effective_end) for r in sessions.from_log(rows).collect()}
+    assert got == {1: (at(1), at(5), at(5)), 2: (at(3), None, None)}
+
+
+def test_shifts_of_one_project_or_all(spark):
+    shifts = spark.createDataFrame([(1, 3), (2, 4)], "shift_id long, project_id long")
+    assert [sessions.shifts_of(shifts, p).count() for p in (3, 9, "", None)] == [1, 0, 2, 2]
