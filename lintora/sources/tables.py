@@ -156,8 +156,10 @@ CORPUS = (
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source file for each row of `part`: one of the snippets with a name put in."""
-    p = table(spark, sf_dir, "part")
+    """A source file for each row of `part`: one of the snippets with a name put in.
+    The table may be one row group, so the keys are dealt to all cores, before
+    there are texts."""
+    p = table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
     name = F.concat(F.lit("userInput"), F.col("p_partkey").cast("string"))
     which = (F.col("p_partkey") % len(CORPUS)).cast("int") + 1
     text = F.element_at(F.array(*[F.lit(t.format(v="@@")) for _, t in CORPUS]), which)
