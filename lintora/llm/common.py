@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _ARROW_ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts of a batch that goes to Python: Spark's own number, 10,000, may be 100 MB on either side.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,18 +40,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lintora/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", arrow_rows: int | None = None) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder. It cuts the
     lineage, survives lost executors, and fixes values such as row numbers
     that another computation may give differently. The shuffle files of the
-    write are removed when it is over."""
+    write are removed when it is over. arrow_rows: most rows of the batches that
+    go to Python meanwhile, where rows are whole texts."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path
     return table

@@ -17,20 +17,28 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _with_least(edges: DataFrame, around: DataFrame) -> DataFrame:
-    """edges with m, the smallest neighbour that around(u, v) gives each u."""
-    least = written(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    hubs = least.filter(F.col("n") >= HUB).select("u", "m")
+def spread_join(rows: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
+    """rows with the columns of `values` (key, n, and more), an inner join in which
+    no key with many rows lies in one task. n: the key's number of rows. Those of
+    keys with HUB or more stay where they are while the keys are broadcast, if
+    there are few enough; of too many each is dealt to SALTS tasks by the column
+    `other`. The rest is joined by shuffle."""
+    hubs, few = values.filter(F.col("n") >= HUB).drop("n"), values.filter(F.col("n") < HUB).drop("n")
     n_hubs = hubs.count()
-    few = least.filter(F.col("n") < HUB).select("u", "m")
     if not n_hubs:
-        return edges.join(few, "u")
+        return rows.join(few, key)
     if n_hubs <= MAX_HUBS:
         near = F.broadcast(hubs)
-        return edges.join(near, "u").unionByName(edges.join(near, "u", "left_anti").join(few, "u"))
+        return rows.join(near, key).unionByName(rows.join(near.select(key), key, "left_anti").join(few, key))
     salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["u", "salt"]).drop("salt").unionByName(edges.join(few, "u"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [key, "salt"]).drop("salt").unionByName(rows.join(few, key))
+
+
+def _with_least(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """edges with m, the smallest neighbour that around(u, v) gives each u."""
+    least = written(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    return spread_join(edges, least, "u", "v")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import discard, rows_of, to_batches, whole_groups, written
-from lintora.llm.components import components
+from lintora.llm.common import TEXT_ROWS, discard, rows_of, to_batches, whole_groups, written
+from lintora.llm.components import components, spread_join
 from lintora.llm.simhash import MAX_BROADCAST_KEYS, SEGMENTS, codeword, hot_keys
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -306,12 +306,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield from to_batches(rows(), pa.schema([(c, pa.int64()) for c in ("doc_id", "node", *WORDS, *WIDES)]), size=8192)
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(docs.mapInArrow(name, ", ".join(f"{c} long" for c in ("doc_id", "node", *WORDS, *WIDES))), "named")
-    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in (*WORDS, *WIDES)]), "nodes")
+    found = written(docs.mapInArrow(name, ", ".join(f"{c} long" for c in ("doc_id", "node", *WORDS, *WIDES))), "named", arrow_rows=TEXT_ROWS)
+    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in (*WORDS, *WIDES)]), "nodes")
     edges = links(nodes, block)
     roots = components(edges)
     discard(edges)
-    grouped = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = grouped.join(least, "root").select("node", "component_id")
-    return found.join(labels, "node").select("doc_id", "component_id")
+    grouped = written(nodes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    least = written(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "root-ids")
+    labels = written(spread_join(grouped.withColumnRenamed("n", "n_docs"), least, "root", "node").select("node", "component_id", F.col("n_docs").alias("n")), "labels")
+    return spread_join(found.select("doc_id", "node"), labels, "node", "doc_id").select("doc_id", "component_id")

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintora.llm.common import rows_of, to_batches, written
-from lintora.llm.components import components
+from lintora.llm.common import TEXT_ROWS, rows_of, to_batches, written
+from lintora.llm.components import components, spread_join
 
 MAX_DISTANCE = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -292,10 +292,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids take part and get the smallest other id, or null if there is none.
     Rows with equal ids are all kept. Other columns are ignored; no rows give
     no rows."""
-    found = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = written(fingerprints(docs, id_col, text_col), "fingerprints", arrow_rows=TEXT_ROWS)
+    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    grouped = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = grouped.join(least, "root").select("fp", "component_id")
-    return found.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    grouped = written(nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = written(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "root-ids")
+    labels = written(spread_join(grouped.withColumnRenamed("n", "n_docs"), least, "root", "fp").select("fp", "component_id", F.col("n_docs").alias("n")), "labels")
+    return spread_join(found, labels, "fp", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

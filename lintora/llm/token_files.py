@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintora.llm.common import rows_of, to_batches, written
+from lintora.llm.common import TEXT_ROWS, rows_of, to_batches, written
 from lintora.llm.tokens import word_encoder
 
 # Fixed values of the public seekable format.
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, id
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, "path string, doc_id long, frame long, n_tokens long"), "token-index")
+    return written(ordered.mapInArrow(write, "path string, doc_id long, frame long, n_tokens long"), "token-index", arrow_rows=TEXT_ROWS)
 
 
 def file_starts(index: DataFrame) -> DataFrame:
