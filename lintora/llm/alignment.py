@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
@@ -43,7 +44,7 @@ LONG, RANGE = 32_768, 16_384
 FAN = 8
 #: Most pairs whose counts are sent to every executor (17 bytes each).
 MAX_FREQUENT = 1 << 19
-#: Most characters of a pre-token that a worker remembers.
+#: Most characters of a pre-token or word that a worker remembers.
 SHORT = 64
 
 #: Where pre-tokens of A surely begin, and where pieces of B do.
@@ -64,15 +65,17 @@ def _ids(data: bytes) -> np.ndarray:
 
 class Tokenizers:
     """A byte-level tokenizer (A) and a sentencepiece model (B) with the bytes of
-    their tokens. A gets pre-tokens, each new one once for each worker."""
+    their tokens. A gets pre-tokens, and B, of whose pieces none holds a space after
+    another character, gets words; each new one once for each worker."""
 
-    def __init__(self, path_a: str, path_b: str, bound: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, bound: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
 
         library, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.model, self.library_b = library.model, b
+        self.model, self.library_b, self.bound, self.space = library.model, b, bound, b.piece_to_id("▁")
+        self.known_b: dict[str, bytes] = {}
         self.letters, own = byte_letters(), library.get_vocab()
         byte = {letter: i for i, letter in enumerate(self.letters)}
         self.bytes_a = [b""] * (max(own.values()) + 1)
@@ -84,21 +87,37 @@ class Tokenizers:
 
     def _pre_token(self, part: str) -> bytes:
         letters = self.letters
-        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in part.encode()]))], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize("".join([letters[b] for b in part.encode()]))]).tobytes()
 
     def a(self, text: str) -> bytes:
         """Ids of A."""
         parts, known = (_PLAIN_SPLIT if _PLAIN.fullmatch(text) else _SPLIT).findall(text), self.known_a
         return b"".join([known[p] if len(p) <= SHORT else self._pre_token(p) for p in parts])
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of B for words, a space before each."""
+        known = self.known_b
+        found = list(map(known.get, words))
+        if None in found:
+            new = list({w for w, ids in zip(words, found) if ids is None})
+            if len(known) + len(new) > self.bound:
+                known.clear()
+                new = list(set(words))
+            for word, ids in zip(new, self.library_b.encode(new, num_threads=1)):
+                known[word] = array("I", ids if word else [self.space]).tobytes()
+            found = list(map(known.__getitem__, words))
+            for word in new:
+                if len(word) > SHORT:
+                    del known[word]
+        return found
+
     def b(self, texts: list[str]) -> list[bytes | None]:
         """Ids of B, which adds a space itself, for texts that begin with one;
         None where their bytes are not the text's."""
         out = []
-        for text, ids in zip(texts, self.library_b.encode([t[1:] for t in texts], num_threads=1)):
-            if text == " ":
-                ids = [self.library_b.piece_to_id("▁")]
-            out.append(np.array(ids, "<u4").tobytes() if b"".join(map(self.bytes_b.__getitem__, ids)) == text.encode() else None)
+        for text in texts:
+            ids = b"".join(self._words(text[1:].split(" ") if "  " not in text else [p[1:] for p in B_SAFE.split(text)]))
+            out.append(ids if b"".join(map(self.bytes_b.__getitem__, _ids(ids).tolist())) == text.encode() else None)
         return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
