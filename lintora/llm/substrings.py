@@ -1,4 +1,6 @@
-"""Repeated word sequences across and within documents, by De Bruijn compaction.
+"""Repeated word sequences across and within documents, by a variation of De
+Bruijn compaction: paths are cut at minimizers, not where nodes branch, so that no
+node is ever written with its degree.
 
 Edges of the graph are the k-mers, windows of k consecutive words. A document
 is a walk over them. Every window has a minimizer, the run of `anchor` words in
