@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n:
         return Model(np.zeros(FEATURES), 0.0, 0.0, 0.0)
     order = F.pmod(F.xxhash64("doc_id", "slots"), F.lit(1 << 30))
-    drawn = described.withColumn("order", order).filter(F.col("order") < min(1.0, 1.2 * max_docs / n + 0.001) * (1 << 30))
+    drawn = described.withColumn("order", order).filter(F.col("order") < min(1.0, (1.2 * max_docs + 100) / n) * (1 << 30))
     known = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
