@@ -20,7 +20,7 @@ same bytes. Only open ends climb. Documents of up to LONG characters are one run
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -30,13 +30,14 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintora.llm.common import discard, rows_of, to_batches, written
-from lintora.llm.token_counts import _PLAIN, _PLAIN_SPLIT, _SPLIT
-from lintora.llm.tokens import Learned, byte_letters
+from lintora.llm.tokens import byte_letters
 
 #: Characters beyond which a document is cut, and of a nominal range.
 LONG, RANGE = 32_768, 16_384
@@ -44,8 +45,6 @@ LONG, RANGE = 32_768, 16_384
 FAN = 8
 #: Most pairs whose counts are sent to every executor (17 bytes each).
 MAX_FREQUENT = 1 << 19
-#: Most characters of a pre-token or word that a worker remembers.
-SHORT = 64
 
 #: Where pre-tokens of A surely begin, and where pieces of B do.
 A_SAFE = re.compile(r"(?= \S)|(?<=[A-Za-z0-9])(?=[.,;:!?])")
@@ -64,60 +63,37 @@ def _ids(data: bytes) -> np.ndarray:
 
 
 class Tokenizers:
-    """A byte-level tokenizer (A) and a sentencepiece model (B) with the bytes of
-    their tokens. A gets pre-tokens, and B, of whose pieces none holds a space after
-    another character, gets words; each new one once for each worker."""
+    """A byte-level tokenizer (A), whose ids follow the order of its merges, and a
+    sentencepiece model (B), with the bytes of their tokens."""
 
-    def __init__(self, path_a: str, path_b: str, bound: int = 200_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        library, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.model, self.library_b, self.bound, self.space = library.model, b, bound, b.piece_to_id("▁")
-        self.known_b: dict[str, bytes] = {}
-        self.letters, own = byte_letters(), library.get_vocab()
-        byte = {letter: i for i, letter in enumerate(self.letters)}
-        self.bytes_a = [b""] * (max(own.values()) + 1)
-        for token, i in own.items():
-            self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+
+        with open(path_a, encoding="utf-8") as file:
+            own = json.load(file)
+        self.library_b = b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        byte = {letter: i for i, letter in enumerate(byte_letters())}
+        special = {t["id"] for t in own["added_tokens"]}
+        self.bytes_a = [b""] * (max(own["model"]["vocab"].values()) + 1)
+        for token, i in own["model"]["vocab"].items():
+            if i not in special:
+                self.bytes_a[i] = bytes(byte[c] for c in token)
+        self.library_a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a) if t}, special_tokens={})
         self.bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.known_a = Learned(self._pre_token, bound)
-
-    def _pre_token(self, part: str) -> bytes:
-        letters = self.letters
-        return array("I", [t.id for t in self.model.tokenize("".join([letters[b] for b in part.encode()]))]).tobytes()
 
     def a(self, text: str) -> bytes:
-        """Ids of A."""
-        parts, known = (_PLAIN_SPLIT if _PLAIN.fullmatch(text) else _SPLIT).findall(text), self.known_a
-        return b"".join([known[p] if len(p) <= SHORT else self._pre_token(p) for p in parts])
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of B for words, a space before each."""
-        known = self.known_b
-        found = list(map(known.get, words))
-        if None in found:
-            new = list({w for w, ids in zip(words, found) if ids is None})
-            if len(known) + len(new) > self.bound:
-                known.clear()
-                new = list(set(words))
-            for word, ids in zip(new, self.library_b.encode(new, num_threads=1)):
-                known[word] = array("I", ids if word else [self.space]).tobytes()
-            found = list(map(known.__getitem__, words))
-            for word in new:
-                if len(word) > SHORT:
-                    del known[word]
-        return found
+        """Ids of A; special strings are plain text. Their bytes are the text's."""
+        return array("I", self.library_a.encode_ordinary(text)).tobytes()
 
     def b(self, texts: list[str]) -> list[bytes | None]:
         """Ids of B, which adds a space itself, for texts that begin with one;
         None where their bytes are not the text's."""
         out = []
-        for text in texts:
-            ids = b"".join(self._words(text[1:].split(" ") if "  " not in text else [p[1:] for p in B_SAFE.split(text)]))
-            out.append(ids if b"".join(map(self.bytes_b.__getitem__, _ids(ids).tolist())) == text.encode() else None)
+        for text, ids in zip(texts, self.library_b.encode([t[1:] for t in texts], num_threads=1)):
+            if text == " ":
+                ids = [self.library_b.piece_to_id("▁")]
+            out.append(array("I", ids).tobytes() if b"".join(map(self.bytes_b.__getitem__, ids)) == text.encode() else None)
         return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
