@@ -17,6 +17,11 @@ Texts with the same key meet in a join by shuffle. Those with another text withi
 MAX_WORD_BITS, over both fingerprints of the words, go on with their wide ones to
 a second join by the same keys, which verifies them and writes a forest of each
 bucket, never all pairs. Texts with the same words in the same order are one node.
+
+A group of near copies shares some 170 buckets, and a forest of each would link its
+texts as often. So a join by the six keys of a text's own codewords goes first, and
+what it links has one label from then on; the buckets of all keys are still compared
+whole, but a forest's edges are those between labels.
 """
 
 from __future__ import annotations
@@ -100,10 +105,14 @@ def _nearby(segment: np.ndarray, bits: int) -> np.ndarray:
     return found
 
 
+def _cut(prints: np.ndarray) -> list[np.ndarray]:
+    prints = np.ascontiguousarray(prints).view(np.uint64)
+    return [(prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.uint32) for at, n in SEGMENTS]
+
+
 def _segments(prints: np.ndarray) -> list[np.ndarray]:
     """The nearby codewords of each segment."""
-    prints = np.ascontiguousarray(prints).view(np.uint64)
-    return [_nearby((prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.uint32), n) for at, n in SEGMENTS]
+    return [_nearby(segment, n) for segment, (_, n) in zip(_cut(prints), SEGMENTS)]
 
 
 def keys(prints: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +250,8 @@ def forest(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, salt, node, wide fingerprint), verified edges of each bucket."""
+    """From rows (key, salt, node or its label, wide fingerprint), verified edges of
+    each bucket between different ones."""
     for part in whole_groups(batches, 2):
         starts, lengths = _groups(part)
         wide, node = np.ascontiguousarray(part[:, 3:]), part[:, 2]
@@ -264,12 +274,39 @@ def _near(rows: DataFrame, columns: str) -> DataFrame:
     return rows.sortWithinPartitions("key", "salt", *WORDS).mapInArrow(_active, columns)
 
 
+def _own_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (node, WORDS, WIDES), key, node and WIDES: the keys of the
+    codewords of the segments themselves, six for each node."""
+    for batch in batches:
+        for node, *prints in _columns(batch):
+            for table, fp in enumerate(prints[:TABLES]):
+                own = [codeword(segment).astype(np.int64) for segment in _cut(fp)]
+                for kind, (i, j) in enumerate(PAIRS):
+                    key = own[i] << 12 | own[j] | (table * len(PAIRS) + kind) << 24
+                    yield pa.record_batch([pa.array(c) for c in (key, node, *prints[TABLES:])], names=["key", "node", *WIDES])
+
+
+def _first_roots(nodes: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    """(node, root) of the nodes that verified links under their own keys connect.
+    Each row of a hot key goes to one of its parts: what that leaves apart meets
+    under all keys."""
+    keyed = nodes.select("node", *WORDS, *WIDES).mapInArrow(_own_keys, ", ".join(f"{c} long" for c in ("key", "node", *WIDES)))
+    salt = F.lit(0).cast("long")
+    if n_hot:
+        keyed = keyed.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot, "key", "left")
+        salt = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    rows = keyed.select("key", salt.alias("salt"), "node", *WIDES)
+    return components(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_edges, "u long, v long"))
+
+
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (u, v), a written table, over the distinct nodes (node, WORDS,
     WIDES): not all pairs, but enough to connect what pairs that share a key
-    connect."""
+    connect. A node has one edge to the root of those that it meets under its own
+    keys; the others are between such roots."""
     hot = _hot(nodes, block)
     n_hot = hot.count()
+    first = written(_first_roots(nodes, hot, n_hot), "first-roots")
     columns = ", ".join(f"{c} long" for c in ("key", *WORDS))
     keyed = _halves(nodes).repartition("half").mapInArrow(_whole, columns)
     if n_hot:
@@ -280,10 +317,12 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     else:
         near = _near(keyed.select("key", F.lit(0).cast("long").alias("salt"), *WORDS), columns)
     active = written(near, "near-rows")
-    known = _dealt(active.join(nodes, [*WORDS]).select("key", "node", *WIDES), hot, n_hot, "node")
-    edges = known.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_edges, "u long, v long")
-    edges = written(edges.distinct(), "near-edges")
-    discard(active, hot)
+    labelled = nodes.join(first, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    known = _dealt(active.join(labelled, [*WORDS]).select("key", "node", "label", *WIDES), hot, n_hot, "node").drop("node")
+    edges = known.repartition("key", "salt").sortWithinPartitions("key", "salt", "label").mapInArrow(_edges, "u long, v long")
+    stars = first.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    edges = written(edges.distinct().unionByName(stars), "near-edges")
+    discard(active, hot, first)
     return edges
 
 

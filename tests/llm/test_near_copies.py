@@ -103,6 +103,23 @@ def test_recall_over_all_pairs_of_a_table(spark):
     assert len(alone) > 500 and np.mean([got[d] == d for d in alone]) >= 0.999
 
 
+def test_edges_do_not_repeat_by_bucket(spark):
+    """A group of near copies meets in some 170 buckets; its edges are few all the same."""
+    rng, prints = random.Random(6), Prints()
+    base, rows = [f"w{rng.randrange(3000)}" for _ in range(120)], {}
+    for i in range(600):
+        text = list(base)
+        for _ in range(rng.randint(1, 2)):
+            text[rng.randrange(len(text))] = f"x{i}"
+        node, words, wide = prints.of(" ".join(text))
+        rows[node] = (node, *words, *wide)
+    nodes = spark.createDataFrame(list(rows.values()), ", ".join(f"{c} long" for c in ("node", *near_copies.WORDS, *near_copies.WIDES)))
+    edges = near_copies.links(nodes)
+    assert edges.count() <= 1.1 * len(rows)
+    roots = near_copies.components(edges).collect()
+    assert len(roots) >= 0.99 * len(rows) and len({r.root for r in roots}) == 1
+
+
 def test_a_very_long_text_and_its_copy(spark):
     words = [f"w{i % 9973}" for i in range(300_000)]
     other = words[:150_000] + ["changed"] + words[150_001:]
