@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintora.llm.common import discard, rows_of, small, to_batches, written
-from lintora.llm.tokens import Learned
 
 K, ANCHOR = 20, 6
 _BASE = 0x9E3779B97F4A7C15
 _NULL_ID = (1 << 63) - 1
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> Learned:
-    return Learned(xxhash.xxh64_intdigest, 300_000)
+#: Which bytes are white space (that of bytes.split), and a random number for each byte.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b]), 42) for b in range(256)], np.uint64)
+#: Bytes of a text whose words are hashed at a time; longer words go to the library.
+STRIDE = 1 << 16
+#: Bits of an anchor's place in a text, below those of its hash by which minimizers are chosen.
+_PLACE = np.uint64(24)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=16)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     out = []
@@ -63,38 +66,86 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data.split() start and end."""
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = _SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: the sum of its letters' numbers by powers of the base."""
+    raw, out, at = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64), 0
+    powers, inverse = _powers(STRIDE)
+    while at < len(starts):
+        base = starts[at]
+        upto = int(np.searchsorted(ends, base + STRIDE - 1, "right")) if ends[-1] - base >= STRIDE else len(starts)
+        if upto == at:
+            out[at] = xxhash.xxh64_intdigest(data[base : ends[at]], 42)
+            at += 1
+            continue
+        sums = np.zeros(ends[upto - 1] - base + 1, np.uint64)
+        np.cumsum(_LETTERS[raw[base : ends[upto - 1]]] * powers[: len(sums) - 1], out=sums[1:])
+        first = starts[at:upto] - base
+        out[at:upto] = _mixed((sums[ends[at:upto] - base] - sums[first]) * inverse[first])
+        at = upto
+    return out
+
+
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    size, done = len(x), 1
+    out = x
+    while 2 * done <= width:
+        out = np.minimum(out[:-done], out[done:])
+        done *= 2
+    return np.minimum(out[: size - width + 1], out[width - done :]) if done < width else out
+
+
 class Walk:
     """The windows of one document."""
 
     def __init__(self, text: str | None, k: int = K, anchor: int = ANCHOR):
-        self.words = (text or "").encode().split()
-        self.k, self.anchor, self.n = k, anchor, max(0, len(self.words) - k + 1)
+        self.data = (text or "").encode()
+        starts, ends = _word_places(self.data)
+        self.size = size = len(starts)
+        self.k, self.anchor, self.n = k, anchor, max(0, size - k + 1)
         if self.n:
-            size = len(self.words)
             self.powers, self.inverse = _powers(1 << max(10, size.bit_length()))
-            hashes = np.fromiter(map(_word_hashes().__getitem__, self.words), np.uint64, size)
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.powers[:size], dtype=np.uint64)])
+            self.sums = np.zeros(size + 1, np.uint64)
+            np.cumsum(word_hashes(self.data, starts, ends) * self.powers[:size], out=self.sums[1:])
 
     @classmethod
     def of_words(cls, text: str | None, k: int) -> Walk:
         """The words alone, without hashes."""
         out = cls.__new__(cls)
-        out.words, out.k = (text or "").encode().split(), k
+        out.data, out.k = (text or "").encode(), k
         return out
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.data.split()
+
     def stretch(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the words from first up to last."""
         return _mixed((self.sums[last] - self.sums[first]) * self.inverse[first])
 
+    def _runs(self, length: int) -> np.ndarray:
+        """Hashes of all runs of so many words."""
+        n = self.size - length + 1
+        return _mixed((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
+
     def kmers(self) -> np.ndarray:
-        at = np.arange(self.n)
-        return self.stretch(at, at + self.k)
+        return self._runs(self.k)
 
     def super_kmers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(minimizer, path, first window, number of windows) of each."""
-        at = np.arange(len(self.words) - self.anchor + 1)
-        anchors = self.stretch(at, at + self.anchor)
-        place = np.lib.stride_tricks.sliding_window_view(anchors, self.k - self.anchor + 1).argmin(1) + np.arange(self.n)
+        anchors, width = self._runs(self.anchor), self.k - self.anchor + 1
+        if len(anchors) < 1 << int(_PLACE):  # the leftmost of the smallest, by all but the last bits
+            least = _sliding_min(anchors >> _PLACE << _PLACE | np.arange(len(anchors), dtype=np.uint64), width)
+            place = (least & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
+        else:
+            place = np.lib.stride_tricks.sliding_window_view(anchors >> _PLACE, width).argmin(1) + np.arange(self.n)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         count = np.diff(np.r_[first, self.n])
         shape = (place[first] - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64)
@@ -106,6 +157,10 @@ class Walk:
         stretches whose windows all start before in this document, the source
         being the nearest such place: what repeats over and over is one stretch."""
         kmers = self.kmers()
+        held = np.sort(kmers)
+        if not (held[1:] == held[:-1]).any():
+            none = np.zeros(0, np.int64)
+            return none, none, none
         order = np.argsort(kmers, kind="stable")
         same = kmers[order[1:]] == kmers[order[:-1]]
         before = np.full(self.n, -1)
@@ -212,19 +267,27 @@ def long_spans(found: DataFrame) -> DataFrame:
     by_text = found.groupBy("d", "text_hash").agg(F.collect_set(F.struct("source_d", "source_hash", "source_first", "first", "count")).alias("found"))
     schema = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.int32()) for x in _SPAN.split(", ")])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for d, h, stretches in rows_of(batches):
-                places = sorted((x["source_d"], x["source_hash"], x["source_first"] - x["first"], x["first"], x["count"]) for x in stretches)
-                held, first, end = places[0][:3], places[0][3], places[0][3]
-                for *source, at, count in places:
-                    if tuple(source) != held or at > end:
-                        yield d, h, first, end - first, held[0], held[1], held[2] + first
-                        held, first, end = tuple(source), at, at
-                    end = max(end, at + count)
-                yield d, h, first, end - first, held[0], held[1], held[2] + first
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = batch.column(2).flatten()
+        source_d, source_hash, source_first, first, count = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in flat.flatten())
+        row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+        places = np.column_stack([row, source_d, source_hash, source_first - first, first])
+        order = np.lexsort(places.T[::-1])
+        places, end = places[order], (first + count)[order]
+        other = np.r_[True, (places[1:, :4] != places[:-1, :4]).any(1)]
+        line = np.cumsum(other) << 32  # a text's place is an int
+        reach = np.maximum.accumulate(line + end)
+        starts = np.flatnonzero(other | np.r_[True, places[1:, 4] > (reach - line)[:-1]])
+        row, source_d, source_hash, shift, first = places[starts].T
+        last = np.r_[starts[1:], len(places)] - 1
+        d, text_hash = (batch.column(i).to_numpy()[row] for i in (0, 1))
+        columns = (d, text_hash, first, (reach - line)[last] - first, source_d, source_hash, shift + first)
+        return pa.record_batch([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        yield from to_batches(rows(), schema, size=8192)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield joined(batch.slice(at, 256))
 
     return by_text.mapInArrow(run, _SPAN)
 

@@ -55,6 +55,29 @@ def test_super_kmers_cover_all_windows():
     assert np.array_equal(other.kmers()[1:-1], walk.kmers())
 
 
+def test_walks_cost_a_few_times_the_cutting_of_words():
+    import time
+
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(vocab, k=550)) for _ in range(300)]
+
+    def seconds(work):
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            for t in texts:
+                work(t)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    def walked(text):
+        walk = substrings.Walk(text)
+        walk.super_kmers(), walk.own_repeats()
+
+    assert seconds(walked) <= 11 * seconds(lambda t: t.encode().split())
+
+
 def test_spans_that_are_not_their_source_stay(spark):
     """A hash that met by chance names a span whose words differ at the source."""
     words = [f"w{i}" for i in range(60)]
@@ -64,6 +87,19 @@ def test_spans_that_are_not_their_source_stay(spark):
     assert got[1].n_removed == 0 and got[2].n_removed == 7 and got[2].kept == " ".join(["x", *words[17:40]])
 
 
+def test_words_are_those_of_split_and_equal_ones_have_equal_hashes():
+    rng = random.Random(6)
+    for i in range(60):
+        text = "".join(rng.choices(" \t\n\x0b\x0c\r\x1c\x85aéb\u2003", k=rng.randint(0, 300)))
+        data = (text + (" x" * 40_000 + " " + "y" * 70_000 + " z y " + "q" * 65_535 + " " + "q" * 65_536 if i % 20 == 0 else "")).encode()
+        starts, ends = substrings._word_places(data)
+        words = data.split()
+        assert [data[a:b] for a, b in zip(starts, ends)] == words
+        hashes = substrings.word_hashes(data, starts, ends).tolist()
+        known = dict(zip(words, hashes))
+        assert [known[w] for w in words] == hashes and len(set(hashes)) == len(known)
+
+
 def test_stretches_that_follow_each_other_are_one_span(spark):
     found = [(2, 22, 4, 3, 1, 11, 14), (2, 22, 7, 1, 1, 11, 17), (2, 22, 8, 2, 1, 11, 30), (2, 22, 7, 1, 1, 11, 17), (2, 22, 20, 1, 1, 11, 30)]
     got = substrings.long_spans(spark.createDataFrame(found, substrings._SPAN)).collect()
